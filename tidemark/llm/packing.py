@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,52 +36,105 @@ class Limits:
 
 END_ID = 1
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Waiting examples among which the next one is chosen.
+POOL = 512
+#: Marks that may follow a word. The tokenizer never joins them to a letter.
+TRAILING = ".,!?*$%#&;:"
 
-_tokenizers: dict[str, object] = {}
-_cache: dict[str, bytes] = {}
 
+class WordIds:
+    """Ids of words by a tokenizer whose tokens end with white space and between letters and marks, and ignore case.
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+    A text's ids are then its words' ids, and the ids of a word of letters with marks after it are those of the
+    letters and of the marks. Words of letters are encoded many at a time, and told apart by the tokens that end a word.
+    """
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _cache.clear()
-    return _tokenizers[path]
-
-
-def word_ids(words: list[str], path: str) -> list[bytes]:
-    """Each word's ids as little-endian uint32. No token of this vocabulary crosses white space, so a text's ids are its words' ids."""
-    tokenizer = _tokenizer(path)
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
-    missing = [w for w in words if w not in _cache]
-    for i in range(0, len(missing), 20_000):
-        part = missing[i : i + 20_000]
-        for word, encoded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _cache[word] = np.array(encoded.ids, dtype="<u4").tobytes()
-    return [_cache[w] for w in words]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.starts, self.flat, self.used = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4"), 0
+
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.slot)
+        self.slot.update(zip(words, range(first, first + len(words)), strict=True))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], ids, np.zeros(self.used + len(ids), dtype="<u4")])
+        else:
+            self.flat[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths)])
+        self.used += len(ids)
+
+    def _encode(self, words: list[str], letters: bool) -> None:
+        missing = [w for w in words if w not in self.slot]
+        for i in range(0, len(missing), 5000):
+            part = missing[i : i + 5000]
+            if letters:
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+                ends = np.nonzero(self.ends[ids])[0]
+                if len(ends) == len(part):
+                    self._keep(part, ids, np.diff(ends, prepend=-1))
+                    continue
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._keep(part, np.array([x for ids in found for x in ids], dtype="<u4"), np.array([len(x) for x in found], dtype=np.int64))
+
+    def _slots(self, words: pa.Array, letters: bool) -> np.ndarray:
+        encoded = words.dictionary_encode()
+        distinct = encoded.dictionary.to_pylist()
+        self._encode(distinct, letters)
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return slots[np.asarray(encoded.indices, dtype=np.int64)]
+
+    def slots(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two slots per word: its own or its letters', and that of the marks after it (-1: none)."""
+        if len(self.slot) > CACHE_WORDS:
+            self.clear()
+        low = pc.ascii_lower(words)
+        stems = pc.ascii_rtrim(low, TRAILING)
+        plain = np.asarray(pc.match_substring_regex(stems, r"^\p{L}+$"))
+        first, second = np.empty(len(words), dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
+        mask = pa.array(plain)
+        first[plain] = self._slots(stems.filter(mask), letters=True)
+        first[~plain] = self._slots(words.filter(pc.invert(mask)), letters=False)
+        tails = pc.if_else(pc.equal(low, stems), "", pc.extract_regex(low, f"(?P<tail>[{TRAILING}]+)$").field(0))
+        marked = plain & np.asarray(pc.greater(pc.binary_length(tails), 0))
+        second[marked] = self._slots(tails.filter(pa.array(marked)), letters=False)
+        return first, second
+
+
+_tokenizers: dict[str, WordIds] = {}
 
 
 def text_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, each text's closed by `end_id`, and where each text begins."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
+    known = _tokenizers[path]
     offsets, index, dictionary = split_words(texts, lower=False)
-    packed = [*word_ids(dictionary.to_pylist(), path), np.array([end_id], dtype="<u4").tobytes()]
-    lengths = np.fromiter((len(b) >> 2 for b in packed), dtype=np.int64, count=len(packed))
-    begins = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.frombuffer(b"".join(packed), dtype="<u4")
-    ends = np.full(len(texts), len(packed) - 1, dtype=np.int64)
-    index = np.insert(index, offsets[1:], ends)
-    sizes = lengths[index]
+    first, second = known.slots(dictionary)
+    flat = np.append(known.flat[: known.used], np.array([end_id], dtype="<u4"))
+    begins = np.append(known.starts, known.used)  # of each slot; then of no marks, of length 0; then of the end id
+    none, end = len(known.slot), len(known.slot) + 1
+    begins[none] = 0
+    lengths = np.concatenate([np.diff(known.starts), [0, 1]])
+    pairs = np.empty((len(index), 2), dtype=np.int64)
+    pairs[:, 0], pairs[:, 1] = first[index], np.where(second < 0, none, second)[index]
+    slots = np.insert(pairs.reshape(-1), 2 * offsets[1:], end)
+    sizes = lengths[slots]
     after = np.cumsum(sizes)
-    take = np.arange(after[-1] if len(after) else 0) + np.repeat(begins[index] - (after - sizes), sizes)
-    words_and_ends = offsets + np.arange(len(offsets))
-    starts = np.concatenate([[0], after])[words_and_ends]
-    return flat[take], starts
+    take = np.arange(after[-1] if len(after) else 0) + np.repeat(begins[slots] - (after - sizes), sizes)
+    return flat[take], np.concatenate([[0], after])[2 * offsets + np.arange(len(offsets))]
 
 
 @dataclass
@@ -127,9 +181,8 @@ class Packer:
                 break
             left, sequence = top.copy(), []
             while True:
-                fits = alive & (sizes <= left).all(axis=1)
-                if fits.any():
-                    best = int(np.argmax(np.where(fits, (sizes / top) @ (left / top), -1.0)))
+                gain = np.where(alive & (sizes[:, 0] <= left[0]) & (sizes[:, 1] <= left[1]) & (sizes[:, 2] <= left[2]), sizes @ (left / top**2), -1.0)
+                if len(gain) and gain[best := int(np.argmax(gain))] >= 0:
                     piece, rest = pool[best], None
                 elif self.cut and left[0] >= 1 and left[1] >= 1 and left[2] >= 1 and alive.any():
                     best = int(np.argmax(np.where(alive, sizes[:, 0], -1.0)))
@@ -214,6 +267,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
             for i, key in enumerate(batch.column("doc_id").to_pylist()):
                 own = ids[starts[i] : starts[i + 1]]
                 put(packer.add(Item(key, 0, own, len(own))))
+                if len(packer.pool) >= POOL:
+                    put(packer.drain())
             put(packer.drain())
             packer.pool = [Item(x.key, x.start, x.ids.copy(), x.total, x.prompt) for x in packer.pool]
             yield flush()

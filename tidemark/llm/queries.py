@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing
+from tidemark.llm import packing, tiff, token_counts, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
+    "op6_media_tiff": tiff.op6_media_tiff,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.ORACLE,
+}
