@@ -82,7 +82,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if out is None:
                     system.create_dir(base, recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)
                 data = page_record(*row)
                 out.write(data)
                 size += len(data)
@@ -105,8 +105,9 @@ class _Window:
         if self.at + len(self.data) >= self.size:
             return False
         self.file.seek(self.at + len(self.data))
-        self.data += self.file.read(min(READ_BYTES, self.size - self.at - len(self.data)))
-        return True
+        got = self.file.read(min(READ_BYTES, self.size - self.at - len(self.data)))
+        self.data += got
+        return bool(got)
 
     def drop(self, upto: int) -> None:
         self.data = self.data[upto - self.at :]
