@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, tiff, token_counts, warc
+from tidemark.llm import packing, pii, tiff, token_counts, warc
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op5_warc": warc.op5_warc,
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_token_counts": token_counts.op7_token_counts,
