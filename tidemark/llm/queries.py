@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pii, tiff, token_counts, warc
+from tidemark.llm import packing, pii, tiff, token_counts, vafile, warc
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
     "op5_warc": warc.op5_warc,
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_exact_top_k": vafile.op8_exact_top_k,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_warc": warc.ORACLE,
+    "op8_exact_top_k": vafile.ORACLE,
 }
