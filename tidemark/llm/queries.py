@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import packing, pii, tiff, token_counts, vafile, warc
+from tidemark.llm import near_dup, packing, pii, tiff, token_counts, vafile, warc
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_exact_top_k": vafile.op8_exact_top_k,
+    "op9_near_dup": near_dup.op9_near_dup,
     "op10_packing": packing.op10_packing,
 }
 
