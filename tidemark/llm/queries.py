@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import near_dup, packing, pii, tiff, token_counts, vafile, warc
+from tidemark.llm import katz, near_dup, packing, pii, tiff, token_counts, vafile, warc
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op4_katz_lm": katz.op4_katz_lm,
     "op5_warc": warc.op5_warc,
     "op6_media_tiff": tiff.op6_media_tiff,
     "op7_token_counts": token_counts.op7_token_counts,
