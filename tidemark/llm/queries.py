@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import katz, near_dup, packing, pii, tiff, token_counts, vafile, warc
+from tidemark.llm import katz, mixing, near_dup, packing, pii, quality, tiff, token_counts, vafile, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_pii": pii.op2_pii,
+    "op3_mixing": mixing.op3_mixing,
     "op4_katz_lm": katz.op4_katz_lm,
     "op5_warc": warc.op5_warc,
     "op6_media_tiff": tiff.op6_media_tiff,
