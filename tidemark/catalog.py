@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import search, text
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (search, text)
+QUERIES = {name: query for m in MODULES for name, query in m.query.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.query.sql.items()}
