@@ -16,6 +16,7 @@ history meets in one task more often than once per block.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import hash_words, mix, slices, split_words
-from tidemark.session import settled, table
+from tidemark.session import settled, shared_dir, table
 
 FEW = 5
 BLOCK_BYTES = 14 << 20
@@ -37,10 +38,10 @@ STATS = -1
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value."""
+    """Arrays as one compressed value; the first bytes of all numbers come first, then the second ones."""
     out = [struct.pack("<I", len(arrays))]
     for a in arrays:
-        raw = np.ascontiguousarray(a).tobytes()
+        raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
         small = pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
         out.append(struct.pack("<4sQQ", a.dtype.str.encode()[1:].ljust(4), len(raw), len(small)) + small)
     return b"".join(out)
@@ -52,7 +53,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
         kind, size, small = struct.unpack_from("<4sQQ", data, at)
         at += 20
         raw = pa.decompress(data[at : at + small], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
-        out.append(np.frombuffer(raw, dtype="<" + kind.decode().strip()))
+        dtype = np.dtype("<" + kind.decode().strip())
+        out.append(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(dtype.itemsize, -1).T).view(dtype).reshape(-1))
         at += small
     return out
 
@@ -78,6 +80,14 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "block long, content binary")
 
 
+def bucketed(blocks: DataFrame) -> DataFrame:
+    """The blocks as a table bucketed by block, in the shared folder: what is joined to it later moves, the texts don't."""
+    spark, name = blocks.sparkSession, f"text_blocks_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Small batches that follow one another as one block."""
     held: list[pa.RecordBatch] = []
@@ -150,7 +160,7 @@ def ask_words(bits: int):
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block = Block(content)
                 edges = np.searchsorted(block.words >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                asked = [pack(block.words[s:e], narrow(block.counts[s:e])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+                asked = [pack(np.diff(block.words[s:e], prepend=np.uint64(0)), narrow(block.counts[s:e])) for s, e in zip(edges[:-1], edges[1:], strict=True)]
                 used = [i for i in range(1 << bits) if edges[i + 1] > edges[i]]
                 yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int32()), pa.array([number] * len(used)), pa.array([asked[i] for i in used], type=pa.binary())], names=["bucket", "block", "data"])
 
@@ -163,7 +173,7 @@ def _by_count(counts: np.ndarray) -> np.ndarray:
 
 def add_words(group: pd.DataFrame) -> pd.DataFrame:
     """A bucket's words: answers with each word's place in the bucket and count; then the bucket's totals."""
-    asked = [unpack(d) for d in group["data"]]
+    asked = [(np.cumsum(d, dtype=np.uint64), c) for d, c in map(unpack, group["data"])]
     words, of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
     counts = np.bincount(of, weights=np.concatenate([a[1] for a in asked]), minlength=len(words)).astype(np.int64)
     cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
@@ -238,18 +248,25 @@ def ask_pairs(bits: int, total: int):
                 if len(every):
                     out["bucket"].append(bucket)
                     out["block"].append(number)
-                    out["data"].append(pack(narrow(known.ids[every]), narrow(sizes), narrow(known.ids[w[s:e]]), narrow(c[s:e]), narrow(known.counts[w[s:e]])))
+                    out["data"].append(pack(np.diff(known.ids[every], prepend=0), narrow(sizes), narrow(known.ids[w[s:e]]), narrow(c[s:e]), narrow(known.counts[w[s:e]])))
         return pd.DataFrame(out)
 
     return run
 
 
-def add_pairs(d: np.ndarray, total: int):
-    """A bucket's pairs: answers with each pair's count and, of each history, the followers' share of P(w) and how many have few counts."""
+def _tally(group: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each group: the sum of the counts above FEW, how many counts are 1 to FEW, and how many are above."""
+    above = counts > FEW
+    total = np.bincount(group[above], weights=counts[above], minlength=n).astype(np.int64)
+    return [total, *(np.bincount(group[counts == r], minlength=n) for r in range(1, FEW + 1)), np.bincount(group[above], minlength=n)]
+
+
+def add_pairs():
+    """A bucket's pairs: answers with each pair's count and, of each history, tallies of its followers' own counts and of the pairs' counts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         asked = [unpack(x) for x in group["data"]]
-        hists, hist_of = np.unique(np.concatenate([a[0].astype(np.int64) for a in asked]), return_inverse=True)
+        hists, hist_of = np.unique(np.concatenate([np.cumsum(a[0]) for a in asked]), return_inverse=True)
         sizes = np.concatenate([a[1].astype(np.int64) for a in asked])
         followers, word_of = np.unique(np.concatenate([a[2].astype(np.int64) for a in asked]), return_inverse=True)
         codes, of = np.unique(np.repeat(hist_of, sizes).astype(np.int64) * (len(followers) + 1) + word_of, return_inverse=True)
@@ -257,13 +274,12 @@ def add_pairs(d: np.ndarray, total: int):
         single = np.zeros(len(codes), dtype=np.int64)
         single[of] = np.concatenate([a[4] for a in asked])
         whose = codes // (len(followers) + 1)
-        share = np.bincount(whose, weights=np.where(counts > 0, discounted(single, d) / total, 0.0), minlength=len(hists))
-        few = [np.bincount(whose[counts == r], minlength=len(hists)) for r in range(1, FEW + 1)]
-        few.append(np.bincount(whose[counts > FEW], minlength=len(hists)))
+        seen = counts > 0
+        told = [*_tally(whose[seen], single[seen], len(hists)), *_tally(whose[seen], counts[seen], len(hists))[1:]]
         answers, p, q = [], 0, 0
         for a in asked:
             pairs, own = of[p : p + len(a[2])], hist_of[q : q + len(a[0])]
-            answers.append(pack(narrow(counts[pairs]), share[own], *(narrow(f[own]) for f in few)))
+            answers.append(pack(narrow(counts[pairs]), *(narrow(t[own]) for t in told)))
             p, q = p + len(a[2]), q + len(a[0])
         return pd.DataFrame({"block": [*group["block"], STATS], "bucket": group["bucket"].iloc[0], "kind": 2, "data": [*answers, pack(_by_count(counts))]})
 
@@ -279,15 +295,18 @@ def score_blocks(bits: int, total: int, vocabulary: int, d1: np.ndarray, d2: np.
             h, w, _, to, order, of = known.dealt(total, bits)
             edges = np.searchsorted(to, np.arange((1 << bits) + 1))
             n = len(block.words)
-            pairs, share, few = np.zeros(len(h), dtype=np.int64), np.zeros(n), np.zeros((FEW + 1, n), dtype=np.int64)
+            pairs, single, few = np.zeros(len(h), dtype=np.int64), np.zeros((FEW + 2, n), dtype=np.int64), np.zeros((FEW + 1, n), dtype=np.int64)
             replies = answers[answers["kind"] == 2]
             for bucket, data in zip(replies["bucket"], replies["data"], strict=True):
                 got, s, e = unpack(data), edges[bucket], edges[bucket + 1]
                 every, _ = _hist_of(h, to, known, total, bits, bucket, s, e)
                 pairs[s:e] = got[0]
-                share[every] += got[1]
+                for r in range(FEW + 2):
+                    single[r, every] += got[1 + r].astype(np.int64)
                 for r in range(FEW + 1):
-                    few[r, every] += got[2 + r].astype(np.int64)
+                    few[r, every] += got[FEW + 3 + r].astype(np.int64)
+            own = np.append(d1[:FEW] * np.arange(1, FEW + 1), -d1[FEW])
+            share = (single[0] + own @ single[1:]) / max(total, 1)
             out.append(_scores(known, h, w, pairs, order, of, share, few, total, vocabulary, d1, d2, unknown))
         return pd.concat(out)
 
@@ -335,7 +354,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     null. Repeated rows are learned from and scored once each; other columns are ignored; no rows give no rows. If
     nothing is learned from, every token is unknown and has probability 1.
     """
-    blocks = settled(text_blocks(docs))
+    blocks = bucketed(text_blocks(docs))
     bits = max(4, min(20, int(np.ceil(np.log2(max(2, blocks.count()))))))
     asked = blocks.mapInArrow(ask_words(bits), "bucket int, block long, data binary")
     reply = "block long, bucket int, kind int, data binary"
@@ -348,7 +367,7 @@ def katz_scores(docs: DataFrame) -> DataFrame:
     unknown = 1.0 - _kept(numbers[2:], total, vocabulary, d1) if total else 1.0
     known = words.filter(F.col("block") != STATS)
     pairs = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(ask_pairs(bits, total), "bucket int, block long, data binary")
-    counted = settled(pairs.groupBy("bucket").applyInPandas(add_pairs(d1, max(total, 1)), reply))
+    counted = settled(pairs.groupBy("bucket").applyInPandas(add_pairs(), reply))
     d2 = discounts(_totals(counted))
     every = known.union(counted.filter(F.col("block") != STATS))
     return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInPandas(score_blocks(bits, total, vocabulary, d1, d2, unknown), SCHEMA)
