@@ -195,7 +195,7 @@ def scan_money_and_percent(spark, sf):
     return out.filter(F.size("money") + F.size("percents") > 0)
 
 
-NAMES = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"
+NAMES = r"[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}"
 
 
 @query(rf"SELECT doc_id, regexp_extract_all(text, '{NAMES}') AS names FROM documents WHERE regexp_matches(text, '{NAMES}')")
@@ -409,10 +409,10 @@ def key_data(spark, sf):
     return _docs(spark, sf).select("doc_id", F.regexp_extract(t, "[0-9]+", 0).alias("first_number"), F.regexp_extract(t, r"(?s)=\s*([0-9.]+)[^=]*$", 1).alias("result"), (F.substring_index(t, "=", -1) == t).alias("plain"))
 
 
-@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KB', b / 1024) ELSE printf('%.2f MB', b / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.2f KB', round(b / 1024, 2)) ELSE printf('%.2f MB', round(b / 1048576, 2)) END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)""")
 def human_bytes(spark, sf):
     b = F.octet_length("text")
-    size = F.when(b < 1024, F.format_string("%d B", b)).when(b < 1048576, F.format_string("%.2f KB", b / 1024)).otherwise(F.format_string("%.2f MB", b / 1048576))
+    size = F.when(b < 1024, F.format_string("%d B", b)).when(b < 1048576, F.format_string("%.2f KB", F.round(b / 1024, 2))).otherwise(F.format_string("%.2f MB", F.round(b / 1048576, 2)))
     return _docs(spark, sf).select("doc_id", size.alias("size"))
 
 
