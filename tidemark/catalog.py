@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import graph, metrics, search, text, vectors
+from tidemark.plans import curate, graph, metrics, relational, search, text, vectors
 
-MODULES = (search, text, metrics, graph, vectors)
+MODULES = (search, text, metrics, graph, vectors, relational, curate)
 QUERIES = {name: query for m in MODULES for name, query in m.query.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.query.sql.items()}
