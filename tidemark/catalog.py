@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import chunks, curate, graph, metrics, relational, search, text, vectors
+from tidemark.plans import chunks, curate, graph, metrics, relational, search, streams, text, vectors
 
-MODULES = (search, text, chunks, metrics, graph, vectors, relational, curate)
+MODULES = (search, text, chunks, metrics, graph, vectors, relational, curate, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.query.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.query.sql.items()}
