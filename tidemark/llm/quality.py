@@ -153,17 +153,20 @@ def _shape(word: str) -> str:
     return "".join(out[:8])
 
 
-_features: dict[str, tuple[int, int]] = {}
+_features: dict[str, int] = {}
+#: Words whose features a worker remembers; the memory is emptied when it is full.
+CACHE_WORDS = 150_000
 
 
 def word_features(words: list[str]) -> np.ndarray:
     """Two buckets for each word: its shape's and its ending's."""
-    if len(_features) > 500_000:
+    if len(_features) > CACHE_WORDS:
         _features.clear()
     for w in words:
         if w not in _features:
-            _features[w] = xxhash.xxh3_64_intdigest("s" + _shape(w[:40])) % BUCKETS, xxhash.xxh3_64_intdigest("e" + w[-2:]) % BUCKETS
-    return np.array([_features[w] for w in words], dtype=np.int64).reshape(-1, 2)
+            _features[w] = (xxhash.xxh3_64_intdigest("s" + _shape(w[:40])) % BUCKETS) << 16 | xxhash.xxh3_64_intdigest("e" + w[-2:]) % BUCKETS
+    both = np.fromiter(map(_features.__getitem__, words), dtype=np.int64, count=len(words))
+    return np.stack([both >> 16, both & 0xFFFF], axis=1)
 
 
 def _cased(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -25,6 +25,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += int(size)
         if len(sizes) > start:
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
