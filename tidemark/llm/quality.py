@@ -41,6 +41,9 @@ ENOUGH = 12
 SAMPLE = 12_000
 BUCKETS = 1 << 16
 ROUNDS = 60
+#: What is believed of a labeller's calls on junk and on clean documents before any is seen, and the share of the corpus that this counts for.
+BELIEF = np.array([[0.03, 0.03], [0.001, 0.999]])
+FIRM = 0.2
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 1 letter, 2 capital, 3 symbol, 4 continuation byte
 _CLASS[97:123] = 1
@@ -135,7 +138,7 @@ def fit_labels(counts: dict[int, int], rounds: int = 200) -> LabelModel:
         before = rates.copy()
         for y, share in ((0, weights * (1 - good)), (1, weights * good)):
             for k in range(n):
-                got = np.bincount(seen[:, k], weights=share, minlength=3)[:2] + 0.5
+                got = np.bincount(seen[:, k], weights=share, minlength=3)[:2] + FIRM * weights.sum() * BELIEF[y]
                 rates[k, y] = got / got.sum()
         prior = float(np.clip((weights * good).sum() / weights.sum(), 0.01, 0.99))
         if np.abs(rates - before).max() < 1e-9:
