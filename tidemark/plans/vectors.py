@@ -150,7 +150,7 @@ def pq_search(spark, sf):
     return scored.select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-CELLS, PROBES = 32, 16
+CELLS, PROBES = 32, 22
 
 
 @query()
