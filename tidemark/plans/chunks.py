@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import chunking as C
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import spread, table
 from tidemark.sources import documents as S
 
 query = Registry()
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query(r"""SELECT doc_id, segment_index, segment FROM (SELECT doc_id, unnest(s) AS segment, generate_subscripts(s, 1) - 1 AS segment_index FROM

@@ -9,7 +9,7 @@ from tidemark.functions import text as T
 from tidemark.operators import graph as G
 from tidemark.plans.text import CATEGORIES
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import spread, table
 
 query = Registry()
 
@@ -27,7 +27,7 @@ UNION ALL SELECT c_nationkey + 100, c_custkey + 1000, 'HOME_OF', 0.7 FROM custom
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     found = F.filter(F.array(*[F.lit(n) for n in NAMES]), lambda w: F.contains(F.lower("text"), w))
-    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(found).alias("entity"))
+    rows = spread(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.explode(found).alias("entity"))
     kind = F.coalesce(F.create_map(*[x for w, k in KINDS.items() for x in (F.lit(w), F.lit(k))])[F.col("entity")], F.lit("word"))
     return rows.select("id", "entity", kind.alias("kind"), (0.7 + F.length("entity") / 100).alias("confidence"))
 
@@ -86,7 +86,7 @@ def constrained_bfs(spark, sf):
     return G.breadth_first(edges(spark, sf), 1001, 3)
 
 
-@query(f"SELECT dst AS id, type, confidence FROM {EDGES_SQL} WHERE src = 1001")
+@query(f"SELECT dst AS id, type, confidence::DOUBLE AS confidence FROM {EDGES_SQL} WHERE src = 1001")
 def neighbours(spark, sf):
     return edges(spark, sf).filter("src = 1001").select(F.col("dst").alias("id"), "type", "confidence")
 

@@ -11,7 +11,7 @@ from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import ranking as R
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import spread, table
 
 query = Registry()
 TERMS = ["thing", "anea", "stupid"]
@@ -43,7 +43,7 @@ def near_sql(score: str = COS, key: str = "vec_id", at: int = 0) -> str:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _near(spark: SparkSession, sf: str, metric: str = "cosine", key: str = "vec_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import spread, table
 
 query = Registry()
 
@@ -51,7 +51,7 @@ CATEGORIES = {
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _values(words: tuple[str, ...]) -> str:
@@ -204,7 +204,7 @@ def scan_persons(spark, sf):
     return _docs(spark, sf).filter(F.col("text").rlike(NAMES)).select("doc_id", F.regexp_extract_all("text", F.lit(NAMES), F.lit(0)).alias("names"))
 
 
-@query(f"""SELECT doc_id, term, strpos(lower(text), term) - 1 AS start, 0.85 AS confidence FROM documents, (SELECT unnest([{_values(sum(CATEGORIES.values(), ()))}]) AS term)
+@query(f"""SELECT doc_id, term, strpos(lower(text), term) - 1 AS start, 0.85::DOUBLE AS confidence FROM documents, (SELECT unnest([{_values(sum(CATEGORIES.values(), ()))}]) AS term)
 WHERE contains(lower(text), term)""")
 def scan_gazetteer(spark, sf):
     """The first hit of each listed term."""
@@ -333,7 +333,7 @@ def _in(words: tuple[str, ...]):
     return lambda x: x.isin(*words)
 
 
-@query(f"""SELECT doc_id, has_headers, has_lists, sections, round(greatest(0, least(1, 0.5 + 0.1 * (n > 100)::INT + 0.1 * (n > 500)::INT + 0.1 * has_headers::INT + 0.05 * has_lists::INT + 0.1 * (sections > 2)::INT - 0.2 * (n < 20)::INT)), 6) AS score
+@query(f"""SELECT doc_id, has_headers, has_lists, sections, round(greatest(0, least(1, 0.5::DOUBLE + 0.1 * (n > 100)::INT + 0.1 * (n > 500)::INT + 0.1 * has_headers::INT + 0.05 * has_lists::INT + 0.1 * (sections > 2)::INT - 0.2 * (n < 20)::INT)), 6) AS score
 FROM (SELECT doc_id, len({WORDS_SQL}) AS n, {_any('text', ('# ', '<h1', '<h2'))} AS has_headers, {_any('text', ('- ', '* ', '1. ', '<li'))} AS has_lists,
 len(regexp_extract_all(text, '# ')) + len(regexp_extract_all(text, '## ')) AS sections FROM documents)""")
 def structure_quality(spark, sf):
