@@ -195,13 +195,13 @@ def memory_search(spark, sf):
     return _rounded(scored.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n"), "score")
 
 
-@query(rf"""SELECT conv_id, turn, regexp_extract(text, '(.{{0,20}})\b(the|der|que)\b(.{{0,20}})', 0) AS snippet FROM conversations
-WHERE role = 'user' AND regexp_matches(lower(text), '\b(the|der|que)\b') ORDER BY conv_id DESC, turn LIMIT 20""")
+@query(rf"""SELECT conv_id, turn, regexp_extract(text, '.{{0,20}}(the|der|que).{{0,20}}', 0) AS snippet FROM conversations
+WHERE role = 'user' AND regexp_matches(lower(text), '(^|[ .,])(the|der|que)([ .,]|$)') ORDER BY conv_id DESC, turn LIMIT 20""")
 def observation_search(spark, sf):
     """Filtered keyword hits, newest first, with the surroundings of the first."""
     c = table(spark, sf, "conversations")
-    hit = c.filter("role = 'user'").filter(F.lower("text").rlike(r"\b(the|der|que)\b"))
-    return hit.select("conv_id", "turn", F.regexp_extract("text", r"(.{0,20})\b(the|der|que)\b(.{0,20})", 0).alias("snippet")).orderBy(F.desc("conv_id"), "turn").limit(20)
+    hit = c.filter("role = 'user'").filter(F.lower("text").rlike("(^|[ .,])(the|der|que)([ .,]|$)"))
+    return hit.select("conv_id", "turn", F.regexp_extract("text", ".{0,20}(the|der|que).{0,20}", 0).alias("snippet")).orderBy(F.desc("conv_id"), "turn").limit(20)
 
 
 FRAG_SQL = """(SELECT source, count(DISTINCT doc_id // 10) / nullif(count(doc_id), 0) AS section_ratio, count(DISTINCT lang) / nullif(count(doc_id), 0) AS doc_ratio,
