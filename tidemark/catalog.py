@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import chunks, curate, graph, metrics, relational, search, streams, tables, text, tools, vectors
+from tidemark.plans import chunks, curate, graph, metrics, monitor, relational, search, streams, tables, text, tools, vectors
 
-MODULES = (search, text, tools, chunks, metrics, graph, vectors, relational, curate, tables, streams)
+MODULES = (search, text, tools, chunks, metrics, monitor, graph, vectors, relational, curate, tables, streams)
 QUERIES = {name: query for m in MODULES for name, query in m.query.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.query.sql.items()}
