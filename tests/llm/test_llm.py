@@ -353,6 +353,39 @@ def test_near_duplicates_against_brute_force(spark, docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_in_a_crowd_a_little_under_the_threshold(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(600):  # most pairs have 0.68, few reach 0.8
+        t = list(base)
+        for j in rng.choice(120, 3, replace=False):
+            t[j] = f"e{i}_{j}"
+        rows.append((i, " ".join(t)))
+    want = components_of({i: shingles(t) for i, t in rows})
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_cells_of_a_region_compare_each_pair_once():
+    rng = np.random.default_rng(3)
+    slots = np.where(rng.random((90, 80)) < 0.85, 7, rng.integers(0, 9, (90, 80)))
+    nodes, labels, sizes = rng.permutation(90), rng.integers(0, 5, 90), rng.integers(80, 105, 90)
+    parts = nodes % 3
+    got = []
+    for x in range(3):
+        for y in range(x, 3):
+            cell = (parts == x) | (parts == y)
+            got += [p for a in near_dup._cell_pairs(nodes[cell], labels[cell], sizes[cell], parts[cell], slots[cell], x == y) for p in a.tolist()]
+    want = []
+    for i in range(90):
+        for j in range(90):
+            agree = int((slots[i] == slots[j]).sum())
+            if nodes[i] < nodes[j] and labels[i] != labels[j] and 10 * min(sizes[i], sizes[j]) >= 8 * max(sizes[i], sizes[j]) and agree >= 48:
+                want.append([nodes[i], nodes[j], agree])
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
 # 10
 
 

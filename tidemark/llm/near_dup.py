@@ -8,7 +8,9 @@ region of up to `SMALL` entries all pairs are candidates. In a larger one the de
 candidate with the one that agrees in most slots of the `WINDOW` entries before it, those of the longest common
 prefixes, and of equals with the nearest, so none is left alone and the candidates grow with the entries, not with
 their square. Once components are known, the entries of larger regions go through the orders again, and there only
-entries of other components count: so links between groups are looked for where groups meet.
+entries of other components count: so links between groups are looked for where groups meet. What these passes propose
+only spares work: at last all pairs of a region that still lie in different components are compared, by their whole
+signatures, and tried. Cells of up to `BLOCK` by `BLOCK` entries share out a large region.
 
 Candidates whose signatures agree too little are dropped (the chance to lose a pair at the threshold is under 1 in
 100,000), the others are confirmed on full sets. As only components are asked for, the most alike partner of each
@@ -37,6 +39,8 @@ SMALL = 12
 #: Entries before it that an entry of a dense region is compared with, and how many of them are candidates, first and across components.
 WINDOW = 64
 CLOSEST, ACROSS = 1, 4
+#: Entries of a region that are compared with as many others in one place.
+BLOCK = 1024
 #: Of 80 slots, agreements at least: 0.8 less 4.5 standard deviations.
 AGREE = 48
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -205,6 +209,80 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(at["a"]).filter(mask), batch.column(at["b"]).filter(mask), pa.array(agree[keep])], names=["a", "b", "agree"])
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each entry's region in each order."""
+    for batch in batches:
+        heads = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(-1, ORDERS)
+        for order in range(ORDERS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), order, dtype=np.int32)), pa.array(np.ascontiguousarray(heads[:, order])), batch.column(0), batch.column(2)], names=["order", "head", "node", "label"])
+
+
+def _cell_pairs(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, parts: np.ndarray, slots: np.ndarray, within: bool) -> Iterator[np.ndarray]:
+    """Rows (a, b, agree) of all pairs of a cell with different labels, fitting sizes and signatures that agree enough."""
+    names, counts = np.unique(labels, return_counts=True)
+    most = names[np.argmax(counts)]
+    rest = np.nonzero(labels != most)[0]  # each pair that counts has one of these
+    step = max(1, (1 << 16) // len(nodes))
+    for start in range(0, len(rest), step):
+        own = rest[start : start + step]
+        fits = (labels[own, None] != labels) & ((labels == most) | (nodes[own, None] < nodes))
+        fits &= 100 * np.minimum(sizes[own, None], sizes) >= PERCENT * np.maximum(sizes[own, None], sizes)
+        if not within:
+            fits &= parts[own, None] != parts
+        i, j = np.nonzero(fits)
+        agree = (slots[own[i]] == slots[j]).sum(axis=1)
+        near = agree >= AGREE
+        x, y = nodes[own[i[near]]], nodes[j[near]]
+        yield np.stack([np.minimum(x, y), np.maximum(x, y), agree[near]], axis=1)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each cell of rows sorted by cell. The cell at a batch's end waits for the next batch."""
+    waiting: list[pa.RecordBatch] = []
+
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        column = lambda c: rows.column(c).to_numpy()
+        slots = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
+        nodes, labels, sizes, parts, x, y = (column(c) for c in ("node", "label", "n_shingles", "part", "x", "y"))
+        cuts = np.concatenate([[0], _changes(rows), [rows.num_rows]])
+        out = [np.zeros((0, 3), dtype=np.int64)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e - s > 1:
+                out += _cell_pairs(nodes[s:e], labels[s:e], sizes[s:e], parts[s:e], slots[s:e], x[s] == y[s])
+        three = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(three[:, 0]), pa.array(three[:, 1]), pa.array(three[:, 2].astype(np.int32))], names=["a", "b", "agree"])
+
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([*waiting, batch])
+            changes = _changes(rows)
+            last = int(changes[-1]) if len(changes) else 0
+            waiting = rows.slice(last).to_batches()
+            if last:
+                yield found(rows.slice(0, last))
+    if waiting:
+        yield found(pa.Table.from_batches(waiting))
+
+
+def _changes(rows: pa.Table) -> np.ndarray:
+    """Where another cell begins, the first left out."""
+    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("order", "head", "x", "y")], axis=1)
+    return np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
+
+
+def meeting(entries: DataFrame) -> DataFrame:
+    """All pairs (a, b, agree) of (node, signature, n_shingles, label) with different labels that share a region and agree enough."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = entries.select("node", "signature", "label").mapInArrow(_heads, "order int, head long, node long, label long")
+    regions = heads.groupBy("order", "head").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed = regions.filter("lo <> hi").select("order", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = heads.join(mixed, ["order", "head"]).withColumn("part", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    full = dealt.select("order", "head", "x", "y", "part", "node", "label").join(entries.select("node", "signature", "n_shingles"), "node")
+    cells = full.repartition(n, "order", "head", "x", "y").sortWithinPartitions("order", "head", "x", "y")
+    return cells.mapInArrow(_cells, "a long, b long, agree int").distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         flat, starts = shingle_sets(batch.column("text"))
@@ -235,34 +313,55 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs that lie in different components."""
+    """The pairs that lie in different components, la and lb."""
     where = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    both = pairs.join(where("a"), "a", "left").join(where("b"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    both = pairs.drop("la", "lb").join(where("a"), "a", "left").join(where("b"), "b", "left")
+    return both.withColumns({"la": F.coalesce("ca", "a"), "lb": F.coalesce("cb", "b")}).filter("la <> lb").drop("ca", "cb")
 
 
 def grouped(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the entries (node, signature, n_shingles) that are linked with another."""
+    shingled = lambda need: docs.select(F.col("doc_id").alias("node"), "text").join(need, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     near = settled(neighbours(entries.withColumn("label", F.col("node"))))
     pairs = settled(agreeing(near.filter("a <> b"), entries))
     dense = near.filter("a = b").select(F.col("a").alias("node"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(need, "node", "left_semi")
-    sets = settled(texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = settled(shingled(ends(pairs).union(dense).distinct()))
     first = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("agree"), y)) == 1
-    ranked = pairs.withColumn("ra", first("a", "b")).withColumn("rb", first("b", "a"))
-    found = settled(confirm(ranked.filter("ra or rb"), sets))
+    best = lambda pairs: pairs.withColumn("ra", first("a", "b")).withColumn("rb", first("b", "a")).filter("ra or rb").drop("ra", "rb")
+    found = settled(confirm(best(pairs), sets))
     known = settled(components(found))
-    more = settled(confirm(_apart(pairs, known), sets))
-    if more.head(1):
-        found = found.union(more)
-        known = settled(components(found))
+
+    def joined(pairs: DataFrame, sets: DataFrame) -> None:
+        nonlocal found, known
+        more = settled(confirm(pairs, sets))
+        if more.head(1):
+            found = found.union(more)
+            known = settled(components(found))
+
+    label = F.coalesce("component", "node").alias("label")
+    joined(_apart(pairs, known), sets)
     crowded = entries.join(dense, "node", "left_semi").join(known, "node", "left")
-    labelled = settled(crowded.select("node", "signature", F.coalesce("component", "node").alias("label")))
-    if not labelled.head(1):
+    labelled = settled(crowded.select("node", "signature", label))
+    if labelled.head(1):
+        across = settled(agreeing(neighbours(labelled, again=True), entries))
+        joined(across, sets)
+        pairs = pairs.union(across)
+    every = entries.join(known, "node", "left").select("node", "signature", "n_shingles", label)
+    left = settled(meeting(settled(every)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    if not left.head(1):
         return known
-    last = settled(confirm(agreeing(neighbours(labelled, again=True), entries), sets))
-    return settled(components(found.union(last))) if last.head(1) else known
+    sets = settled(shingled(ends(left)))
+    one = F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")
+    # One pair of each two components, then the best of each entry, then all: each spares the next what it joins.
+    of_two = lambda apart: apart.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(one).select("p.*")
+    for choice in (of_two, best, lambda apart: apart):
+        tried = settled(choice(_apart(left, known)))
+        joined(tried, sets)
+        left = settled(_apart(left, known).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if not left.head(1):
+            break
+    return known
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
