@@ -105,6 +105,16 @@ def test_pii_spans_against_brute_force(spark, docs, none):
     assert pii.with_spans(docs).columns == [*docs.columns, "pii_spans"] and pii.with_spans(none).count() == 0
 
 
+def test_pii_accounts_end_where_their_country_says(spark):
+    accounts = ["BE68539007547034", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"]
+    after = [" BIC", " BIC", " EUR 50", " EUR 50", " BE68 5390 0754 7034"]
+    df = spark.createDataFrame([(i, f"iban {x}{y}") for i, (x, y) in enumerate(zip(accounts, after, strict=True))], "doc_id long, text string")
+    for r in pii.with_spans(df).collect():
+        found = [r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["kind"] == "iban"]
+        assert found == [accounts[r["doc_id"]], *[after[4][1:]] * (r["doc_id"] == 4)]
+    assert {r["text"] for r in pii.redact(df).collect()} == {"iban [IBAN] BIC", "iban [IBAN] EUR 50", "iban [IBAN] [IBAN]"}
+
+
 def test_pii_adds_accounts_and_numbers_in_context(spark):
     df = spark.createDataFrame([(1, "iban DE89 3704 0044 0532 0130 00 bad DE89370400440532013001 " + "x " * 30 + "ssn 123-45-6789 " + "y " * 30 + "123-45-6780")], "doc_id long, text string")
     spans = pii.with_spans(df).first()["pii_spans"]
