@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dup, packing, pii, quality
-from tidemark.session import shared_dir, table
+from tidemark.session import shared_dir, settled, table
+
+#: Words of a shingle in the near-duplicate stage; only op9's contract says four.
+WORDS = 5
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +20,23 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies, and one of rows that repeat an id; rows without an id stay."""
-    groups = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.filter("kept and doc_id is not null").select("doc_id").distinct()
-    ids = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("__n", F.row_number().over(ids)).filter("__n = 1")
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    """The first document of each group of near copies; rows without an id stay.
+
+    Rows that repeat an id are documents of their own: the first by text keeps the id here, the others get new ones.
+    """
+    named, own = docs.filter("doc_id is not null"), F.col("doc_id").cast("long")
+    twice = settled(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    alone = named.withColumn("__id", own)
+    if twice.head(1):
+        most = named.agg(F.max(own)).first()[0]
+        fresh = F.lit(most + 1) + F.monotonically_increasing_id() if most < 1 << 62 else F.xxhash64("doc_id", "__n")
+        ids = Window.partitionBy("doc_id").orderBy("text")
+        again = named.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(ids))
+        again = settled(again.withColumn("__id", F.when(F.col("__n") == 1, own).otherwise(fresh)).select(*docs.columns, "__id"))
+        alone = alone.join(twice, "doc_id", "left_anti").select(*docs.columns, "__id").union(again)
+    groups = near_dup.near_duplicates(alone.select(F.col("__id").alias("doc_id"), "text"), WORDS)
+    stay = groups.filter("kept").select(F.col("doc_id").alias("__id"))
+    return alone.join(stay, "__id", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -470,6 +470,24 @@ def test_pipeline_decisions(spark, docs):
     assert max(mixed.values()) >= 1
 
 
+def test_pipeline_groups_by_five_words_and_keeps_other_texts_of_an_id(spark):
+    text = lambda name: [f"{name}{i}" for i in range(100)]
+    edited = text("a")
+    edited[20] = edited[60] = "changed"
+    scattered = text("d")
+    for i in (20, 60):
+        scattered[i] = "changed"
+    del scattered[90:]
+    rows = [(1, text("a")), (3, edited), (7, text("b")), (7, text("c")), (7, text("c")), (8, text("c")), (9, text("d")[:90]), (10, scattered)]
+    sets = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+    alike = lambda n: len(sets(text("d")[:90], n) & sets(scattered, n)) / len(sets(text("d")[:90], n) | sets(scattered, n))
+    assert alike(4) >= 0.8 > alike(5)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"][0]) for r in dict(corpus_pipeline.STAGES)["near_dup"](spark, df, "").collect())
+    assert [i for i, _ in got if i in (1, 3, 9, 10)] == [1, 9, 10]
+    assert sorted(c for i, c in got if i in (7, 8)) == ["b", "c"]
+
+
 def test_arrow_pieces_survive_slices():
     from tidemark.llm.words import split_words
 

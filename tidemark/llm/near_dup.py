@@ -1,6 +1,6 @@
 """Near duplicates (9) by an LSH forest.
 
-A document is the set of its distinct 4-word shingles; documents are linked at a Jaccard similarity of 0.8. Equal
+A document is the set of its distinct shingles of 4 words (or as many as asked for); documents are linked at a Jaccard similarity of 0.8. Equal
 sets share one entry. Each entry has a min-hash signature of 80 slots, and 20 sorted orders of the signatures, each
 beginning at another slot, form the forest. A region is a run of an order that agrees in its first four slots: two
 entries at the threshold share one in a given order with probability 0.41, and in none of 20 with 3 in 100,000. In a
@@ -79,12 +79,12 @@ def signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, the 128-bit hash of the set and its signature (both null for an empty set) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            flat, starts = shingle_sets(batch.column("text"))
+            flat, starts = shingle_sets(batch.column("text"), words)
             sizes = np.diff(starts)
             full = np.nonzero(sizes)[0]
             signed = signatures(flat, np.append(starts[full], starts[-1]))
@@ -283,11 +283,14 @@ def meeting(entries: DataFrame) -> DataFrame:
     return cells.mapInArrow(_cells, "a long, b long, agree int").distinct()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        flat, starts = shingle_sets(batch.column("text"))
-        packed = [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, type=pa.binary())], names=["node", "shingles"])
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            flat, starts = shingle_sets(batch.column("text"), words)
+            packed = [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, type=pa.binary())], names=["node", "shingles"])
+
+    return run
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +322,9 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumns({"la": F.coalesce("ca", "a"), "lb": F.coalesce("cb", "b")}).filter("la <> lb").drop("ca", "cb")
 
 
-def grouped(entries: DataFrame, docs: DataFrame) -> DataFrame:
+def grouped(entries: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(node, component) of the entries (node, signature, n_shingles) that are linked with another."""
-    shingled = lambda need: docs.select(F.col("doc_id").alias("node"), "text").join(need, "node", "left_semi").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    shingled = lambda need: docs.select(F.col("doc_id").alias("node"), "text").join(need, "node", "left_semi").mapInArrow(_sets(words), "node long, shingles binary").dropDuplicates(["node"])
     ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     near = settled(neighbours(entries.withColumn("label", F.col("node"))))
     pairs = settled(agreeing(near.filter("a <> b"), entries))
@@ -364,18 +367,18 @@ def grouped(entries: DataFrame, docs: DataFrame) -> DataFrame:
     return known
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of `docs` (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of `docs` (doc_id, text), by shingles of `words`.
 
     A null or empty text has an empty set and is linked with nothing. A row without a doc_id is linked with nothing:
     its component_id is null and it is kept. Rows that repeat an id belong to the component of each row's own text,
     and where the id names that component each of them is kept; other columns are ignored; no rows give no rows.
     """
-    rows = settled(sketches(docs))
+    rows = settled(sketches(docs, words))
     linked = rows.filter("doc_id is not null and mark is not null")
     order = Window.partitionBy("mark").orderBy("doc_id")
     entries = settled(linked.withColumn("n", F.row_number().over(order)).filter("n = 1").select(F.col("doc_id").alias("node"), "mark", "signature", "n_shingles"))
-    known = grouped(entries, docs)
+    known = grouped(entries, docs, words)
     named = settled(entries.join(known, "node", "left").select("mark", F.coalesce("component", "node").alias("component")))
     slim = rows.select("doc_id", "n_shingles", F.coalesce("mark", F.to_binary(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")), F.lit("utf-8"))).alias("mark"))
     out = slim.join(named, "mark", "left")
