@@ -179,3 +179,21 @@ def test_ann_recall(spark):
         s[list(ids).index(q)] = -9
         hits += len(set(ids[np.argsort(-s)[:10]]) & set(got[got["query_id"] == q]["vec_id"]))
     assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_layout_and_labels_take_all_words(spark, sf):
+    from tidemark.plans import chunks, search, tools
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    boxes = chunks.words(spark, sf)
+    assert boxes.count() == boxes.select("doc_id", "page", "x0", "y0").distinct().count()
+    got = {r["doc_id"]: r["n"] for r in boxes.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    all_words = {r["doc_id"]: r["n"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.size(T.words(F.col("text"))).alias("n")).filter("n > 0").collect()}
+    assert got == all_words
+    pages = boxes.select("doc_id", "page").distinct().count()
+    assert chunks.table_grid(spark, sf).count() == pages
+    assert sum(len(r["markdown"].split("\n")) for r in chunks.table_grid(spark, sf).collect()) == boxes.select("doc_id", "page", "y0").distinct().count()
+    asked = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    assert {r["query_id"] for r in search.mmr_rerank(spark, sf).select("query_id").distinct().collect()} == asked
+    names = tools.decode_labels(spark, sf).groupBy("doc_id").count()
+    assert names.filter("doc_id >= 200").count() > 0 or max(texts) < 200

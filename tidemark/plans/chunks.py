@@ -132,9 +132,14 @@ def line_regions(spark, sf):
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Words with boxes on pages of forty lines, as a layout extractor would give them: two columns where the id is even."""
-    lines = _docs(spark, sf).filter("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    w = lines.select("doc_id", "line", F.posexplode(F.slice(T.words(F.col("t")), 1, 12)).alias("i", "word"))
+    """Words with boxes on pages of forty lines, as a layout extractor would give them: two columns where the id is even.
+
+    A line goes on in the next after twelve words.
+    """
+    parts = lambda ws: F.when(F.size(ws) == 0, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 12).cast("int")), lambda k: F.slice(ws, k * 12 + 1, 12)))
+    wrapped = F.flatten(F.transform(F.split("text", "\n"), lambda t: parts(T.words(t))))
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(wrapped).alias("line", "ws"))
+    w = lines.select("doc_id", "line", F.posexplode("ws").alias("i", "word"))
     left = F.when((F.col("doc_id") % 2 == 0) & (F.col("i") >= 6), F.lit(500)).otherwise(F.lit(0)) + F.col("i") % 6 * 60 + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(F.when(F.col("i") >= 6, 360).otherwise(0))
     page, top = (F.col("line") / 40).cast("int") + 1, F.col("line") % 40 * 25
     return w.select("doc_id", page.alias("page"), "line", "i", "word", left.alias("x0"), (left + 50).alias("x1"), top.alias("y0"), (top + 15).alias("y1"))
@@ -176,7 +181,7 @@ def layout_summary(spark, sf):
 @query()
 def table_grid(spark, sf):
     """Cells of a page in rows by their band and columns by their left edge, as Markdown."""
-    cells = words(spark, sf).filter("line < 4").groupBy("doc_id", "page", "y0").agg(F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("c"))
+    cells = words(spark, sf).groupBy("doc_id", "page", "y0").agg(F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("c"))
     rows = cells.select("doc_id", "page", "y0", F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: x["word"]), " | "), F.lit(" |")).alias("row"))
     g = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "row"))).alias("r"))
     return g.select("doc_id", "page", F.array_join(F.transform("r", lambda x: x["row"]), "\n").alias("markdown"))
