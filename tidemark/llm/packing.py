@@ -11,6 +11,9 @@ Every task packs the rows it has read; no row is shuffled. A lost task is packed
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidemark.llm.words import slices, split_words
 from tidemark.session import table
@@ -41,27 +45,57 @@ CACHE_WORDS = 400_000
 POOL = 512
 #: Marks that may follow a word. The tokenizer never joins them to a letter.
 TRAILING = ".,!?*$%#&;:"
+#: The tokenizer settings under which a text's ids are its words' ids, letters and marks apart.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def separable(path: str) -> bool:
+    """Whether the tokenizer's settings are those above and no special token can begin or end within a run of letters and marks."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        told["model"].get("type") == "BPE"
+        and told["model"].get("end_of_word_suffix") == "</w>"
+        and (told.get("normalizer") or {}).get("normalizers") == NORMALIZER
+        and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not any(re.search(r"\s", t["content"]) or re.fullmatch(rf"[^\W\d_]*[{TRAILING}]*", t["content"]) for t in told.get("added_tokens", []))
+    )
 
 
 class WordIds:
     """Ids of words by a tokenizer whose tokens end with white space and between letters and marks, and ignore case.
 
     A text's ids are then its words' ids, and the ids of a word of letters with marks after it are those of the
-    letters and of the marks. Words of letters are encoded many at a time, and told apart by the tokens that end a word.
+    letters and of the marks, provided that the letters are still letters alone once they are normalised (a capital I
+    with a dot is not: its dot is a mark, which other marks join). Words of letters are encoded many at a time, and
+    told apart by the tokens that end a word. With a tokenizer of other settings whole texts are encoded.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.separable = Tokenizer.from_file(path), separable(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
+    def letters(self, stems: pa.Array) -> np.ndarray:
+        """Which stems are letters alone, as they stand and normalised."""
+        plain = np.array(pc.match_substring_regex(stems, r"^\p{L}+$"))
+        foreign = np.nonzero(plain & ~np.asarray(pc.string_is_ascii(stems)))[0]
+        for i in range(0, len(foreign), 5000):
+            part = stems.take(pa.array(foreign[i : i + 5000])).to_pylist()
+            turned = self.tokenizer.normalizer.normalize_str(" ".join(part)).split(" ")
+            if len(turned) != len(part):
+                turned = [self.tokenizer.normalizer.normalize_str(w) for w in part]
+            plain[foreign[i : i + 5000]] = np.asarray(pc.match_substring_regex(pa.array(turned, type=pa.string()), r"^\p{L}+$"))
+        return plain
+
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
         self.starts, self.flat, self.used = np.zeros(1, dtype=np.int64), np.zeros(0, dtype="<u4"), 0
@@ -102,7 +136,7 @@ class WordIds:
             self.clear()
         low = pc.ascii_lower(words)
         stems = pc.ascii_rtrim(low, TRAILING)
-        plain = np.asarray(pc.match_substring_regex(stems, r"^\p{L}+$"))
+        plain = self.letters(stems)
         first, second = np.empty(len(words), dtype=np.int64), np.full(len(words), -1, dtype=np.int64)
         mask = pa.array(plain)
         first[plain] = self._slots(stems.filter(mask), letters=True)
@@ -121,6 +155,9 @@ def text_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarr
     if path not in _tokenizers:
         _tokenizers[path] = WordIds(path)
     known = _tokenizers[path]
+    if not known.separable:
+        found = [[*e.ids, end_id] for e in known.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.array([x for ids in found for x in ids], dtype="<u4"), np.cumsum([0, *map(len, found)])
     offsets, index, dictionary = split_words(texts, lower=False)
     first, second = known.slots(dictionary)
     flat = np.append(known.flat[: known.used], np.array([end_id], dtype="<u4"))
@@ -153,10 +190,13 @@ class Item:
 
 
 class Packer:
-    """Packs items as they come; `drain` gives finished sequences as lists of (item, offset)."""
+    """Packs items as they come; `drain` gives finished sequences as lists of items.
+
+    With `even`, a sequence that can't be filled is shortened to a power of two.
+    """
 
-    def __init__(self, limits: Limits = Limits(), cut: bool = True):
-        self.limits, self.cut, self.pool = limits, cut, []
+    def __init__(self, limits: Limits = Limits(), cut: bool = True, even: bool = True):
+        self.limits, self.cut, self.even, self.pool = limits, cut, cut and even, []
 
     def add(self, item: Item) -> Iterator[list[Item]]:
         """Take an item; what fills whole sequences alone leaves at once."""
@@ -197,7 +237,7 @@ class Packer:
                 else:
                     pool[best] = rest
                     sizes[best] = [len(rest.ids), 1, rest.loss()]
-            for back in self._even(sequence) if self.cut else []:
+            for back in self._even(sequence) if self.even else []:
                 waiting += len(back.ids)
                 pool.append(back)
                 sizes = np.vstack([sizes, [len(back.ids), 1, back.loss()]])
@@ -234,50 +274,91 @@ class Packer:
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+EXAMPLE_SCHEMA = SCHEMA.replace("doc_id", "example_id").replace("doc_tokens", "example_tokens") + ", loss_tokens long"
+
+
+def _pieces(packer: Packer, batches: Iterator[list[Item]], schema: str) -> Iterator[pa.RecordBatch]:
+    """Rows of the schema for the items of each batch as they are packed, those that wait at the end included."""
+    number, names = TaskContext.get().partitionId() << 33, [f.split()[0] for f in schema.split(", ")]
+    rows: list[tuple] = []
+
+    def put(sequences: Iterator[list[Item]]) -> None:
+        nonlocal number
+        for sequence in sequences:
+            at = 0
+            for x in sequence:
+                rows.append((x.key, x.start, len(x.ids), zlib.crc32(x.ids.astype("<u4", copy=False).tobytes()), x.total, number, at, x.loss())[: len(names)])
+                at += len(x.ids)
+            number += 1
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        out = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
+        rows.clear()
+        return out
+
+    for items in batches:
+        for item in items:
+            put(packer.add(item))
+            if len(packer.pool) >= POOL:
+                put(packer.drain())
+        put(packer.drain())
+        packer.pool = [Item(x.key, x.start, x.ids.copy(), x.total, x.prompt) for x in packer.pool]
+        yield flush()
+    put(packer.drain(last=True))
+    yield flush()
 
 
 def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id: int = END_ID) -> DataFrame:
-    """One row per piece of each row of `docs` (doc_id, text), with the sequence that holds it.
+    """One row per piece of each row of `docs` (doc_id, text), with the sequence that holds it: examples without prompts.
 
     A null or empty text has the end id alone. A null doc_id stays null; repeated rows are packed once each;
     other columns are ignored; no rows give no pieces. Ids are unique within a run: the task's number, then a count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number, names = Packer(limits), TaskContext.get().partitionId() << 33, [f.split()[0] for f in SCHEMA.split(", ")]
-        rows: list[tuple] = []
-
-        def put(sequences: Iterator[list[Item]]) -> None:
-            nonlocal number
-            for sequence in sequences:
-                at = 0
-                for x in sequence:
-                    rows.append((x.key, x.start, len(x.ids), zlib.crc32(x.ids.astype("<u4", copy=False).tobytes()), x.total, number, at))
-                    at += len(x.ids)
-                number += 1
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            out = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
-            rows.clear()
-            return out
-
-        for batch in slices(batches):
-            ids, starts = text_ids(batch.column("text"), path, end_id)
-            for i, key in enumerate(batch.column("doc_id").to_pylist()):
-                own = ids[starts[i] : starts[i + 1]]
-                put(packer.add(Item(key, 0, own, len(own))))
-                if len(packer.pool) >= POOL:
-                    put(packer.drain())
-            put(packer.drain())
-            packer.pool = [Item(x.key, x.start, x.ids.copy(), x.total, x.prompt) for x in packer.pool]
-            yield flush()
-        put(packer.drain(last=True))
-        yield flush()
+        def items() -> Iterator[list[Item]]:
+            for batch in slices(batches):
+                ids, starts = text_ids(batch.column("text"), path, end_id)
+                yield [Item(key, 0, ids[s:e], int(e - s)) for key, s, e in zip(batch.column("doc_id").to_pylist(), starts[:-1], starts[1:], strict=True)]
+
+        yield from _pieces(Packer(limits), items(), SCHEMA)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def pack_examples(examples: DataFrame, path: str, limits: Limits = Limits(segments=64, loss_tokens=1024), end_id: int = END_ID) -> DataFrame:
+    """Instruction data: one row per piece of each row of `examples` (example_id, prompt, response).
+
+    An example is its prompt's ids, its response's and the end id, of which the response's and the end bear loss
+    (loss_tokens of a piece). A sequence keeps all three limits; an example is cut only where it exceeds one itself or
+    fills a sequence, and sequences are padded. Null texts count as empty; a null id stays null; repeated rows are
+    packed once each; other columns are ignored; no rows give no pieces.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def items() -> Iterator[list[Item]]:
+            for batch in slices(slices(batches, "prompt"), "response"):
+                (asked, a), (told, b) = (text_ids(batch.column(c), path, end_id) for c in ("prompt", "response"))
+                out = []
+                for k, key in enumerate(batch.column("example_id").to_pylist()):
+                    prompt = asked[a[k] : a[k + 1] - 1]
+                    ids = np.concatenate([prompt, told[b[k] : b[k + 1]]])
+                    out.append(Item(key, 0, ids, len(ids), len(prompt)))
+                yield out
+
+        yield from _pieces(Packer(limits, even=False), items(), EXAMPLE_SCHEMA)
+
+    return examples.select("example_id", "prompt", "response").mapInArrow(run, EXAMPLE_SCHEMA)
+
+
+def conversation_examples(conversations: DataFrame) -> DataFrame:
+    """(example_id, prompt, response): each turn of the assistant, after the turn before it in its conversation (null: none)."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = conversations.withColumn("prompt", before).filter("role = 'assistant'")
+    return turns.select(F.xxhash64("conv_id", "turn").alias("example_id"), "prompt", F.col("text").alias("response"))
+
+
 def default_path() -> str:
     import public_tokenizers
 
