@@ -121,35 +121,41 @@ def lzw_decode(data: bytes) -> bytes:
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes: dict[bytes, int] = {bytes([i]): i for i in range(256)}
+    codes: dict[int, int] = {}  # of a code and the byte after it
     size, width, held, bits = 258, 9, CLEAR, 9
-    prefix = b""
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in codes:
+    out: list[bytes] = []
+    prefix = data[0] if data else END
+    for byte in data[1:]:
+        longer = codes.get(prefix << 8 | byte)
+        if longer is not None:
             prefix = longer
             continue
-        held = (held << width) | codes[prefix]
+        held = (held << width) | prefix
         bits += width
-        codes[longer] = size
+        codes[prefix << 8 | byte] = size
         size += 1
         if size == 4094:
             held = (held << width) | CLEAR
             bits += width
-            codes = {bytes([k]): k for k in range(256)}
+            codes = {}
             size, width = 258, 9
-        else:
-            width = 12 if size >= 2048 else 11 if size >= 1024 else 10 if size >= 512 else 9
-        prefix = data[i : i + 1]
-    if prefix:
-        held = (held << width) | codes[prefix]
+        elif size in (512, 1024, 2048):
+            width += 1
+        prefix = byte
+        if bits > 512:  # whole bytes leave, so that the number stays short
+            whole, bits = bits >> 3, bits & 7
+            out.append((held >> bits).to_bytes(whole, "big"))
+            held &= (1 << bits) - 1
+    if data:
+        held = (held << width) | prefix
         bits += width
         size += 1
         width = 12 if size >= 2048 else 11 if size >= 1024 else 10 if size >= 512 else 9
     held = (held << width) | END
     bits += width
     pad = -bits % 8
-    return (held << pad).to_bytes((bits + pad) // 8, "big")
+    out.append((held << pad).to_bytes((bits + pad) // 8, "big"))
+    return b"".join(out)
 
 
 ENCODERS = {PLAIN: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
@@ -246,21 +252,23 @@ def write(page_rows: list[np.ndarray], compression: int, predictor: int = 1, str
     return bytes(out)
 
 
+#: Compression, predictor and tile of the files that are written.
+LAYOUTS = ((LZW, 2, None), (PACKBITS, 1, (192, 16)), (DEFLATE, 1, None), (DEFLATE, 2, (192, 64)))
+
+
 def store(payload: bytes) -> bytes:
-    """A payload of a multiple of 576 bytes as a file: one row by LZW, up to three by PackBits, more by deflate, in tiles from 32 rows."""
+    """A payload of a multiple of 576 bytes as a file of one of the layouts, by the payload's checksum, whatever its size."""
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, ROW)
-    split = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    if len(rows) == 1:
-        return write(split, LZW, predictor=2)
-    if len(rows) <= 3:
-        return write(split, PACKBITS)
-    if len(rows) < 32:
-        return write(split, DEFLATE)
-    return write(split, DEFLATE, predictor=2, tile=(192, 64))
+    compression, predictor, tile = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
+    return write([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the file of each text's UTF-8 bytes, filled with bytes 255 up to a positive multiple of 576 (null: empty)."""
+    """doc_id, n_bytes and the file of each text's UTF-8 bytes, filled with bytes 255 up to a positive multiple of 576 (null: empty).
+
+    A text of any length is a file of as many pages as it needs. Repeated rows and null ids give their own files, equal
+    texts equal files; other columns are ignored; no rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -309,7 +317,11 @@ def feature(payload: np.ndarray, n_pages: int) -> str:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """Figures of each stored file, computed from its pages as read back."""
+    """Figures of each stored file (doc_id, n_bytes, media), computed from its pages as read back.
+
+    A file that can't be read is an error, as `store_texts` has just written it. Repeated rows and null ids stay;
+    other columns are ignored; no rows give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
