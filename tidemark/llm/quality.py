@@ -9,7 +9,7 @@ documents with such labels, and scores every document. Those below one half are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.names import fresh
 from tidemark.llm.words import slices, split_words
 from tidemark.session import table
 
@@ -41,9 +42,9 @@ ENOUGH = 12
 SAMPLE = 12_000
 BUCKETS = 1 << 16
 ROUNDS = 60
-#: What is believed of a labeller's calls on junk and on clean documents before any is seen, and the share of the corpus that this counts for.
+#: What is believed of a labeller's calls on junk and on clean documents before any is seen, and for how many documents this counts.
 BELIEF = np.array([[0.03, 0.03], [0.001, 0.999]])
-FIRM = 0.2
+FIRM = 20
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 1 letter, 2 capital, 3 symbol, 4 continuation byte
 _CLASS[97:123] = 1
@@ -138,7 +139,7 @@ def fit_labels(counts: dict[int, int], rounds: int = 200) -> LabelModel:
         before = rates.copy()
         for y, share in ((0, weights * (1 - good)), (1, weights * good)):
             for k in range(n):
-                got = np.bincount(seen[:, k], weights=share, minlength=3)[:2] + FIRM * weights.sum() * BELIEF[y]
+                got = np.bincount(seen[:, k], weights=share, minlength=3)[:2] + FIRM * BELIEF[y]
                 rates[k, y] = got / got.sum()
         prior = float(np.clip((weights * good).sum() / weights.sum(), 0.01, 0.99))
         if np.abs(rates - before).max() < 1e-9:
@@ -210,8 +211,19 @@ def fit_scorer(rows: list[tuple[bytes, bytes, float, float]]) -> Scorer:
     return Scorer(weights)
 
 
+def sample_bound(total: int, sample: int) -> int:
+    """The largest 64-bit hash of a row that is drawn, where about `sample` of `total` are."""
+    return min(2**63 - 1, 2**64 * sample // max(total, 1) - 2**63)
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
-    """The label model from all rows of `docs` (doc_id, text), and the scorer from about `sample` of them."""
+    """The label model from all rows of `docs` (doc_id, text), and the scorer from about `sample` of them.
+
+    The scorer's rows are drawn by a 64-bit hash of id and text, each distinct (id, text) once, so that the sample is
+    bounded whatever repeats and however many rows there are. Null ids and texts are drawn like others, a null or empty
+    text having no words; texts of any length count whole; other columns are ignored. Of no rows comes a scorer that
+    keeps everything.
+    """
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -235,18 +247,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
                 shares.append((n / max(e - s, 1)).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.binary()), pa.array(shares, type=pa.binary()), pa.array(stats["echoes"]), pa.array(label)], names=["at", "shares", "echoes", "label"])
 
-    part = min(1.0, sample / max(total, 1))
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(part * 1_000_000)).select("text")
+    drawn = docs.select("doc_id", "text").filter(F.xxhash64("doc_id", "text", F.lit(1)) <= sample_bound(total, sample)).dropDuplicates().select("text")
     rows = drawn.mapInArrow(vectors, "at binary, shares binary, echoes double, label double").collect()
     return model, fit_scorer([tuple(r) for r in rows])
 
 
-def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
-    """`docs` with quality_label (the label model's posterior), quality_score and quality_kept; columns so named are replaced.
+ADDED = ("quality_label", "quality_score", "quality_kept")
+
+
+def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, threshold: float = 0.5, names: Sequence[str] = ADDED) -> DataFrame:
+    """`docs` with quality_label (the label model's posterior), quality_score and quality_kept, or as `names` says; columns so named are replaced.
 
     A null or empty text has no words; it gets the scorer's bias alone. Rows, ids and other columns stay as they are.
     """
-    added = ["quality_label", "quality_score", "quality_kept"]
+    added = list(names)
     plain = docs.drop(*added)
     schema = T.StructType([*plain.schema.fields, T.StructField(added[0], T.DoubleType()), T.StructField(added[1], T.DoubleType()), T.StructField(added[2], T.BooleanType())])
 
@@ -261,8 +275,12 @@ def classify(docs: DataFrame, model: LabelModel, scorer: Scorer, threshold: floa
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier fitted to them doesn't reject, with the columns they had."""
-    return classify(docs, *fit(docs)).filter("quality_kept").select(*docs.columns)
+    """The rows of `docs` that the classifier fitted to them doesn't reject, with the columns they had, whatever their names.
+
+    Equal texts are kept or rejected alike; null and empty texts are kept where the scorer's bias is; no rows give none.
+    """
+    names = fresh(docs.columns, *ADDED)
+    return classify(docs, *fit(docs), names=names).filter(F.col(names[2])).select(*docs.columns)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
