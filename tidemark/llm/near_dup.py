@@ -1,46 +1,52 @@
 """Near duplicates (9) by an LSH forest.
 
-A document is the set of its distinct shingles of 4 words (or as many as asked for); documents are linked at a Jaccard similarity of 0.8. Equal
-sets share one entry. Each entry has a min-hash signature of 80 slots, and 20 sorted orders of the signatures, each
-beginning at another slot, form the forest. A region is a run of an order that agrees in its first four slots: two
-entries at the threshold share one in a given order with probability 0.41, and in none of 20 with 3 in 100,000. In a
-region of up to `SMALL` entries all pairs are candidates. In a larger one the depth adapts to each entry: it is a
-candidate with the one that agrees in most slots of the `WINDOW` entries before it, those of the longest common
-prefixes, and of equals with the nearest, so none is left alone and the candidates grow with the entries, not with
-their square. Once components are known, the entries of larger regions go through the orders again, and there only
-entries of other components count: so links between groups are looked for where groups meet. What these passes propose
-only spares work: at last all pairs of a region that still lie in different components are compared, by their whole
-signatures, and tried. Cells of up to `BLOCK` by `BLOCK` entries share out a large region.
-
-Candidates whose signatures agree too little are dropped (the chance to lose a pair at the threshold is under 1 in
-100,000), the others are confirmed on full sets. As only components are asked for, the most alike partner of each
-entry comes first, and then the pairs that still lie in different components.
+A document is the set of its distinct shingles of 4 words (or as many as asked for); documents are linked at a Jaccard
+similarity of 0.8. Equal sets share one entry. Each entry has a min-hash signature of 80 slots, and 20 sorted orders of
+the signatures, each beginning at another slot, form the forest. A region is a run of an order that agrees in its first
+four slots: two entries at the threshold share one in a given order with probability 0.41, and in none of 20 with 3 in
+100,000.
+
+Three passes, of which the first two only spare the third work:
+
+1. The depth adapts to each entry: its candidate in an order is the one of the longest common prefix, or rather of most
+   common slots, among the `WINDOW` entries before it in its region, and of its candidates in all orders it keeps the
+   best. So the candidates grow with the entries and not with a region's square.
+2. The entries go through the orders again, where only entries of other components count, and each two components keep
+   their best candidates; again as long as that joins many of them.
+3. Every pair of a region that still lies in different components is compared on full sets. In a region most entries
+   lie in one component as a rule; only pairs with an entry outside it are left, and cells of a bounded number of
+   entries and of shingles share these out, so that a text moves once per cell and not once per pair.
+
+So a link is lost only where the signatures of its ends share no region, or agree in fewer than 48 of 80 slots (under
+1 in 100,000 at the threshold). A region whose entries are alike but not linked costs the square of its size in the
+third pass, in comparisons inside tasks; its texts move once per `CELL` entries of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
-from tidemark.llm.words import hash_words, mix, slices, split_words
+from tidemark.llm.components import components, least_linked
+from tidemark.llm.words import SLICE_BYTES, hash_words, mix, slices, split_words
 from tidemark.session import settled, table
 
 WORDS = 4
 PERCENT = 80
 ORDERS, DEPTH, DEEPEST = 20, 4, 16
 SLOTS = ORDERS * DEPTH
-SMALL = 12
-#: Entries before it that an entry of a dense region is compared with, and how many of them are candidates, first and across components.
+#: Entries before it that an entry of a dense region is compared with.
 WINDOW = 64
-CLOSEST, ACROSS = 1, 4
-#: Entries of a region that are compared with as many others in one place.
-BLOCK = 1024
+#: Entries and shingles of either side of a cell, about.
+CELL, CELL_SHINGLES = 1024, 1 << 20
+#: A second pass is repeated while it joins this share of what it tries.
+WORTHWHILE = 0.2
 #: Of 80 slots, agreements at least: 0.8 less 4.5 standard deviations.
 AGREE = 48
 _A = mix(np.arange(1, SLOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -108,65 +114,70 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(turned), order, dtype=np.int32)), keys, batch.column(0), batch.column(2)], names=["order", "key", "node", "label"])
 
 
+SELF, PAIR = 0, 1
+PAIRS = ["a", "b", "la", "lb", "agree", "kind"]
+
+
 class _Region:
     """A run of an order: keys as rows of slots, nodes, and the component of each node (itself where none is known)."""
 
-    def __init__(self, keys: list[bytes], nodes: list[int], labels: list[int], again: bool):
+    def __init__(self, keys: list[bytes], nodes: list[int], labels: list[int]):
         self.slots = np.frombuffer(b"".join(keys), dtype=">u2").reshape(-1, DEEPEST)
-        self.nodes, self.labels, self.again = np.array(nodes, dtype=np.int64), np.array(labels, dtype=np.int64), again
+        self.nodes, self.labels = np.array(nodes, dtype=np.int64), np.array(labels, dtype=np.int64)
 
-    def pairs(self) -> Iterator[np.ndarray]:
-        n = len(self.nodes)
-        if (self.labels == self.labels[0]).all():
-            return
-        if n <= SMALL:
-            yield from self._all(0, n)
-            return
-        if not self.again:
-            yield np.stack([self.nodes, self.nodes], axis=1)  # marks entries of dense regions
-        yield self._closest(ACROSS if self.again else CLOSEST)
-
-    def _all(self, lo: int, hi: int) -> Iterator[np.ndarray]:
-        i, j = np.triu_indices(hi - lo, 1)
-        apart = self.labels[lo + i] != self.labels[lo + j]
-        yield np.stack([self.nodes[lo + i[apart]], self.nodes[lo + j[apart]]], axis=1)
-
-    def _closest(self, most: int) -> np.ndarray:
+    def rows(self, again: bool) -> Iterator[np.ndarray]:
+        """Candidate pairs, and (unless the orders are gone through again) each node as a pair with itself."""
+        every = np.arange(len(self.nodes))
+        if not again:
+            yield self._rows(every, every, np.zeros_like(every), SELF)
+        if (self.labels != self.labels[0]).any():
+            yield self._closest()
+
+    def _rows(self, i: np.ndarray, j: np.ndarray, agree: np.ndarray, kind: int) -> np.ndarray:
+        return np.stack([self.nodes[i], self.nodes[j], self.labels[i], self.labels[j], agree, np.full(len(i), kind)], axis=1)
+
+    def _closest(self) -> np.ndarray:
+        """Each entry with the one of another component, of the WINDOW before it, that agrees in most slots; of equals with the first, so that links form stars and not chains."""
         n = len(self.nodes)
         found = []
         for start in range(0, n, 4096):
             rows = np.arange(start, min(start + 4096, n))
-            agree = np.full((len(rows), min(WINDOW, n - 1)), -1, dtype=np.int8)
-            for w in range(agree.shape[1]):
-                own = rows[rows > w]
-                same = (self.slots[own] == self.slots[own - w - 1]).sum(axis=1)
-                agree[own - start, w] = np.where(self.labels[own] != self.labels[own - w - 1], same, -1)
-            best = np.argsort(-agree, axis=1, kind="stable")[:, :most]
-            for k in range(best.shape[1]):
-                real = agree[np.arange(len(rows)), best[:, k]] >= DEPTH
-                found.append(np.stack([self.nodes[rows[real]], self.nodes[rows[real] - best[real, k] - 1]], axis=1))
+            most, best = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
+            for w in range(1, min(WINDOW, n - 1) + 1):
+                own = rows[rows >= w]
+                same = np.where(self.labels[own] != self.labels[own - w], (self.slots[own] == self.slots[own - w]).sum(axis=1), 0)
+                better = (same > 0) & (same >= most[own - start])
+                most[own[better] - start], best[own[better] - start] = same[better], w
+            real = most >= DEPTH
+            found.append(self._rows(rows[real], rows[real] - best[real], most[real], PAIR))
         return np.concatenate(found)
 
 
 def _neighbours(again: bool):
-    """Candidate pairs of a sorted part of the orders. The region at a batch's end waits for the next batch."""
+    """Candidates of a sorted part of the orders. The region at a batch's end waits for the next batch.
+
+    A part may begin or end within a region: entries of its first and last one count as having neighbours.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
         nodes: list[int] = []
         labels: list[int] = []
         heads: list[bytes] = []
+        begun = False
 
         def found(last: bool) -> pa.RecordBatch:
-            start, pairs = 0, [np.zeros((0, 2), dtype=np.int64)]
+            nonlocal begun
+            start, out = 0, [np.zeros((0, len(PAIRS)), dtype=np.int64)]
             for i in range(1, len(heads) + 1):
-                if (i == len(heads) and last) or (i < len(heads) and heads[i] != heads[start]):
-                    if i - start > 1:
-                        pairs += _Region(keys[start:i], nodes[start:i], labels[start:i], again).pairs()
-                    start = i
+                end = i == len(heads)
+                if (end and last) or (not end and heads[i] != heads[start]):
+                    if i - start > 1 or (not again and (end or not begun)):
+                        out += _Region(keys[start:i], nodes[start:i], labels[start:i]).rows(again)
+                    start, begun = i, True
             del keys[:start], nodes[:start], labels[:start], heads[:start]
-            both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            rows = np.unique(np.concatenate(out), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(len(PAIRS))], names=PAIRS)
 
         for batch in batches:
             more = batch.column(1).to_pylist()
@@ -181,32 +192,78 @@ def _neighbours(again: bool):
 
 
 def neighbours(entries: DataFrame, again: bool = False) -> DataFrame:
-    """Distinct pairs a < b of nodes of (node, signature, label) with different labels that are neighbours in an order.
+    """Candidates (a, b, la, lb, agree, kind) of (node, signature, label): nodes of different labels, agreeing slots of those sorted by.
 
-    A node of a dense region stands as a pair with itself too, unless the orders are gone through again.
+    kind is PAIR for an entry a with the one before it that is most like it, and SELF for a node that shares a region.
     """
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     forest = entries.select("node", "signature", "label").mapInArrow(_orders, "order int, key binary, node long, label long")
     dealt = forest.repartitionByRange(n, "order", "key", "node").sortWithinPartitions("order", "key", "node")
-    return dealt.mapInArrow(_neighbours(again), "a long, b long").distinct()
+    return dealt.mapInArrow(_neighbours(again), ", ".join(f"{c} long" for c in PAIRS))
+
+
+def chosen(near: DataFrame, *keys: Column) -> DataFrame:
+    """Of the pairs with equal keys (a, b, la, lb) the one that agrees most."""
+    best = F.max_by(F.struct("a", "b", "la", "lb"), F.struct("agree", -F.col("b"), -F.col("a"))).alias("p")
+    return near.filter(F.col("kind") == PAIR).groupBy(*keys).agg(best).select("p.*")
 
 
 def agreeing(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs (a, b, agree) whose sets are of sizes that allow a link and whose signatures agree in enough slots."""
+    """Pairs (a, b, la, lb) whose sets are of sizes that allow a link and whose signatures agree in enough slots."""
     left = entries.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     right = entries.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
     sized = pairs.join(left, "a").join(right, "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return sized.select("a", "b", "sa", "sb").mapInArrow(_agreeing, "a long, b long, agree int")
+    return sized.select("a", "b", "la", "lb", "sa", "sb").mapInArrow(_agreeing, "a long, b long, la long, lb long")
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = {n: batch.schema.get_field_index(n) for n in ("a", "b", "sa", "sb")}
-        x, y = (np.frombuffer(b"".join(batch.column(at[c]).to_pylist()), dtype="<u2").reshape(-1, SLOTS) for c in ("sa", "sb"))
-        agree = (x == y).sum(axis=1).astype(np.int32)
-        keep = agree >= AGREE
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(at["a"]).filter(mask), batch.column(at["b"]).filter(mask), pa.array(agree[keep])], names=["a", "b", "agree"])
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, SLOTS) for c in ("sa", "sb"))
+        yield batch.select(["a", "b", "la", "lb"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed: less than half of their bytes, where sets of hashes are more than the text."""
+    for batch in slices(batches):
+        raw = [None if t is None else struct.pack("<I", len(t)) + pa.compress(t, codec="zstd", asbytes=True) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(raw, type=pa.binary())], names=["node", "packed"])
+
+
+def _unpacked(packed: list[bytes]) -> pa.Array:
+    return pa.array([pa.decompress(p[4:], decompressed_size=struct.unpack_from("<I", p)[0], codec="zstd", asbytes=True) for p in packed], type=pa.binary()).cast(pa.string())
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches in slices whose packed texts unpack to about `limit` bytes (one row at least)."""
+    for batch in batches:
+        sizes = sum(np.array([struct.unpack_from("<I", p)[0] for p in batch.column(c).to_pylist()], dtype=np.int64) for c in columns)
+        cuts = np.unique(np.concatenate([[0], np.nonzero(np.diff(np.cumsum(sizes) // limit))[0] + 1, [batch.num_rows]]))
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(int(s), int(e - s))
+        pa.default_memory_pool().release_unused()
+
+
+def _confirmed(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text_slices(batches, ["xa", "xb"]):
+            (x, xs), (y, ys) = (shingle_sets(_unpacked(batch.column(c).to_pylist()), words) for c in ("xa", "xb"))
+            keep = []
+            for i in range(batch.num_rows):
+                one, two = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                both = np.sort(np.concatenate([one, two]), kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * shared >= PERCENT * (len(one) + len(two) - shared))
+            yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """The pairs (a, b, la, lb) that are linked, by the full sets of their texts (node, packed)."""
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("xa"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("xb"))
+    whole = pairs.select("a", "b", "la", "lb").join(left, "a").join(right, "b")
+    return whole.select("a", "b", "la", "lb", "xa", "xb").mapInArrow(_confirmed(words), "a long, b long, la long, lb long")
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +271,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         heads = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<i8").reshape(-1, ORDERS)
         for order in range(ORDERS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), order, dtype=np.int32)), pa.array(np.ascontiguousarray(heads[:, order])), batch.column(0), batch.column(2)], names=["order", "head", "node", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), order, dtype=np.int32)), pa.array(np.ascontiguousarray(heads[:, order])), batch.column(0), batch.column(2), batch.column(3)], names=["order", "head", "node", "label", "n_shingles"])
 
 
 def _cell_pairs(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, parts: np.ndarray, slots: np.ndarray, within: bool) -> Iterator[np.ndarray]:
@@ -236,22 +293,15 @@ def _cell_pairs(nodes: np.ndarray, labels: np.ndarray, sizes: np.ndarray, parts:
         yield np.stack([np.minimum(x, y), np.maximum(x, y), agree[near]], axis=1)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each cell of rows sorted by cell. The cell at a batch's end waits for the next batch."""
-    waiting: list[pa.RecordBatch] = []
+def _changes(rows: pa.Table) -> np.ndarray:
+    """Where another cell begins, the first left out."""
+    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in CELL_KEY], axis=1)
+    return np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
 
-    def found(rows: pa.Table) -> pa.RecordBatch:
-        column = lambda c: rows.column(c).to_numpy()
-        slots = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
-        nodes, labels, sizes, parts, x, y = (column(c) for c in ("node", "label", "n_shingles", "part", "x", "y"))
-        cuts = np.concatenate([[0], _changes(rows), [rows.num_rows]])
-        out = [np.zeros((0, 3), dtype=np.int64)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                out += _cell_pairs(nodes[s:e], labels[s:e], sizes[s:e], parts[s:e], slots[s:e], x[s] == y[s])
-        three = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(three[:, 0]), pa.array(three[:, 1]), pa.array(three[:, 2].astype(np.int32))], names=["a", "b", "agree"])
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, in tables of whole cells. The cell at a batch's end waits for the next batch."""
+    waiting: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
             rows = pa.Table.from_batches([*waiting, batch])
@@ -259,112 +309,143 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = int(changes[-1]) if len(changes) else 0
             waiting = rows.slice(last).to_batches()
             if last:
-                yield found(rows.slice(0, last))
+                yield rows.slice(0, last)
     if waiting:
-        yield found(pa.Table.from_batches(waiting))
+        yield pa.Table.from_batches(waiting)
 
 
-def _changes(rows: pa.Table) -> np.ndarray:
-    """Where another cell begins, the first left out."""
-    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("order", "head", "x", "y")], axis=1)
-    return np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
-
-
-def meeting(entries: DataFrame) -> DataFrame:
-    """All pairs (a, b, agree) of (node, signature, n_shingles, label) with different labels that share a region and agree enough."""
-    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = entries.select("node", "signature", "label").mapInArrow(_heads, "order int, head long, node long, label long")
-    regions = heads.groupBy("order", "head").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    mixed = regions.filter("lo <> hi").select("order", "head", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = heads.join(mixed, ["order", "head"]).withColumn("part", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    dealt = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    full = dealt.select("order", "head", "x", "y", "part", "node", "label").join(entries.select("node", "signature", "n_shingles"), "node")
-    cells = full.repartition(n, "order", "head", "x", "y").sortWithinPartitions("order", "head", "x", "y")
-    return cells.mapInArrow(_cells, "a long, b long, agree int").distinct()
+CELL_KEY = ["order", "head", "x", "y"]
 
 
-def _sets(words: int):
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that have a partner of another label there whose size and signature allow a link."""
+    for rows in _runs(batches):
+        slots = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(-1, SLOTS)
+        nodes, labels, sizes, parts, x, y = (rows.column(c).to_numpy() for c in ("node", "label", "n_shingles", "part", "x", "y"))
+        keep = np.zeros(len(nodes), dtype=bool)
+        cuts = np.concatenate([[0], _changes(rows), [rows.num_rows]])
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e - s > 1:
+                for found in _cell_pairs(nodes[s:e], labels[s:e], sizes[s:e], parts[s:e], slots[s:e], x[s] == y[s]):
+                    keep[s:e] |= np.isin(nodes[s:e], found[:, :2])
+        yield from rows.select([*CELL_KEY, "part", "node", "label"]).filter(pa.array(keep)).to_batches()
+
+
+def shared_counts(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many elements each two of some sets have in common; shingles of the same sets count together."""
+    n = len(starts) - 1
+    doc = np.repeat(np.arange(n), np.diff(starts))
+    _, of, often = np.unique(flat, return_inverse=True, return_counts=True)
+    more = often[of] > 1
+    doc, of = doc[more], of[more]
+    both = np.zeros((n, n), dtype=np.float64)
+    if not len(doc):
+        return both
+    order = np.lexsort((doc, of))
+    doc, of = doc[order], of[order]
+    first = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1])
+    often = np.diff(np.append(first, len(of)))
+    with np.errstate(over="ignore"):
+        marks = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        kinds = np.add.reduceat(marks[doc], first)
+    _, one, weight = np.unique(kinds, return_index=True, return_counts=True)
+    first, often = first[one], often[one]
+    for d in np.unique(often[often <= 16]):  # in few sets: pair by pair
+        at = first[often == d]
+        i, j = np.triu_indices(d, 1)
+        for rows in np.array_split(np.arange(len(at)), len(at) * len(i) // (1 << 21) + 1):
+            sets = doc[at[rows, None] + np.arange(d)]
+            np.add.at(both, (sets[:, i].ravel(), sets[:, j].ravel()), np.repeat(weight[often == d][rows].astype(np.float64), len(i)))
+    both += both.T
+    wide = np.nonzero(often > 16)[0]
+    for part in np.array_split(wide, len(wide) // 1024 + 1):
+        held = np.zeros((n, len(part)), dtype=np.float32)
+        held[doc[np.concatenate([np.arange(first[k], first[k] + often[k]) for k in part] or [np.zeros(0, dtype=np.int64)])], np.repeat(np.arange(len(part)), often[part])] = 1
+        both += (held * weight[part].astype(np.float32)) @ held.T
+    return both
+
+
+def cell_links(flat: np.ndarray, starts: np.ndarray, labels: np.ndarray, parts: np.ndarray, within: bool) -> np.ndarray:
+    """Rows (la, lb) that join the labels of a cell that links join: each with the least of its group."""
+    sizes = np.diff(starts)
+    shared = shared_counts(flat, starts)
+    linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)
+    if not within:
+        linked &= parts[:, None] != parts
+    names, of = np.unique(labels, return_inverse=True)
+    i, j = np.nonzero(linked & (of[:, None] < of))
+    own = least_linked(np.stack([of[i], of[j]], axis=1), len(names))
+    moved = np.nonzero(own != np.arange(len(names)))[0]
+    return np.stack([names[own[moved]], names[moved]], axis=1)
+
+
+def _linked(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            flat, starts = shingle_sets(batch.column("text"), words)
-            packed = [flat[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, type=pa.binary())], names=["node", "shingles"])
+        for rows in _runs(batches):
+            cuts = np.concatenate([[0], _changes(rows), [rows.num_rows]])
+            out = [np.zeros((0, 2), dtype=np.int64)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                cell = rows.slice(int(s), int(e - s))
+                x, y = cell.column("x")[0].as_py(), cell.column("y")[0].as_py()
+                flat, starts = shingle_sets(_unpacked(cell.column("packed").to_pylist()), words)
+                out.append(cell_links(flat, starts, cell.column("label").to_numpy(), cell.column("part").to_numpy(), x == y))
+            two = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1]))], names=["la", "lb"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "xa"):
-        at = {n: batch.schema.get_field_index(n) for n in ("a", "b", "xa", "xb")}
-        keep = []
-        for x, y in zip(batch.column(at["xa"]).to_pylist(), batch.column(at["xb"]).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.sort(np.concatenate([x, y]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        mask = pa.array(keep, type=pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(at["a"]).filter(mask), batch.column(at["b"]).filter(mask)], names=["a", "b"])
-
-
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirmed, "a long, b long")
-
-
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs that lie in different components, la and lb."""
-    where = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    both = pairs.drop("la", "lb").join(where("a"), "a", "left").join(where("b"), "b", "left")
-    return both.withColumns({"la": F.coalesce("ca", "a"), "lb": F.coalesce("cb", "b")}).filter("la <> lb").drop("ca", "cb")
+def meeting(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int = WORDS) -> DataFrame:
+    """Links (la, lb) between the labels of (node, signature, n_shingles, label) that meet in a region, all pairs compared."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heads = entries.select("node", "signature", "label", "n_shingles").mapInArrow(_heads, "order int, head long, node long, label long, n_shingles long")
+    by_label = heads.groupBy("order", "head", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = by_label.groupBy("order", "head").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by(F.struct("label", "n", "s"), F.struct("n", -F.col("label"))).alias("most"))
+    parts = lambda n, s: F.ceil(F.greatest(n / CELL, s / CELL_SHINGLES)).cast("int")
+    mixed = whole.filter(F.col("n") > F.col("most.n")).select("order", "head", F.col("most.label").alias("most"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("outside"), parts(F.col("most.n"), F.col("most.s")).alias("inside"))
+    members = heads.select("order", "head", "node", "label").join(mixed, ["order", "head"])
+    out = F.col("label") != F.col("most")
+    members = members.withColumn("part", F.when(out, F.expr("cast(pmod(xxhash64(node), outside) as int)")).otherwise(F.expr("-1 - cast(pmod(xxhash64(node), inside) as int)")))
+    # Parts of the common component are numbered from -1 down; a cell is two parts, of which one at least lies outside it.
+    others = F.when(out, F.sequence(-F.col("inside"), F.col("outside") - 1)).otherwise(F.sequence(F.lit(0), F.col("outside") - 1))
+    dealt = members.withColumn("other", F.explode(others)).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).select(*CELL_KEY, "part", "node", "label")
+    signed = dealt.join(entries.select("node", "signature", "n_shingles"), "node")
+    cells = signed.repartition(n, *CELL_KEY).sortWithinPartitions(*CELL_KEY)
+    kept = settled(cells.select(*CELL_KEY, "part", "node", "label", "signature", "n_shingles").mapInArrow(_plausible, "order int, head long, x int, y int, part int, node long, label long"))
+    if not kept.head(1):
+        return kept.select(F.col("label").alias("la"), F.col("label").alias("lb"))
+    full = kept.join(texts_of(kept.select("node").distinct()), "node").repartition(n, *CELL_KEY).sortWithinPartitions(*CELL_KEY)
+    return full.select(*CELL_KEY, "part", "label", "packed").mapInArrow(_linked(words), "la long, lb long").distinct()
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) once the labels of links (la, lb) are joined."""
+    moved = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), "component")
+    return settled(labels.join(moved, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
 
 
 def grouped(entries: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, component) of the entries (node, signature, n_shingles) that are linked with another."""
-    shingled = lambda need: docs.select(F.col("doc_id").alias("node"), "text").join(need, "node", "left_semi").mapInArrow(_sets(words), "node long, shingles binary").dropDuplicates(["node"])
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """(node, component) of the entries (node, signature, n_shingles) that share a region with another."""
+    packed = docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(_packed, "node long, packed binary")
+    texts_of = lambda need: packed.join(need, "node", "left_semi").dropDuplicates(["node"])
     near = settled(neighbours(entries.withColumn("label", F.col("node"))))
-    pairs = settled(agreeing(near.filter("a <> b"), entries))
-    dense = near.filter("a = b").select(F.col("a").alias("node"))
-    sets = settled(shingled(ends(pairs).union(dense).distinct()))
-    first = lambda x, y: F.row_number().over(Window.partitionBy(x).orderBy(F.desc("agree"), y)) == 1
-    best = lambda pairs: pairs.withColumn("ra", first("a", "b")).withColumn("rb", first("b", "a")).filter("ra or rb").drop("ra", "rb")
-    found = settled(confirm(best(pairs), sets))
-    known = settled(components(found))
-
-    def joined(pairs: DataFrame, sets: DataFrame) -> None:
-        nonlocal found, known
-        more = settled(confirm(pairs, sets))
-        if more.head(1):
-            found = found.union(more)
-            known = settled(components(found))
-
-    label = F.coalesce("component", "node").alias("label")
-    joined(_apart(pairs, known), sets)
-    crowded = entries.join(dense, "node", "left_semi").join(known, "node", "left")
-    labelled = settled(crowded.select("node", "signature", label))
-    if labelled.head(1):
-        across = settled(agreeing(neighbours(labelled, again=True), entries))
-        joined(across, sets)
-        pairs = pairs.union(across)
-    every = entries.join(known, "node", "left").select("node", "signature", "n_shingles", label)
-    left = settled(meeting(settled(every)).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not left.head(1):
-        return known
-    sets = settled(shingled(ends(left)))
-    one = F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")
-    # One pair of each two components, then the best of each entry, then all: each spares the next what it joins.
-    of_two = lambda apart: apart.groupBy(F.least("la", "lb"), F.greatest("la", "lb")).agg(one).select("p.*")
-    for choice in (of_two, best, lambda apart: apart):
-        tried = settled(choice(_apart(left, known)))
-        joined(tried, sets)
-        left = settled(_apart(left, known).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if not left.head(1):
+    own = settled(entries.join(near.filter(F.col("kind") == SELF).select(F.col("a").alias("node")).distinct(), "node"))
+    labels = own.select("node", F.col("node").alias("label"))
+    tried = settled(agreeing(chosen(near, F.col("a")), own))
+    while count := tried.count():
+        links = settled(confirm(tried, texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()), words))
+        joined = links.count()
+        if joined:
+            labels = merged(labels, links)
+        if joined <= WORTHWHILE * count:
             break
-    return known
+        again = neighbours(settled(own.select("node", "signature").join(labels, "node")), again=True)
+        tried = settled(agreeing(chosen(again, F.least("la", "lb"), F.greatest("la", "lb")), own))
+    links = settled(meeting(settled(own.join(labels, "node")), texts_of, words))
+    if links.head(1):
+        labels = merged(labels, links)
+    return labels.select("node", F.col("label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
