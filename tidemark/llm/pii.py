@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import fresh
 from tidemark.session import table
 
 THRESHOLD = 0.7
@@ -95,36 +96,44 @@ def _proposed(kind: Kind, text: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """`docs` with the spans of each text, an array of (start, rank, end, kind, score) by start, then kind as listed.
 
-    A null or empty text has none. Rows and other columns stay as they are; a column named as `out` is replaced.
+    A null or empty text has none; a long one is read whole. Rows, repeated ones included, and other columns stay as
+    they are, whatever their names; a column named as `out` is replaced; no rows give no rows.
     """
-    df = docs
+    df, whole = docs, F.coalesce(F.col(text), F.lit(""))
     made = []
     for k in KINDS:
-        m, g, z = f"__m_{k.name}", f"__g_{k.name}", f"__z_{k.name}"
-        whole = F.coalesce(F.col(text), F.lit(""))
+        m, g, z = fresh([*docs.columns, out], f"m_{k.name}", f"g_{k.name}", f"z_{k.name}")
         df = df.withColumn(m, _proposed(k, whole))
         df = df.withColumn(g, F.when(F.size(m) > 0, F.split(whole, k.pattern, -1)).otherwise(F.array().cast("array<string>")))
         df = df.withColumn(z, F.slice(F.arrays_zip(F.col(m).alias("m"), F.col(g).alias("before"), F.slice(g, 2, 1 << 30).alias("after")), F.lit(1), F.size(m)))
-        made.append((k, z))
-    parts = [_spans(k, F.col(z)) for k, z in made]
-    df = df.withColumn(out, F.sort_array(F.concat(*parts)))
-    return df.drop(*[f"__{p}_{k.name}" for k in KINDS for p in "mgz"])
+        made.append((k, m, g, z))
+    df = df.withColumn(out, F.sort_array(F.concat(*[_spans(k, F.col(z)) for k, _, _, z in made])))
+    return df.drop(*[c for _, *columns in made for c in columns])
 
 
-SPAN = "struct<start: int, rank: int, end: int, kind: string, score: double>"
+def running_sums(values: Column) -> Column:
+    """The sums of an array of whole numbers up to each of them, in runs of about the root of its size: appending copies no more than a run."""
+    run = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), run), lambda at: F.slice(values, at, run))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def within(part: Column, at: Column) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+    return F.flatten(F.aggregate(runs, begin, lambda s, part: F.struct((s["at"] + total(part)).alias("at"), F.concat(s["out"], F.array(within(part, s["at"]))).alias("out")), lambda s: s["out"]))
 
 
 def _spans(kind: Kind, zipped: Column) -> Column:
     rank = KINDS.index(kind)
+    ends = F.when(F.size(zipped) > 0, running_sums(F.transform(zipped, lambda x: F.length(x["before"]) + F.length(x["m"])))).otherwise(F.array().cast("array<int>"))
 
-    def place(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["before"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["before"], F.lit(NEARBY)).alias("before"), F.left(x["after"], F.lit(NEARBY)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def place(x: Column, end: Column) -> Column:
+        start = end - F.length(x["m"])
+        return F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["before"], F.lit(NEARBY)).alias("before"), F.left(x["after"], F.lit(NEARBY)).alias("after"))
 
-    empty = F.array().cast("array<struct<start: int, end: int, m: string, before: string, after: string>>")
-    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), place, lambda s: s["out"])
+    placed = F.zip_with(zipped, ends, place)
     confirmed = F.filter(placed, lambda x: valid(kind.name, x["m"]))
 
     def scored(x: Column) -> Column:
@@ -140,15 +149,16 @@ def _spans(kind: Kind, zipped: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every valid match of every kind replaced by its kind in brackets, one kind after another.
 
-    The kinds that the method adds are replaced whatever the context. A null text stays null.
+    The kinds that the method adds are replaced whatever the context. A null text stays null; a long one is read whole;
+    rows, repeated ones included, and other columns stay as they are, whatever their names; no rows give no rows.
     """
-    df = docs
+    df, (m, g) = docs, fresh(docs.columns, "m", "g")
     for k in KINDS:
-        df = df.withColumn("__m", _proposed(k, F.col(text)))
-        df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, k.pattern, -1)))
-        pieces = F.transform(F.arrays_zip(F.col("__g").alias("g"), F.col("__m").alias("m")), _hidden(k.name))
-        df = df.withColumn(text, F.when(F.size("__m") > 0, F.array_join(pieces, "")).otherwise(F.col(text)))
-    return df.drop("__m", "__g")
+        df = df.withColumn(m, _proposed(k, F.col(text)))
+        df = df.withColumn(g, F.when(F.size(m) > 0, F.split(text, k.pattern, -1)))
+        pieces = F.transform(F.arrays_zip(F.col(g).alias("g"), F.col(m).alias("m")), _hidden(k.name))
+        df = df.withColumn(text, F.when(F.size(m) > 0, F.array_join(pieces, "")).otherwise(F.col(text)))
+    return df.select(*docs.columns)
 
 
 def _hidden(kind: str):
