@@ -17,7 +17,7 @@ import corpus_pipeline
 from tests.llm.cases import COLUMNS, hard_rows
 from tidemark.llm import katz, mixing, near_dup, packing, pii, quality, tiff, token_counts, vafile, warc
 from tidemark.llm.components import components
-from tidemark.session import shared_dir, settled
+from tidemark.session import settled, shared_dir, table
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -651,6 +651,29 @@ def test_pipeline_stages(spark, docs, none):
     assert df.count() == 0
 
 
+CLASHES = ("__n", "__m", "key", "turn", "m", "g", "buckets", "copy", "node", "label", "quality_kept", "quality_score", "mix_rate", "mix_copies", "component_id", "pii_spans")
+
+
+def test_columns_of_any_name_keep_their_values(spark, docs):
+    df = docs.select("doc_id", "text", "lang", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns
+        for r in out.filter("doc_id is not null").collect():
+            assert all(r[c] == f"{c}:{r['doc_id']}" for c in CLASHES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() > 0
+
+
+def test_pipeline_runs_over_its_tables(spark, tmp_path):
+    rows = [(*r[:5],) for r in hard_rows()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = settled(stage(spark, docs, str(tmp_path)))
+    by_hand = Counter((r["doc_id"], r["doc_tokens"]) for r in docs.filter("start = 0").collect())
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).filter("start = 0").collect()) == by_hand
+
+
 def test_pipeline_decisions(spark, docs):
     stages = dict(corpus_pipeline.STAGES)
     good = {r["doc_id"] for r in stages["quality"](spark, docs, "").collect()}
