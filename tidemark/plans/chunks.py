@@ -19,11 +19,10 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, segment_index, segment FROM (SELECT doc_id, unnest(s) AS segment, generate_subscripts(s, 1) - 1 AS segment_index FROM
-(SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(regexp_replace(x, '[ \t\n]+', ' ', 'g'))), lambda x: length(x) > 0) AS s FROM documents WHERE NOT regexp_matches(text, '\n[ \t]*[-*] ')))""")
+(SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '\n([ \t]*[-*] )', chr(1) || '\1', 'g'), '\n[ \t]*\n|' || chr(1)), lambda x: trim(regexp_replace(x, '[ \t\n]+', ' ', 'g'))), lambda x: length(x) > 0) AS s FROM documents))""")
 def split_segments(spark, sf):
-    """Of documents without bullets."""
-    plain = _docs(spark, sf).filter(~F.col("text").rlike("\n[ \t]*[-*] "))
-    return plain.select("doc_id", F.posexplode(C.segments(F.col("text"))).alias("segment_index", "segment"))
+    """Paragraphs, and bullets by themselves."""
+    return _docs(spark, sf).select("doc_id", F.posexplode(C.segments(F.col("text"))).alias("segment_index", "segment"))
 
 
 @query()
@@ -187,10 +186,15 @@ def table_grid(spark, sf):
     return g.select("doc_id", "page", F.array_join(F.transform("r", lambda x: x["row"]), "\n").alias("markdown"))
 
 
-@query(r"SELECT doc_id, list_transform(regexp_extract_all(text, '[0-9]+\. [^\n?]+\?'), lambda x: trim(x)) AS questions FROM documents WHERE regexp_matches(text, '[0-9]+\. [^\n?]+\?')")
+@query(r"""SELECT conv_id, list_transform(regexp_extract_all(text, '[0-9]+\. [^\n?]+\?'), lambda x: trim(x)) AS questions FROM
+(SELECT conv_id, string_agg((turn + 1) || '. ' || regexp_replace(text, '[.?]*\s*$', '?'), chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) WHERE regexp_matches(text, '[0-9]+\. [^\n?]+\?')""")
 def numbered_questions(spark, sf):
+    """Questions of a numbered list, here one of each conversation's user turns."""
     p = r"[0-9]+\. [^\n?]+\?"
-    return _docs(spark, sf).filter(F.col("text").rlike(p)).select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), F.trim).alias("questions"))
+    asked = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.regexp_replace("text", r"[.?]*\s*$", "?"))
+    rows = table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", asked.alias("q")))).alias("t"))
+    listed = rows.select("conv_id", F.array_join(F.transform("t", lambda x: x["q"]), "\n").alias("text"))
+    return listed.filter(F.col("text").rlike(p)).select("conv_id", F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), F.trim).alias("questions"))
 
 
 @query("SELECT doc_id, page_no + 1 AS page, part AS text FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS part, generate_subscripts(string_split(text, '. '), 1) - 1 AS page_no FROM documents) WHERE length(trim(part, ' ' || chr(10))) > 0")

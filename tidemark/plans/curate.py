@@ -53,12 +53,12 @@ def exact_duplicates(spark, sf):
 
 
 @query(f"""SELECT l.doc_id, b.item_id, round(len(list_intersect(l.w, b.w)) / len(list_distinct(list_concat(l.w, b.w))), 6) AS similarity FROM
-(SELECT doc_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM documents WHERE n_chars < 2000) l JOIN (SELECT item_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM benchmark) b
+(SELECT doc_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM documents) l JOIN (SELECT item_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM benchmark) b
 ON len(list_intersect(l.w, b.w)) / len(list_distinct(list_concat(l.w, b.w))) > 0.2""")
 def benchmark_overlap(spark, sf):
-    """Short documents and benchmark items that share words: an inverted join on words, counted, then over the union's size."""
+    """Documents and benchmark items that share words: an inverted join on words, counted, then over the union's size."""
     words = lambda df, key: df.select(key, F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    d = words(table(spark, sf, "documents").filter("n_chars < 2000"), "doc_id").select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
+    d = words(table(spark, sf, "documents"), "doc_id").select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
     b = words(table(spark, sf, "benchmark"), "item_id").select("item_id", F.size("w").alias("m"), F.explode("w").alias("x"))
     g = d.join(b, "x").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("k"))
     similarity = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))

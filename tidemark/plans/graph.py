@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import graph as G
 from tidemark.plans.text import CATEGORIES
+from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
 from tidemark.session import spread, table
 
@@ -127,19 +128,14 @@ def similar_episodes(spark, sf):
     return m.filter("id <> 3").join(own, "entity", "left_semi").groupBy("id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "id").limit(10)
 
 
-@query("""WITH c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id < 20), s AS (SELECT c.vec_id, e.vec_id AS other,
+@query("""WITH c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT c.vec_id, e.vec_id AS other,
 list_inner_product(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score
-FROM c JOIN embeddings e ON e.label = c.label AND e.vec_id >= 20)
+FROM c JOIN embeddings e ON e.label = c.label AND e.vec_id % 20 <> 0)
 SELECT vec_id, arg_max(other, struct_pack(s := score, i := -other)) AS other, round(max(score), 6) AS score, CASE WHEN max(score) >= 0.5 THEN 'merge' WHEN max(score) >= 0.3 THEN 'review' ELSE 'new' END AS decision FROM s GROUP BY vec_id""")
 def reconcile_entities(spark, sf):
     """The nearest known entity of each candidate's own type: merged, reviewed or new by its similarity."""
-    from tidemark.functions import vectors as V
-
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id < 20").select("vec_id", "label", F.col("embedding").alias("q"))
-    near = e.filter("vec_id >= 20").select("label", F.col("vec_id").alias("other"), "embedding").join(asked, "label")
-    scored = near.select("vec_id", "other", V.cosine(F.col("q"), F.col("embedding")).alias("s"))
-    g = scored.groupBy("vec_id").agg(F.max_by("other", F.struct("s", -F.col("other"))).alias("other"), F.max("s").alias("s"))
+    g = top_per_query(e.filter("vec_id % 20 <> 0"), e.filter("vec_id % 20 = 0"), 1, within="label").select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("other"), F.col("score").alias("s"))
     return g.select("vec_id", "other", F.round("s", 6).alias("score"), F.when(F.col("s") >= 0.5, "merge").when(F.col("s") >= 0.3, "review").otherwise("new").alias("decision"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
 from tidemark.operators import ranking as R
+from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
 from tidemark.session import spread, table
 
@@ -87,15 +88,12 @@ def l2_normalize(spark, sf):
     return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("length"), F.transform(V.normalized(F.col("embedding")), lambda x: F.round(x, 5)).alias("unit"))
 
 
-@query(f"""SELECT q.vec_id AS query_id, e.vec_id, round({COS}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id < 5 AND e.vec_id <> q.vec_id
+@query(f"""SELECT q.vec_id AS query_id, e.vec_id, round({COS}, 6) AS score FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id
 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, e.vec_id) <= 5""")
 def batch_cosine(spark, sf):
-    """Top five for each of a fixed set of queries."""
+    """Top five of all vectors for every id divisible by 20."""
     e = table(spark, sf, "embeddings")
-    asked = F.broadcast(e.filter("vec_id < 5").limit(5).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    scored = e.crossJoin(asked).filter("vec_id <> query_id").select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _rounded(scored.withColumn("n", F.row_number().over(order)).filter("n <= 5").drop("n"), "score")
+    return _rounded(top_per_query(e, e.filter("vec_id % 20 = 0"), 5).drop("rank"), "score")
 
 
 HYBRID_SQL = f"""(SELECT doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM {ranked_sql(bm25_sql(TERMS), 10)}
@@ -232,23 +230,23 @@ def auto_route(spark, sf):
 
 
 @query(f"""WITH hits AS {ranked_sql(bm25_sql(TERMS), 10)}, s AS (SELECT doc_id // 10 AS section, min(rank) AS first FROM hits GROUP BY 1)
-SELECT s.section, s.first, string_agg(substr(d.text, 1, 40), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY d.doc_id) AS content FROM s JOIN documents d ON d.doc_id // 10 = s.section GROUP BY s.section, s.first""")
+SELECT s.section, s.first, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY d.doc_id) AS content FROM s JOIN documents d ON d.doc_id // 10 = s.section GROUP BY s.section, s.first""")
 def section_hydration(spark, sf):
     """Hits widened to all chunks of their sections, sections in the order of their first hit."""
     hits = R.ranked(R.bm25(_docs(spark, sf), TERMS), 10)
     first = hits.groupBy(F.floor(F.col("doc_id") / 10).alias("section")).agg(F.min("rank").alias("first"))
-    d = _docs(spark, sf).select(F.floor(F.col("doc_id") / 10).alias("section"), "doc_id", F.substring("text", 1, 40).alias("part"))
+    d = _docs(spark, sf).select(F.floor(F.col("doc_id") / 10).alias("section"), "doc_id", F.col("text").alias("part"))
     rows = d.join(first, "section").groupBy("section", "first").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("parts"))
     return rows.select("section", "first", F.array_join(F.transform("parts", lambda x: x["part"]), "\n\n---\n\n").alias("content"))
 
 
 @query(f"""SELECT q.vec_id AS query_id, arg_max(e.vec_id, struct_pack(s := {COS}, i := -e.vec_id)) AS hit FROM embeddings q JOIN embeddings e ON e.vec_id >= 100 AND e.vec_id < 200
-WHERE q.vec_id < 20 AND {COS} >= 0.3 GROUP BY q.vec_id""")
+WHERE q.vec_id % 20 = 0 AND {COS} >= 0.3 GROUP BY q.vec_id""")
 def semantic_cache(spark, sf):
     """The most similar cached query (a cache holds 100 at most) above a threshold."""
     e = table(spark, sf, "embeddings")
     cached = F.broadcast(e.filter("vec_id >= 100 and vec_id < 200").limit(100).select(F.col("vec_id").alias("cached_id"), F.col("embedding").alias("c")))
-    near = e.filter("vec_id < 20").crossJoin(cached).withColumn("s", V.cosine(F.col("c"), F.col("embedding"))).filter("s >= 0.3")
+    near = e.filter("vec_id % 20 = 0").crossJoin(cached).withColumn("s", V.cosine(F.col("c"), F.col("embedding"))).filter("s >= 0.3")
     return near.groupBy(F.col("vec_id").alias("query_id")).agg(F.max_by("cached_id", F.struct("s", -F.col("cached_id"))).alias("hit"))
 
 
@@ -256,10 +254,7 @@ def semantic_cache(spark, sf):
 def mmr_rerank(spark, sf):
     """Maximal marginal relevance over the fifty nearest of each query (every id divisible by 20): relevance less 0.3 of the likeness to what is chosen."""
     e = table(spark, sf, "embeddings")
-    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.crossJoin(asked).select("query_id", "vec_id", "embedding", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = scored.withColumn("n", F.row_number().over(order)).filter("n <= 50")
+    near = top_per_query(e, e.filter("vec_id % 20 = 0"), 50).join(e.select("vec_id", "embedding"), "vec_id")
     return near.groupBy("query_id").applyInPandas(lambda group: choose_mmr(group), "query_id long, rank int, vec_id long, score double")
 
 

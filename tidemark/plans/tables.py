@@ -94,10 +94,10 @@ def bloom_membership(spark, sf):
     return hits.filter(F.col("n") == HASHES).select("c_custkey")
 
 
-@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey < 100 GROUP BY 1")
+@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1")
 def counting_membership(spark, sf):
     """Exact counts, where the sketch only bounds them."""
-    return table(spark, sf, "lineitem").filter("l_partkey < 100").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -120,11 +120,11 @@ def result_cache(spark, sf):
     return e.select("event_id", F.sha2(F.concat("event_type", F.lit("|"), F.col("user_id").cast("string")), 256).alias("cache_key"), (old & (F.col("event_type") != "view")).alias("expired"))
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 120)")
 def cache_invalidation(spark, sf):
     """Entries whose user had no trigger."""
     e = table(spark, sf, "events")
-    return e.join(e.filter("event_type = 'signup' and value > 40").select("user_id"), "user_id", "left_anti").select("event_id")
+    return e.join(e.filter("event_type = 'signup' and value > 120").select("user_id"), "user_id", "left_anti").select("event_id")
 
 
 @query()
@@ -203,10 +203,13 @@ def forced_histogram(spark, sf):
     return keys.join(F.broadcast(g), "page_type", "left").fillna(0, ["pages"])
 
 
-@query("""SELECT conv_id, bool_or(hit) AS related FROM (SELECT c.conv_id, len(list_filter(list_distinct(string_split_regex(lower(text), '[ \t\n\r]+')), lambda w: length(w) > 3 AND contains('the nations with stories that eauaux', w))) >= 1 AS hit FROM conversations c WHERE role = 'user') GROUP BY conv_id""")
+GOAL = ("nations", "with", "stories", "that", "eauaux")
+
+
+@query(f"""SELECT conv_id, bool_or(len(list_intersect(list_distinct(string_split_regex(lower(text), '[ \t\n\r]+')), [{', '.join(f"'{w}'" for w in GOAL)}])) >= 2) AS related FROM conversations WHERE role = 'user' GROUP BY conv_id""")
 def goal_match(spark, sf):
-    """Conversations whose turns share a word of more than three letters with an active goal."""
-    hits = F.exists(T.words(F.lower("text")), lambda w: (F.length(w) > 3) & F.contains(F.lit("the nations with stories that eauaux"), w))
+    """Conversations with a turn that shares two words of more than three letters with an active goal."""
+    hits = F.size(F.array_intersect(T.words(F.lower("text")), F.array(*[F.lit(w) for w in GOAL]))) >= 2
     return table(spark, sf, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.bool_or(hits).alias("related"))
 
 

@@ -84,11 +84,12 @@ def sentence_split(spark, sf):
     return _docs(spark, sf).select("doc_id", count.cast("long").alias("sentences"), F.regexp_extract(t, r"^[^.!?]*[.!?]*", 0).alias("first"))
 
 
-@query(r"""SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)
+@query(r"""SELECT page_id, line_no, line FROM (SELECT page_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_no FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '<h[1-6]>', chr(10) || '# ', 'g'), '<li>', chr(10) || 'item:' || chr(10), 'g'), chr(10)) AS l FROM pages))
 WHERE starts_with(line, '#') OR ends_with(rtrim(line), ':')""")
 def heading_lines(spark, sf):
-    """A heading starts with # or ends with a colon."""
-    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """A heading starts with # or ends with a colon; pages' headings and list items are written as such."""
+    marked = F.regexp_replace(F.regexp_replace("html", "<h[1-6]>", "\n# "), "<li>", "\nitem:\n")
+    lines = table(spark, sf, "pages").select("page_id", F.posexplode(F.split(marked, "\n")).alias("line_no", "line"))
     return lines.filter(F.startswith("line", F.lit("#")) | F.endswith(F.rtrim("line"), F.lit(":")))
 
 
@@ -164,9 +165,10 @@ def scan_emails(spark, sf):
 URL = r"(?:https?://|www\.)[^ \t\n\r)\]>]+"
 
 
-@query(_scan(URL, "urls"))
+@query(f"SELECT page_id, regexp_extract_all('see (' || url || ') ' || html, '{URL}') AS urls FROM pages")
 def scan_urls(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.regexp_extract_all("text", F.lit(URL), F.lit(0)).alias("urls")).filter(F.size("urls") > 0)
+    whole = F.concat(F.lit("see ("), "url", F.lit(") "), "html")
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract_all(whole, F.lit(URL), F.lit(0)).alias("urls")).filter(F.size("urls") > 0)
 
 
 PHONE = r"[0-9()+][0-9() +-]*[0-9]"
@@ -178,11 +180,12 @@ def scan_phones(spark, sf):
     return _docs(spark, sf).select("doc_id", F.filter(F.regexp_extract_all("text", F.lit(PHONE), F.lit(0)), digits).alias("phones")).filter(F.size("phones") > 0)
 
 
-@query(f"""SELECT doc_id, list_filter([{_values(MONTHS)}], lambda m: contains(lower(text), m)) AS months FROM documents WHERE {_any('lower(text)', MONTHS)}""")
+@query(f"""SELECT o_orderkey, list_filter([{_values(MONTHS)}], lambda m: contains(lower(t), m)) AS months FROM (SELECT o_orderkey, 'ordered ' || strftime(o_orderdate, '%B %d, %Y') AS t FROM orders) WHERE {_any('lower(t)', MONTHS)}""")
 def scan_dates(spark, sf):
-    low = F.lower("text")
-    found = F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: F.contains(F.lower("text"), m))
-    return _docs(spark, sf).filter(T.contains_any(low, MONTHS)).select("doc_id", found.alias("months"))
+    """The month names in a text, here one of each order's date."""
+    d = table(spark, sf, "orders").select("o_orderkey", F.lower(F.concat(F.lit("ordered "), F.date_format("o_orderdate", "MMMM dd, yyyy"))).alias("t"))
+    found = F.filter(F.array(*[F.lit(m) for m in MONTHS]), lambda m: F.contains("t", m))
+    return d.filter(T.contains_any(F.col("t"), MONTHS)).select("o_orderkey", found.alias("months"))
 
 
 MONEY = r"[$€£¥] ?[0-9][0-9,.]*(?: ?(?:million|billion|trillion|thousand|k))?"

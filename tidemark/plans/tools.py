@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,38 +52,55 @@ def translate_words(spark, sf):
     return c.select("conv_id", "turn", F.array_join(F.transform(T.words(F.lower("text")), word), " ").alias("translated"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber * 2 - l_orderkey / 4 AS result FROM lineitem WHERE l_orderkey < 500")
+@query("SELECT l_orderkey, l_linenumber, l_quantity + l_linenumber * 2 - l_orderkey / 4 AS result FROM lineitem")
 def calculate(spark, sf):
     """Expressions as text, evaluated with precedence and unary minus; a division by zero gives null."""
-    rows = table(spark, sf, "lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("string"), F.lit(" + "), F.col("l_linenumber").cast("string"), F.lit(" * 2 - "), F.col("l_orderkey").cast("string"), F.lit(" / 4")).alias("e"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("string"), F.lit(" + "), F.col("l_linenumber").cast("string"), F.lit(" * 2 - "), F.col("l_orderkey").cast("string"), F.lit(" / 4")).alias("e"))
     return rows.mapInPandas(_calculated, "l_orderkey long, l_linenumber int, result double")
 
 
+NUMBER = r"[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+
+
 def _calculated(batches):
+    """Expressions that differ in their numbers alone are parsed once and evaluated together."""
     for b in batches:
-        yield b.assign(result=[evaluate(e) for e in b["e"]])[["l_orderkey", "l_linenumber", "result"]]
+        out = pd.Series(np.nan, index=b.index)
+        for shape, own in b["e"].groupby(b["e"].str.replace(NUMBER, "0", regex=True)):
+            numbers = np.array(own.str.findall(NUMBER).tolist(), dtype=np.float64).reshape(len(own), -1)
+            out[own.index] = evaluate(shape, list(numbers.T))
+        yield b.assign(result=out)[["l_orderkey", "l_linenumber", "result"]]
+
 
+def evaluate(expression: str, numbers: list | None = None):
+    """Numbers, + - * / and parentheses; anything else, or a division by zero, is null (NaN in arrays).
 
-def evaluate(expression: str) -> float | None:
-    """Numbers, + - * / and parentheses; anything else, or a division by zero, is null."""
+    The numbers are read from the expression, or given in its order as arrays.
+    """
     import ast
     import operator
 
     kinds = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv}
+    given = iter(numbers) if numbers is not None else None
 
-    def value(node: ast.AST) -> float:
+    def value(node: ast.AST):
         if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-            return float(node.value)
+            return np.float64(node.value) if given is None else next(given)
         if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
             return -value(node.operand)
         if isinstance(node, ast.BinOp) and type(node.op) in kinds:
-            return kinds[type(node.op)](value(node.left), value(node.right))
+            left = value(node.left)
+            return kinds[type(node.op)](left, value(node.right))
         raise ValueError(ast.dump(node))
 
     try:
-        return value(ast.parse(expression.strip(), mode="eval").body)
-    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError):
-        return None
+        with np.errstate(all="ignore"):
+            result = value(ast.parse(expression.strip(), mode="eval").body)
+    except (ValueError, SyntaxError, RecursionError):
+        return None if numbers is None else np.nan
+    if numbers is None:
+        return float(result) if np.isfinite(result) else None
+    return np.where(np.isfinite(result), result, np.nan)
 
 
 @query(f"""SELECT doc_id, round(len(list_intersect(w, ['the', 'of', 'erheer', 'que'])) / 4, 6) AS overlap FROM (SELECT doc_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM documents)""")
@@ -91,19 +110,23 @@ def term_overlap(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.round(F.size(F.array_intersect(asked, T.words(F.lower("text")))) / 4, 6).alias("overlap"))
 
 
-@query("""SELECT conv_id, turn, len(list_filter(range(least(len(a), len(b))), lambda i: list_slice(a, 1, i + 1) = list_slice(b, 1, i + 1))) AS prefix FROM
-(SELECT conv_id, turn, list_slice(string_split(text, ' '), 1, 30) AS a, list_slice(string_split(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ' '), 1, 30) AS b FROM conversations) WHERE b IS NOT NULL""")
+@query("""SELECT conv_id, turn, len(list_filter(range(least(len(a), len(b))), lambda i: list_slice(a, 1, i + 1) = list_slice(b, 1, i + 1))) AS prefix,
+len(list_filter(range(least(len(a), len(b))), lambda i: list_slice(list_reverse(a), 1, i + 1) = list_slice(list_reverse(b), 1, i + 1))) AS suffix FROM
+(SELECT conv_id, turn, string_split(text, ' ') AS a, string_split(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ' ') AS b FROM conversations) WHERE b IS NOT NULL""")
 def common_prefix(spark, sf):
-    """How many leading tokens two arrays share: a fold that stops counting at the first difference."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 30).alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("n"))
-    pairs = F.arrays_zip(F.col("a"), F.slice(F.split("n", " "), 1, 30).alias("b"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("on"))
+    """How many leading and how many trailing tokens two arrays share: a fold that stops counting at the first difference."""
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("a"), F.split(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), " ").alias("b"))
+
+    def shared(a: Column, b: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(True).alias("on"))
+
+        def step(s: Column, x: Column) -> Column:
+            on = s["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))
+            return F.struct((s["n"] + on.cast("long")).alias("n"), on.alias("on"))
 
-    def step(s: Column, x: Column) -> Column:
-        on = s["on"] & F.coalesce(x["a"] == x["b"], F.lit(False))
-        return F.struct((s["n"] + on.cast("long")).alias("n"), on.alias("on"))
+        return F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), start, step, lambda s: s["n"])
 
-    return c.filter("n is not null").select("conv_id", "turn", F.aggregate(pairs, start, step, lambda s: s["n"]).alias("prefix"))
+    return c.filter("b is not null").select("conv_id", "turn", shared(F.col("a"), F.col("b")).alias("prefix"), shared(F.reverse("a"), F.reverse("b")).alias("suffix"))
 
 
 @query()
