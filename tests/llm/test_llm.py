@@ -228,8 +228,14 @@ def test_mixing_on_hard_rows(docs, none):
 # 4
 
 
-def test_katz_against_brute_force(docs, none):
+@pytest.mark.parametrize("block_bytes", [katz.BLOCK_BYTES, 2000])
+@pytest.mark.parametrize("kind", ["hard", "plain"])
+def test_katz_against_brute_force(spark, docs, none, block_bytes, kind):
     rows = texts()
+    if kind == "plain":  # counts of counts that allow Katz's discounts, and a history with a large share of all words
+        rng = np.random.default_rng(4)
+        rows = [(i, " ".join(w for x in rng.zipf(1.5, 60) for w in (["the"] if x % 3 == 0 else []) + [f"w{min(x, 3000)}"])) for i in range(300)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     tokens = [(k, [*WORD.findall(t.translate(FOLD)), "</s>"]) for k, t in rows]
     train = [t for k, t in tokens if k is not None and zlib.crc32(str(k).encode()) % 10]
     words, pairs = Counter(), Counter()
@@ -237,9 +243,21 @@ def test_katz_against_brute_force(docs, none):
         words.update(t)
         pairs.update(zip(["<s>", *t], t, strict=False))
     n, v = sum(words.values()), len(words)
-    by = lambda c: np.bincount(np.minimum(list(c.values()), 7), minlength=8)[:7].astype(np.int64)
-    d1, d2 = katz.discounts(by(words)), katz.discounts(by(pairs))
-    less = lambda c, d: c * d[c - 1] if c <= katz.FEW else c - d[katz.FEW]
+
+    def discount(counts):
+        """Good-Turing by the text: r* = (r + 1) n[r+1] / n[r], scaled so that counts above 5 keep all; else an absolute discount."""
+        n_r = Counter(counts.values())
+        if all(n_r[r] for r in range(1, 7)):
+            rest = 6 * n_r[6] / n_r[1]
+            turned = {r: ((r + 1) * n_r[r + 1] / n_r[r] / r - rest) / (1 - rest) if rest != 1 else 0 for r in range(1, 6)}
+            if rest < 1 and all(0 < x < 1 for x in turned.values()):
+                return lambda c: c * turned.get(c, 1)
+        share = n_r[1] / (n_r[1] + 2 * n_r[2]) if n_r[1] else 0.5
+        return lambda c: c - share
+
+    f1, f2 = discount(words), discount(pairs)
+    d1, d2 = f1, f2
+    less = lambda c, d: d(c)
     single = {w: less(c, d1) / n for w, c in words.items()}
     unknown = 1 - sum(single.values())
     after = defaultdict(dict)
@@ -259,7 +277,8 @@ def test_katz_against_brute_force(docs, none):
         return free / (1 - sum(single[x] for x in after[h])) * single.get(w, unknown)
 
     want = sorted((k is None, k or 0, len(t), sum(w in words for w in t), round(sum(math.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t], t, strict=False)), 6)) for k, t in tokens)
-    got = katz.katz_scores(docs).collect()
+    got = katz.katz_scores(docs, block_bytes).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("text_blocks")]
     have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
     assert [w[:4] for w in want] == [h[:4] for h in have]
     assert np.allclose([w[4:] for w in want], [h[4:] for h in have], atol=1e-4)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import hash_words, mix, slices, split_words
-from tidemark.session import settled, shared_dir, table
+from tidemark.session import removed, settled, shared_dir, table
 
 FEW = 5
 BLOCK_BYTES = 14 << 20
@@ -63,12 +63,12 @@ def in_training(doc_id: int | None) -> bool | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 10 != 0
 
 
-def text_blocks(docs: DataFrame) -> DataFrame:
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(block, content): ids, marks of training and texts of bounded runs of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in _joined(slices(batches, limit=BLOCK_BYTES)):
+        for batch in _joined(slices(batches, limit=block_bytes), block_bytes):
             ids, texts = batch.column("doc_id").to_pylist(), pc.fill_null(batch.column("text"), "").cast(pa.binary())
             sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
             raw = np.frombuffer(b"".join(texts.to_pylist()), dtype=np.uint8)
@@ -80,21 +80,21 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "block long, content binary")
 
 
-def bucketed(blocks: DataFrame) -> DataFrame:
+def bucketed(blocks: DataFrame, name: str) -> DataFrame:
     """The blocks as a table bucketed by block, in the shared folder: what is joined to it later moves, the texts don't."""
-    spark, name = blocks.sparkSession, f"text_blocks_{uuid.uuid4().hex}"
+    spark = blocks.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
-def _joined(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(parts: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Small batches that follow one another as one block."""
     held: list[pa.RecordBatch] = []
     size = 0
     for part in parts:
         n = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-        if held and size + n > BLOCK_BYTES:
+        if held and size + n > limit:
             yield pa.concat_batches(held)
             held, size = [], 0
         held.append(part)
@@ -347,21 +347,29 @@ def _scores(known: Known, h, w, pairs, order, of, share, few, total, vocabulary,
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame) -> DataFrame:
+def katz_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores of each row of `docs` (doc_id, text) by a model of those whose crc32(doc_id) mod 10 isn't 0.
 
     A null or empty text is its end alone. A row without a doc_id isn't learned from; its doc_id and held_out are
     null. Repeated rows are learned from and scored once each; other columns are ignored; no rows give no rows. If
-    nothing is learned from, every token is unknown and has probability 1.
+    nothing is learned from, every token is unknown and has probability 1. A text longer than a block is a block.
     """
-    blocks = bucketed(text_blocks(docs))
-    bits = max(4, min(20, int(np.ceil(np.log2(max(2, blocks.count()))))))
+    spark, name = docs.sparkSession, f"text_blocks_{uuid.uuid4().hex}"
+    scores = settled(_scored(bucketed(text_blocks(docs, block_bytes), name)))
+    spark.sql(f"DROP TABLE {name}")
+    removed(spark, f"{shared_dir(spark)}/{name}")
+    return scores
+
+
+def _scored(blocks: DataFrame) -> DataFrame:
+    """Scores of the blocks' texts. There are about as many buckets as blocks, so a bucket's share of the counts stays the same."""
+    bits = max(4, int(np.ceil(np.log2(max(2, blocks.count())))))
     asked = blocks.mapInArrow(ask_words(bits), "bucket int, block long, data binary")
     reply = "block long, bucket int, kind int, data binary"
     words = settled(asked.groupBy("bucket").applyInPandas(add_words, reply))
     numbers = _totals(words)
     if not len(numbers):
-        return docs.sparkSession.createDataFrame([], SCHEMA)
+        return blocks.sparkSession.createDataFrame([], SCHEMA)
     total, vocabulary = int(numbers[0]), int(numbers[1])
     d1 = discounts(numbers[2:])
     unknown = 1.0 - _kept(numbers[2:], total, vocabulary, d1) if total else 1.0
