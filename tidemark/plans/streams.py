@@ -8,9 +8,11 @@ from tidemark.streaming import events as S
 query = Registry()
 
 
-@query("""SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+@query("""SELECT epoch_us(time_bucket(INTERVAL '6 hours', ts)) AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events
+WHERE time_bucket(INTERVAL '6 hours', ts) + INTERVAL '6 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY 1, 2""")
 def stream_tumbling(spark, sf):
-    return S.drained(S.tumbling(S.event_stream(spark, sf), "6 hours"), "complete")
+    """Windows that the watermark has closed: their state is dropped as they are written."""
+    return S.drained(S.tumbling(S.event_stream(spark, sf), "6 hours"), "append")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

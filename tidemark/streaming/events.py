@@ -21,17 +21,20 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a streaming query over all that is there and returns what it wrote. In complete mode each batch replaces the last."""
+    """Runs a streaming query over all that is there and returns what it wrote.
+
+    A batch has a folder of its own, which a batch that is tried again replaces; in complete mode all share one.
+    """
     spark = stream.sparkSession
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    how = "overwrite" if mode == "complete" else "append"
+    folder, written = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", set()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode(how).parquet(f"{folder}/out")
+        written.add(f"{folder}/out/{0 if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{0 if mode == 'complete' else number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    return spark.read.schema(stream.schema).parquet(*sorted(written)) if written else spark.createDataFrame([], stream.schema)
 
 
 def tumbling(stream: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
