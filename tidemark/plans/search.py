@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
+from tidemark.operators import postings as P
 from tidemark.operators import ranking as R
 from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
@@ -47,6 +48,11 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
 
+def _keyword(spark: SparkSession, sf: str, corpus: str | None = None) -> DataFrame:
+    """Scores of the rows that have one of the terms, from the index of documents."""
+    return P.bm25(spark, P.index_of(spark, f"{sf}/documents.parquet"), TERMS, corpus)
+
+
 def _near(spark: SparkSession, sf: str, metric: str = "cosine", key: str = "vec_id") -> DataFrame:
     e = table(spark, sf, "embeddings")
     return R.nearest(e, e.filter("vec_id = 0"), metric).withColumnRenamed("vec_id", key)
@@ -58,12 +64,12 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql(TERMS)} ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_search(spark, sf):
-    return _rounded(R.top(R.bm25(_docs(spark, sf), TERMS), 10), "score")
+    return _rounded(R.top(_keyword(spark, sf), 10), "score")
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql(TERMS, "source = 'src0'")} ORDER BY score DESC, doc_id LIMIT 10")
 def corpus_search(spark, sf):
-    return _rounded(R.top(R.bm25(_docs(spark, sf).filter("source = 'src0'"), TERMS), 10), "score")
+    return _rounded(R.top(_keyword(spark, sf, "src0"), 10), "score")
 
 
 @query(f"SELECT vec_id, round(score, 6) AS score FROM {near_sql()} ORDER BY score DESC, vec_id LIMIT 10")
@@ -101,7 +107,7 @@ UNION ALL SELECT * FROM {ranked_sql(near_sql(key='doc_id'), 10)}) GROUP BY doc_i
 
 
 def _lists(spark: SparkSession, sf: str, k: int = 10) -> list[DataFrame]:
-    return [R.ranked(R.bm25(_docs(spark, sf), TERMS), k), R.ranked(_near(spark, sf, key="doc_id"), k)]
+    return [R.ranked(_keyword(spark, sf), k), R.ranked(_near(spark, sf, key="doc_id"), k)]
 
 
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {HYBRID_SQL} ORDER BY score DESC, doc_id LIMIT 10")
@@ -112,7 +118,7 @@ def hybrid_search(spark, sf):
 @query(f"SELECT doc_id, round(score, 6) AS score FROM {ranked_sql(bm25_sql(TERMS), 10)}")
 def hybrid_keyword_only(spark, sf):
     """Without a query vector the keyword list stays as it is."""
-    return _rounded(R.ranked(R.bm25(_docs(spark, sf), TERMS), 10).select("doc_id", "score"), "score")
+    return _rounded(R.ranked(_keyword(spark, sf), 10).select("doc_id", "score"), "score")
 
 
 def weighted_sql(a: float, b: float, k: int = 20) -> str:
@@ -170,7 +176,7 @@ def endpoint_search(spark, sf):
 @query(f"""SELECT doc_id, round(sum(1 / (60 + rank)), 6) AS score, list_sort(list(src)) AS sources FROM (SELECT doc_id, rank, 'keyword' AS src FROM {ranked_sql(bm25_sql(TERMS), 50)}
 UNION ALL SELECT doc_id, rank, 'graph' FROM {GRAPH_SQL}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
 def graph_enhanced_search(spark, sf):
-    keyword = R.ranked(R.bm25(_docs(spark, sf), TERMS), 50)
+    keyword = R.ranked(_keyword(spark, sf), 50)
     rows = keyword.select("doc_id", "rank", F.lit("keyword").alias("src")).unionByName(_graph_list(spark, sf).select("doc_id", "rank", F.lit("graph").alias("src")))
     out = rows.groupBy("doc_id").agg(F.round(F.sum(1 / (60 + F.col("rank"))), 6).alias("score"), F.sort_array(F.collect_list("src")).alias("sources"))
     return out.orderBy(F.desc("score"), "doc_id").limit(50)
@@ -233,7 +239,7 @@ def auto_route(spark, sf):
 SELECT s.section, s.first, string_agg(d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY d.doc_id) AS content FROM s JOIN documents d ON d.doc_id // 10 = s.section GROUP BY s.section, s.first""")
 def section_hydration(spark, sf):
     """Hits widened to all chunks of their sections, sections in the order of their first hit."""
-    hits = R.ranked(R.bm25(_docs(spark, sf), TERMS), 10)
+    hits = R.ranked(_keyword(spark, sf), 10)
     first = hits.groupBy(F.floor(F.col("doc_id") / 10).alias("section")).agg(F.min("rank").alias("first"))
     d = _docs(spark, sf).select(F.floor(F.col("doc_id") / 10).alias("section"), "doc_id", F.col("text").alias("part"))
     rows = d.join(first, "section").groupBy("section", "first").agg(F.array_sort(F.collect_list(F.struct("doc_id", "part"))).alias("parts"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import ranking as R
-from tidemark.plans.search import TERMS, bm25_sql, ranked_sql
+from tidemark.plans.search import TERMS, _keyword, bm25_sql, ranked_sql
 from tidemark.plans.text import LOWER_WORDS_SQL
 from tidemark.registry import Registry
 from tidemark.session import spread, table
@@ -179,7 +179,7 @@ def index_choice(spark, sf):
 def progressive_search(spark, sf):
     """Ids first, then how many neighbours they have in time, then the full rows of the few that were chosen."""
     d = spread(table(spark, sf, "documents"))
-    hits = R.ranked(R.bm25(d, TERMS), 5).select("doc_id", "rank")
+    hits = R.ranked(_keyword(spark, sf), 5).select("doc_id", "rank")
     full = d.join(hits, "doc_id").select("rank", "doc_id", "source", F.substring("text", 1, 60).alias("preview"))
     near = d.select(F.col("doc_id").alias("other"), F.col("source").alias("s"))
     around = full.select("doc_id", "source").join(near, F.col("source") == F.col("s")).filter((F.abs(F.col("other") - F.col("doc_id")) <= 20) & (F.col("other") != F.col("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("around"))
@@ -194,7 +194,7 @@ def answer_context(spark, sf):
     lines = lambda key, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*key, text.alias("t")))), lambda x: x["t"]), "\n")
     memories = few.agg(lines(["conv_id", "turn"], F.concat(F.lit("- "), F.substring("text", 1, 30))).alias("m"))
     d = spread(table(spark, sf, "documents"))
-    hits = d.join(R.ranked(R.bm25(d, TERMS), 5).select("doc_id", "rank"), "doc_id")
+    hits = d.join(R.ranked(_keyword(spark, sf), 5).select("doc_id", "rank"), "doc_id")
     found = hits.agg(lines(["rank"], F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.substring("text", 1, 80))).alias("f"))
     return memories.crossJoin(F.broadcast(found)).select(F.concat("m", F.lit("\n"), "f").alias("context"))
 
