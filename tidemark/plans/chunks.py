@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chunking as C
+from tidemark.operators.layout import with_columns
 from tidemark.registry import Registry
 from tidemark.session import spread, table
 from tidemark.sources import documents as S
@@ -82,15 +85,80 @@ def html_blocks(spark, sf):
 @query()
 def block_sections(spark, sf):
     """Blocks with their section (a new one at each heading) and breadcrumb (the nearest heading of each level above)."""
-    blocks = html_blocks(spark, sf)
-    w = Window.partitionBy("page_id").orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("block_type") == "heading"
-    out = blocks.withColumn("section", F.sum(heading.cast("int")).over(w))
-    for level in (1, 2, 3):
-        at = F.when(heading & (F.col("level") <= level), F.when(F.col("level") == level, F.col("text")).otherwise(""))
+    out = breadcrumbs(html_blocks(spark, sf), "page_id")
+    return out.select("page_id", "block_idx", "section", F.col("crumb").alias("path"), "block_type", F.sha2(F.concat_ws("#", "page_id", "section"), 256).alias("section_id"))
+
+
+ATOMIC = ("table", "code", "formula", "image")
+
+
+def breadcrumbs(blocks: DataFrame, key: str) -> DataFrame:
+    """Blocks with `section` (a new one at each heading or page break) and `crumb`, the nearest heading of each level above, the own one included."""
+    w = Window.partitionBy(key).orderBy("block_idx").rowsBetween(Window.unboundedPreceding, 0)
+    heading, title = F.col("block_type") == "heading", F.trim("text")
+    out = blocks.withColumn("section", F.sum((heading | (F.col("block_type") == "page_break")).cast("int")).over(w))
+    levels = range(1, 7)
+    for level in levels:
+        at = F.when(heading & (F.col("level") <= level), F.when(F.col("level") == level, title).otherwise(""))
         out = out.withColumn(f"h{level}", F.last(at, ignorenulls=True).over(w))
-    path = F.array_join(F.filter(F.array("h1", "h2", "h3"), lambda x: F.length(x) > 0), " > ")
-    return out.select("page_id", "block_idx", "section", path.alias("path"), "block_type", F.sha2(F.concat_ws("#", "page_id", "section"), 256).alias("section_id"))
+    crumb = F.array_join(F.filter(F.array(*[F.coalesce(f"h{n}", F.lit("")) for n in levels]), lambda x: F.length(x) > 0), " > ")
+    return out.withColumn("crumb", crumb).drop(*[f"h{n}" for n in levels])
+
+
+def structured(blocks: DataFrame, key: str, target: int = 256, most: int = 384, least: int = 64) -> DataFrame:
+    """Chunks that keep to a document's structure: tables, code, formulas and images by themselves and whole, other blocks
+    gathered between headings, page breaks and those, and cut where they are long; each led by its breadcrumb.
+    """
+    w = Window.partitionBy(key).orderBy("block_idx")
+    atomic = F.col("block_type").isin(*ATOMIC)
+    begins = atomic | F.col("block_type").isin("heading", "page_break") | F.coalesce(F.lag(atomic).over(w), F.lit(True))
+    placed = breadcrumbs(blocks, key).withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    body = F.when(F.col("block_type").isin("heading", "page_break"), "").otherwise(F.trim("text"))
+    first = lambda c: F.min_by(c, "block_idx").alias(c)
+    runs = placed.groupBy(key, "run").agg(first("block_type"), first("section"), first("crumb"), F.array_sort(F.collect_list(F.struct("block_idx", body.alias("t")))).alias("b"))
+    text = F.array_join(F.filter(F.concat(F.array("crumb"), F.transform("b", lambda x: x["t"])), lambda x: F.length(x) > 0), "\n\n")
+    whole = runs.select(key, "run", "block_type", "crumb", F.sha2(F.concat_ws("#", key, "section"), 256).alias("section_id"), text.alias("text")).filter("length(text) > 0")
+    alone = F.array(F.struct("text", T.token_estimate(F.col("text")).alias("tokens"), F.lit("atomic").alias("cause")))
+    parts = F.when(F.col("block_type").isin(*ATOMIC), alone).otherwise(C.greedy(C.segments(F.col("text")), target, most, least))
+    return whole.select(key, "run", "block_type", "crumb", "section_id", F.posexplode(parts).alias("part", "c")).select(key, "run", "part", "block_type", "crumb", "section_id", "c.text", "c.tokens")
+
+
+@query()
+def structured_chunks(spark, sf):
+    """Pages by their structure."""
+    return structured(html_blocks(spark, sf), "page_id")
+
+
+@query()
+def prepared_chunks(spark, sf):
+    """What is embedded and indexed of a page: chunks with the source before them, normalised, and their place in the reservoir's order."""
+    c = structured_chunks(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    text = F.concat(F.lit("[Source: "), "url", F.lit("] "), "text")
+    clean = T.canonical_punctuation(T.normalize_space(text))
+    return c.select("page_id", "run", "part", "section_id", clean.alias("embed_text"), F.lower(clean).alias("index_text"), F.sha2(clean, 256).alias("content_hash"))
+
+
+#: Target, least and most tokens and overlap by context size, and by model. Fixed values.
+CONTEXT_PRESETS = {2048: (256, 128, 384, 32), 4096: (384, 192, 512, 48), None: (512, 256, 768, 64)}
+MODEL_PRESETS = {"bge-small": (256, 128, 384, 32), "bge-base": (256, 128, 384, 32), "bge-large": (256, 128, 384, 32), "minilm": (128, 64, 192, 16)}
+
+
+def preset(context: int | None = None, model: str | None = None) -> tuple[int, int, int, int]:
+    """The sizes for a model by name, else for a context of so many tokens."""
+    if model is not None:
+        name = model.lower()
+        return next((v for k, v in MODEL_PRESETS.items() if k in name), CONTEXT_PRESETS[None])
+    return next((v for most, v in CONTEXT_PRESETS.items() if most is not None and context is not None and context <= most), CONTEXT_PRESETS[None])
+
+
+@query()
+def chunk_preview(spark, sf):
+    """Chunks, mean and largest size of every preset over all documents."""
+    out = []
+    for name, (target, least, most, _) in {"context 2048": preset(2048), "context 4096": preset(4096), "context 8192": preset(8192), "minilm": preset(model="all-MiniLM-L6-v2")}.items():
+        c = C.exploded(_docs(spark, sf), "doc_id", C.greedy(C.segments(F.col("text")), target, most, least))
+        out.append(c.agg(F.lit(name).alias("preset"), F.count("*").alias("chunks"), F.round(F.avg("tokens"), 6).alias("mean"), F.max("tokens").alias("most")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query()
@@ -161,13 +229,8 @@ def line_groups(spark, sf):
 
 @query()
 def page_columns(spark, sf):
-    """Each line's column: left edges of a page further apart than 100 begin another; one column is `single`."""
-    lines = grouped_lines(words(spark, sf))
-    order = Window.partitionBy("doc_id", "page").orderBy("x0", "line_id")
-    jump = (F.col("x0") - F.lag("x0").over(order) > 100).cast("int")
-    numbered = lines.withColumn("k", F.sum(F.coalesce(jump, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    most = F.max("k").over(Window.partitionBy("doc_id", "page"))
-    return numbered.select("doc_id", "page", "line_id", F.when(most == 0, "single").otherwise(F.concat(F.lit("col"), (F.col("k") + 1).cast("string"))).alias("column"), "text")
+    """Each line's column, from the left edges of its page's lines."""
+    return with_columns(grouped_lines(words(spark, sf)).select("doc_id", "page", "line_id", "x0", "text"), "doc_id", "page").drop("x0")
 
 
 @query()
