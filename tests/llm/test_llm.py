@@ -195,10 +195,13 @@ def test_mixing_against_brute_force(spark, least):
     metric = (p * tokens[:, None]).T @ p
     share, rate = np.array([0.5, 0.2, 0.3]), np.ones(len(rows))
     target = share * (max(p.T @ tokens / share) if least else 1500.0)
+    before = np.inf
     for _ in range(mixing.ITERATIONS):
         gap = p.T @ (tokens * rate) - target
-        if np.abs(gap).sum() <= 1e-9 * target.sum():
+        distance = gap @ np.linalg.pinv(metric) @ gap
+        if np.abs(gap).sum() <= 1e-6 * target.sum() or distance > mixing.STALLED * before:
             break
+        before = distance
         rate = np.maximum(least, rate - p @ (np.linalg.pinv(metric) @ gap))
     off = lambda r: np.abs(p.T @ (tokens * r) - target).sum()
     assert off(rate) < (0.02 * target.sum() if not least else 0.7 * off(np.ones(len(rows))))  # where no row may shrink, rows of several domains carry too much of one

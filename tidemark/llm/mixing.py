@@ -28,6 +28,8 @@ FLATTEN = 0.7
 #: A row's rate is one expression over its posterior, and the moments are one for each two domains.
 MOST_DOMAINS = 16
 ITERATIONS = 25
+#: An iteration that leaves more than this of the squared distance is the last: where rates are bounded, the targets may be out of reach.
+STALLED = 0.99
 #: Rates are rounded to so many decimals, below which the order of a sum shows.
 DECIMALS = 6
 
@@ -123,11 +125,13 @@ def fit(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None
     share = np.array([weights.get(d, 0.0) for d in mixer.domains]) if weights else (now / now.sum()) ** FLATTEN
     share = share / share.sum()
     size = tokens if tokens is not None else max(float(a / b) for a, b in zip(now, share, strict=True) if b > 0)
-    target, inverse = share * size, np.linalg.pinv(metric)
+    target, inverse, before = share * size, np.linalg.pinv(metric), np.inf
     for _ in range(ITERATIONS):
         gap = now - target
-        if np.abs(gap).sum() <= 1e-9 * size:
+        distance = float(gap @ inverse @ gap)
+        if np.abs(gap).sum() <= 1e-6 * size or distance > STALLED * before:
             break
+        before = distance
         mixer.steps.append(inverse @ gap)
         sums = soft.agg(*[F.sum(F.col("tokens") * q * mixer.rate(p)).alias(f"s{d}") for d, q in enumerate(p)]).first()
         now = np.array([sums[f"s{d}"] or 0.0 for d in range(n)])
