@@ -1,14 +1,17 @@
 """Structure-aware chunks, page columns, the text index and block search against plain versions."""
 
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
 
 from tidemark import catalog
 from tidemark.operators import blocks, layout, postings, ranking
-from tidemark.plans import chunks
+from tidemark.plans import chunks, search
+from tidemark.sources import documents
 
 BLOCKS = "doc_id long, block_idx int, block_type string, level int, text string"
 
@@ -136,3 +139,39 @@ def test_presets():
     assert chunks.preset(1000)[0] == 256 and chunks.preset(4096)[0] == 384 and chunks.preset(100_000)[0] == 512
     assert chunks.preset(model="BGE-small-en-v1.5")[2] == 384 and chunks.preset(model="all-MiniLM-L6-v2")[3] == 16
     assert "chunk_preview" in catalog.QUERIES
+
+
+def test_engine_search_against_a_plain_choice(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    fused = con.sql(f"SELECT doc_id, score FROM {search.weighted_sql(0.7, 0.3)} ORDER BY score DESC, doc_id LIMIT 20").fetchall()
+    texts, vectors = dict(con.sql("SELECT doc_id, text FROM documents").fetchall()), dict(con.sql("SELECT vec_id, embedding FROM embeddings").fetchall())
+    base, v = {}, {}
+    for d, score in fused:
+        if d not in texts:
+            continue
+        tokens, n = {t for t in re.split(r"[\W_]+", texts[d].lower()) if t}, len(texts[d].split())
+        factors = 0.1 * max(0, 1 - (d % 60) / 30) + 0.05 * min(math.log(d % 1000 + 1) / 10, 1) - min(0.05 * abs(n - 500) / 500, 0.05)
+        base[d] = 0.5 * score / max(s for x, s in fused if x in texts) + 0.3 * len(tokens & set(search.TERMS)) / 3 + factors
+        v[d] = np.array(vectors.get(d, np.zeros(64)))
+        v[d] = v[d] / max(np.linalg.norm(v[d]), 1e-12)
+    chosen = []
+    while len(chosen) < min(10, len(base)):
+        gain = {d: 0.7 * b - 0.3 * max([0.0, *(float(v[d] @ v[c]) for c, _ in chosen)]) for d, b in base.items() if d not in dict(chosen)}
+        d = max(gain, key=lambda d: (round(gain[d], 9), base[d], -d))
+        chosen.append((d, base[d] - 0.3 * max([0.0, *(float(v[d] @ v[c]) for c, _ in chosen)])))
+    got = catalog.QUERIES["engine_search"](spark, sf).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [d for d, _ in chosen]
+    assert [r["score"] for r in got] == pytest.approx([s for _, s in chosen], abs=2e-5)
+
+
+def test_snapshot_of_documents(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.md").write_text("# é")
+    (tmp_path / "in" / "deep" / "b.md").write_text("b")
+    (tmp_path / "in" / "c.txt").write_text("no")
+    got = documents.snapshot(spark, str(tmp_path / "in")).collect()
+    assert sorted((r["source"].rsplit("/", 1)[1], r["text"]) for r in got) == [("a.md", "# é"), ("b.md", "b")]

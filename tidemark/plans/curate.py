@@ -47,6 +47,24 @@ def reservoir_sample(spark, sf):
     return reservoir(table(spark, sf, "documents"), "doc_id")
 
 
+@query()
+def reservoir_recapture(spark, sf):
+    """The sample taken again under the next seed, in the order of positions, with what it shares with the one before."""
+    docs = table(spark, sf, "documents")
+    old = reservoir(docs, "doc_id").select("position", F.lit(True).alias("before"))
+    return reservoir(docs, "doc_id", SEED + 1).join(old, "position", "left").select("slot", "position", F.coalesce("before", F.lit(False)).alias("before")).orderBy("position")
+
+
+@query("""SELECT conv_id, sum(strlen(text) // 4)::BIGINT AS tokens, sum(CASE WHEN turn = 0 OR role = 'assistant' THEN strlen(text) // 4 ELSE 0 END)::BIGINT AS cacheable,
+sha256(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn = 0 OR role = 'assistant')) AS cache_key FROM conversations GROUP BY conv_id""")
+def prompt_cache(spark, sf):
+    """Estimated tokens of a prompt's segments, of those that may be cached (the first turn and the assistant's), and the key of these."""
+    c = table(spark, sf, "conversations").withColumns({"n": F.expr("octet_length(text) div 4"), "fixed": (F.col("turn") == 0) | (F.col("role") == "assistant")})
+    parts = F.array_sort(F.collect_list(F.when(F.col("fixed"), F.struct("turn", "text"))))
+    key = F.sha2(F.array_join(F.transform("parts", lambda x: x["text"]), "\n"), 256)
+    return c.groupBy("conv_id").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("fixed"), F.col("n")).otherwise(0)).alias("cacheable"), parts.alias("parts")).select("conv_id", "tokens", "cacheable", key.alias("cache_key"))
+
+
 @query("SELECT sha256(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).filter("copies > 1")

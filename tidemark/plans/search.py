@@ -145,6 +145,37 @@ def rrf_vector_heavy(spark, sf):
     return _rounded(_weighted(spark, sf, 0.3, 0.7).filter("score >= 0.005"), "score", "keyword_score", "vector_score")
 
 
+PSEUDO_SQL = f"(SELECT doc_id, 1 / (60 + rank) AS score, rank FROM {ranked_sql(bm25_sql(TERMS), 10)})"
+
+
+@query(f"""SELECT doc_id, round(sum(w / (60 + rank)), 6) AS score, max(hit) AS cached FROM (SELECT doc_id, rank, 0.7 AS w, false AS hit FROM {PSEUDO_SQL} UNION ALL SELECT doc_id, rank, 0.3, false FROM {ranked_sql(near_sql(key='doc_id'), 20)})
+GROUP BY doc_id ORDER BY sum(w / (60 + rank)) DESC, doc_id LIMIT 10""")
+def optimized_search(spark, sf):
+    """Keyword hits with scores by their rank, twice as many vectors as asked for, fused by weight: what a cache would be filled with."""
+    keyword = R.ranked(_keyword(spark, sf), 10).select("doc_id", (1 / (60 + F.col("rank"))).alias("score"), "rank")
+    fused = R.fuse([keyword, R.ranked(_near(spark, sf, key="doc_id"), 20)], [0.7, 0.3]).select("doc_id", "score")
+    return _rounded(R.top(fused, 10), "score").withColumn("cached", F.lit(False))
+
+
+@query()
+def engine_search(spark, sf):
+    """The whole search: keyword and vector lists of twice the size fused by weight, then chosen one by one.
+
+    A candidate's base is half its fused score in units of the best, 0.3 of the query's terms that it has, and the
+    factors of age, views and length; from it goes 0.3 of the likeness to what is chosen already. A document's vector
+    is the one with its id; one without is like no other.
+    """
+    fused = R.ranked(R.fuse(_lists(spark, sf, 20), [0.7, 0.3]).select("doc_id", "score"), 20)
+    w = T.tokens(F.col("text"))
+    overlap = F.size(F.array_intersect(w, F.array(*[F.lit(t) for t in TERMS]))) / len(TERMS)
+    rows = _docs(spark, sf).select("doc_id", overlap.alias("overlap")).join(fused, "doc_id").join(rerank_factors(spark, sf), "doc_id")
+    best = F.max("score").over(Window.partitionBy())
+    base = 0.5 * F.col("score") / best + 0.3 * F.col("overlap") + F.col("recency") + F.col("popularity") + F.col("length_penalty")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    few = rows.select("doc_id", base.alias("score")).join(v, "doc_id", "left").select(F.lit(0).cast("long").alias("query_id"), F.col("doc_id").alias("vec_id"), "score", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"))
+    return few.groupBy("query_id").applyInPandas(lambda group: choose_mmr(group), "query_id long, rank int, vec_id long, score double").select("rank", F.col("vec_id").alias("doc_id"), "score")
+
+
 @query(f"""SELECT doc_id, round(sum(part), 6) AS score FROM (SELECT doc_id, 0.6 * score / max(score) OVER () AS part FROM {ranked_sql(bm25_sql(TERMS), 20)}
 UNION ALL SELECT doc_id, 0.4 * score / max(score) OVER () FROM {ranked_sql(near_sql(key='doc_id'), 20)}) GROUP BY doc_id""")
 def linear_combination(spark, sf):
@@ -267,7 +298,8 @@ def mmr_rerank(spark, sf):
 def choose_mmr(group: pd.DataFrame, k: int = 10, weight: float = 0.3) -> pd.DataFrame:
     """Greedy choice among a query's candidates (at most fifty); ties go to the earlier one."""
     group = group.sort_values(["score", "vec_id"], ascending=[False, True])
-    v = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+    size = max(map(len, group["embedding"]))
+    v = np.stack([np.asarray(x, dtype=np.float64) if len(x) else np.zeros(size) for x in group["embedding"]])
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     base, worst, left, rows = group["score"].to_numpy(), np.zeros(len(group)), np.ones(len(group), dtype=bool), []
     for rank in range(1, min(k, len(group)) + 1):

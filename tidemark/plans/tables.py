@@ -218,7 +218,7 @@ def memory_priority(spark, sf):
     return table(spark, sf, "labels").select("doc_id", "quality", F.when(F.col("toxic") == 1, "high").when(F.col("quality") == 1, "low").otherwise("medium").alias("priority"))
 
 
-@query()
+@query("SELECT '| ' || substr(n_name, 1, 100) || ' | ' || substr(r_name, 1, 100) || ' |' AS line FROM (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_name LIMIT 50)")
 def adhoc_select(spark, sf):
     """The first fifty rows of a checked SELECT as lines of a grid, strings cut at 100."""
     for name in ("nation", "region"):
@@ -227,6 +227,15 @@ def adhoc_select(spark, sf):
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.substring(c, 1, 100) for c in rows.columns]), F.lit(" |")).alias("line"))
 
 
+@query("SELECT name, kind FROM (VALUES ('nation', 'TEMPORARY'), ('region', 'TEMPORARY'), ('supplier', 'TEMPORARY')) t(name, kind)")
+def list_tables(spark, sf):
+    """Tables that a session knows, here three that it has just been given."""
+    for name in ("nation", "region", "supplier"):
+        table(spark, sf, name).createOrReplaceTempView(name)
+    known = [(t.name, t.tableType) for t in spark.catalog.listTables() if t.name in ("nation", "region", "supplier")]
+    return spark.createDataFrame(known, "name string, kind string")
+
+
 def register(spark: SparkSession) -> None:
     """The text functions under SQL names."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION token_estimate(s STRING) RETURNS BIGINT RETURN (octet_length(s) div 4 + size(filter(split(s, '[ \\\\t\\\\n\\\\r]+'), x -> length(x) > 0)) * 4 div 3) div 2")

@@ -26,6 +26,12 @@ def scan_directory(spark: SparkSession, folder: str, indexed: DataFrame | None =
     return named if indexed is None else named.join(indexed.select("name"), "name", "left_anti")
 
 
+def snapshot(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
+    """(source, timestamp, text) of every matching file below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("path").alias("source"), F.col("modificationTime").alias("timestamp"), decoded(F.col("content")).alias("text"))
+
+
 def content_type(content: Column, name: Column) -> Column:
     """By first bytes, then extension, then the share of bytes that no text has in the first 8 KiB."""
     head = F.hex(F.substring(content, 1, 8))
