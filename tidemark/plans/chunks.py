@@ -198,6 +198,16 @@ def line_regions(spark, sf):
     return _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", kind.alias("region"))
 
 
+WORDS_OF = r"list_filter(string_split_regex(t, '[ \t\n\r]+'), lambda x: length(x) > 0)"
+WORDS_SQL = f"""(SELECT doc_id, line // 40 + 1 AS page, line, i, word, x0, x0 + 50 AS x1, line % 40 * 25 AS y0, line % 40 * 25 + 15 AS y1 FROM (SELECT doc_id, line, i, word,
+CASE WHEN doc_id % 2 = 0 AND i >= 6 THEN 500 ELSE 0 END + i % 6 * 60 + CASE WHEN doc_id % 2 <> 0 AND i >= 6 THEN 360 ELSE 0 END AS x0 FROM (SELECT doc_id, line, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM
+(SELECT doc_id, unnest(wrapped) AS ws, generate_subscripts(wrapped, 1) - 1 AS line FROM (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)),
+lambda t: CASE WHEN len({WORDS_OF}) = 0 THEN [[]::VARCHAR[]] ELSE list_transform(range((len({WORDS_OF}) - 1) // 12 + 1), lambda k: list_slice({WORDS_OF}, k * 12 + 1, k * 12 + 12)) END)) AS wrapped FROM documents)))))"""
+LINES_SQL = f"""(SELECT doc_id, page, line_id, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, string_agg(word, ' ' ORDER BY x0, word) AS text FROM
+(SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY page, y0, x0 ROWS UNBOUNDED PRECEDING)::BIGINT AS line_id FROM (SELECT *, coalesce(lag(page) OVER o IS NULL OR lag(page) OVER o <> page OR y0 > lag(y1) OVER o OR x0 - lag(x1) OVER o > 40, true)::INT AS n
+FROM {WORDS_SQL} WINDOW o AS (PARTITION BY doc_id ORDER BY page, y0, x0))) GROUP BY doc_id, page, line_id)"""
+
+
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Words with boxes on pages of forty lines, as a layout extractor would give them: two columns where the id is even.
 
@@ -222,7 +232,7 @@ def grouped_lines(w: DataFrame) -> DataFrame:
     return g.select("doc_id", "page", "line_id", "x0", "x1", "y0", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("text"))
 
 
-@query()
+@query(f"SELECT doc_id, page, line_id, x0, x1, y0, text FROM {LINES_SQL}")
 def line_groups(spark, sf):
     return grouped_lines(words(spark, sf))
 
@@ -233,14 +243,14 @@ def page_columns(spark, sf):
     return with_columns(grouped_lines(words(spark, sf)).select("doc_id", "page", "line_id", "x0", "text"), "doc_id", "page").drop("x0")
 
 
-@query()
+@query(f"SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, round(100 * avg((x1 - x0) / 1000), 6) AS coverage FROM {LINES_SQL} GROUP BY doc_id")
 def layout_summary(spark, sf):
     """Pages, lines and covered width of each document."""
     lines = grouped_lines(words(spark, sf))
     return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"), F.count("*").alias("lines"), F.round(100 * F.avg((F.col("x1") - F.col("x0")) / 1000), 6).alias("coverage"))
 
 
-@query()
+@query(f"SELECT doc_id, page, string_agg(row, chr(10) ORDER BY y0) AS markdown FROM (SELECT doc_id, page, y0, '| ' || string_agg(word, ' | ' ORDER BY x0, word) || ' |' AS row FROM {WORDS_SQL} GROUP BY doc_id, page, y0) GROUP BY doc_id, page")
 def table_grid(spark, sf):
     """Cells of a page in rows by their band and columns by their left edge, as Markdown."""
     cells = words(spark, sf).groupBy("doc_id", "page", "y0").agg(F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("c"))
