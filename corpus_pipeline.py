@@ -8,50 +8,53 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dup, packing, pii, quality
-from tidemark.session import shared_dir, settled, table
+from tidemark.llm.names import fresh
+from tidemark.session import removed, settled, shared_dir, table
 
 #: Words of a shingle in the near-duplicate stage; only op9's contract says four.
 WORDS = 5
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null ids and texts, repeated rows and no rows as `keep_good` says."""
     return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies; rows without an id stay.
+    """The first document of each group of near copies; rows without an id stay, and so do null and empty texts.
 
     Rows that repeat an id are documents of their own: the first by text keeps the id here, the others get new ones.
+    Columns stay whatever their names; no rows give no rows.
     """
+    key, turn, count = fresh([*docs.columns, "component_id", "n_shingles", "kept"], "key", "turn", "count")
     named, own = docs.filter("doc_id is not null"), F.col("doc_id").cast("long")
-    twice = settled(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    alone = named.withColumn("__id", own)
+    twice = settled(named.groupBy("doc_id").agg(F.count("*").alias(count)).filter(F.col(count) > 1).select("doc_id"))
+    alone = named.withColumn(key, own)
     if twice.head(1):
         most = named.agg(F.max(own)).first()[0]
-        fresh = F.lit(most + 1) + F.monotonically_increasing_id() if most < 1 << 62 else F.xxhash64("doc_id", "__n")
+        fresh_ids = F.lit(most + 1) + F.monotonically_increasing_id() if most < 1 << 62 else F.xxhash64("doc_id", turn)
         ids = Window.partitionBy("doc_id").orderBy("text")
-        again = named.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(ids))
-        again = settled(again.withColumn("__id", F.when(F.col("__n") == 1, own).otherwise(fresh)).select(*docs.columns, "__id"))
-        alone = alone.join(twice, "doc_id", "left_anti").select(*docs.columns, "__id").union(again)
-    groups = near_dup.near_duplicates(alone.select(F.col("__id").alias("doc_id"), "text"), WORDS)
-    stay = groups.filter("kept").select(F.col("doc_id").alias("__id"))
-    return alone.join(stay, "__id", "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
+        again = named.join(twice, "doc_id", "left_semi").withColumn(turn, F.row_number().over(ids))
+        again = settled(again.withColumn(key, F.when(F.col(turn) == 1, own).otherwise(fresh_ids)).select(*docs.columns, key))
+        alone = alone.join(twice, "doc_id", "left_anti").select(*docs.columns, key).union(again)
+    groups = near_dup.near_duplicates(alone.select(F.col(key).alias("doc_id"), "text"), WORDS)
+    stay = groups.filter("kept").select(F.col("doc_id").alias(key))
+    return alone.join(stay, key, "left_semi").select(*docs.columns).union(docs.filter("doc_id is null"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars follows the text."""
+    """Documents with personal data replaced; n_chars, where there is one, follows the text (null: as it was for a null text)."""
     clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else clean
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of languages asks for; none is dropped, the rarer ones repeat."""
+    """Documents as often as the mix of languages asks for: each at least once, those of rarer languages again and again."""
     return mixing.remix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; nulls, repeated rows and no rows as `pack_documents` says."""
     return packing.pack_documents(docs, packing.default_path())
 
 
@@ -60,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again by the next."""
+    """All stages over `documents`, each written and read again by the next.
+
+    A stage's folder goes when the stage after it is written; the last one's stays, as the result is read from it.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
@@ -68,4 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if k:
+            removed(spark, f"{folder}/{STAGES[k - 1][0]}")
     raise AssertionError("no stages")
