@@ -46,7 +46,7 @@ def _candidates(k: int, metric: str):
 def top_per_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best rows of `vectors` for each of `queries`, itself left out, ties to the smaller id.
 
-    With `within`, only rows that agree in that column are compared.
+    With `within`, only rows that agree in that column are compared; a query may then stand once for each of several values.
 
     Vectors have one length and no nulls. Each block keeps its own best, so what is shuffled grows with the queries
     times the blocks; scores are those of the column expressions.
@@ -56,7 +56,7 @@ def top_per_query(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
     pairs = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(right.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_vectors - 1)))), ["grp", "vb", "qb"])
     found = pairs.mapInArrow(_candidates(k, metric), "query_id long, vec_id long")
     x = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("x"))
-    y = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("y"))
+    y = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).alias("y")).dropDuplicates(["query_id"])
     scored = found.join(x, "vec_id").join(y, "query_id").select("query_id", "vec_id", KINDS[metric](F.col("x"), F.col("y")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.replay import replayed
 from tidemark.registry import Registry
 from tidemark.session import table
 
@@ -336,20 +337,34 @@ def rollup_counts(spark, sf):
 def alert_cooldown(spark, sf):
     """Alerts of each user: runs of five failures or a failure rate of one half over ten calls in 300 s; then silence for 600 s."""
     e = _events(spark, sf).select("user_id", "us", "event_id", (F.col("event_type") == "error").alias("failed"))
-    return e.groupBy("user_id").applyInPandas(lambda group: replay_alerts(group), "user_id long, us long, kind string, severity string")
+    return replayed(e, "user_id", ["us", "event_id"], Alerts, "user_id long, us long, kind string, severity string")
 
 
-def replay_alerts(group: pd.DataFrame) -> pd.DataFrame:
-    """A user's events in order; whether an alert is given depends on the last one given."""
-    rows, window, run, last = [], [], 0, None
-    for us, failed in group.sort_values(["us", "event_id"])[["us", "failed"]].itertuples(index=False):
-        run = run + 1 if failed else 0
-        window = [(t, f) for t, f in window if t > us - 300_000_000] + [(us, failed)]
-        rate = sum(f for _, f in window) / len(window)
-        kind = "failure_rate" if len(window) >= 10 and rate >= 0.5 else "consecutive" if run >= 5 else None
-        if run >= 10:
+class Alerts:
+    """A user's events in order; whether an alert is given depends on the last one given. The calls of 300 s are kept."""
+
+    def __init__(self, user):
+        self.user, self.window, self.run, self.last = user, [], 0, None
+
+    def take(self, row) -> list[tuple]:
+        us, failed = row.us, bool(row.failed)
+        self.run = self.run + 1 if failed else 0
+        self.window = [(t, f) for t, f in self.window if t > us - 300_000_000] + [(us, failed)]
+        rate = sum(f for _, f in self.window) / len(self.window)
+        kind = "failure_rate" if len(self.window) >= 10 and rate >= 0.5 else "consecutive" if self.run >= 5 else None
+        if self.run >= 10:
             kind = "consecutive"
-        if kind and (last is None or us - last >= 600_000_000):
-            rows.append((group["user_id"].iloc[0], us, kind, "critical" if rate >= 0.8 or run >= 10 else "error"))
-            last = us
+        if not kind or (self.last is not None and us - self.last < 600_000_000):
+            return []
+        self.last = us
+        return [(self.user, us, kind, "critical" if rate >= 0.8 or self.run >= 10 else "error")]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def replay_alerts(group: pd.DataFrame) -> pd.DataFrame:
+    """The alerts of one user's events."""
+    alerts = Alerts(group["user_id"].iloc[0])
+    rows = [r for row in group.sort_values(["us", "event_id"]).itertuples(index=False) for r in alerts.take(row)]
     return pd.DataFrame(rows, columns=["user_id", "us", "kind", "severity"])

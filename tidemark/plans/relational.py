@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.replay import replayed
 from tidemark.registry import Registry
 from tidemark.session import table
 
@@ -264,22 +265,29 @@ def consistent_ring(spark, sf):
     return d.select("doc_id", F.coalesce(F.try_element_at(after, F.lit(1)), F.element_at("ring", 1))["shard"].alias("shard"))
 
 
+class Bucket:
+    """Tokens that refill with time; a request takes one or is told how long to wait."""
+
+    def __init__(self, burst: float = 5.0, refill_us: int = 600_000_000):
+        self.tokens, self.burst, self.refill_us, self.last = burst, burst, refill_us, None
+
+    def take(self, row) -> list[tuple]:
+        if self.last is not None:
+            self.tokens = min(self.burst, self.tokens + (row.us - self.last) / self.refill_us)
+        self.last, allowed = row.us, self.tokens >= 1
+        wait = 0 if allowed else max(1, int(-(-(1 - self.tokens) * self.refill_us // 1_000_000)))
+        self.tokens -= allowed
+        return [(row.event_id, allowed, wait)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 @query()
 def token_bucket(spark, sf):
     """Requests of each user against a bucket of five that refills by one a 10 minutes: allowed or not, and how long to wait."""
-    import pandas as pd
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, rows = 5.0, None, []
-        for event_id, us in group.sort_values(["us", "event_id"])[["event_id", "us"]].itertuples(index=False):
-            tokens = 5.0 if last is None else min(5.0, tokens + (us - last) / 600_000_000)
-            last, allowed = us, tokens >= 1
-            rows.append((event_id, allowed, 0 if allowed else max(1, int(-(-(1 - tokens) * 600 // 1)))))
-            tokens -= allowed
-        return pd.DataFrame(rows, columns=["event_id", "allowed", "retry_after"])
-
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return e.groupBy("user_id").applyInPandas(replay, "event_id long, allowed boolean, retry_after int")
+    return replayed(e, "user_id", ["us", "event_id"], lambda user: Bucket(), "event_id long, allowed boolean, retry_after int")
 
 
 @query("SELECT doc_id, count(*) - 1 AS false_hits FROM documents GROUP BY doc_id")

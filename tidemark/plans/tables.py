@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.plans.curate import PAIRS_SQL, examples
+from tidemark.operators.replay import replayed
 from tidemark.registry import Registry
 from tidemark.session import table
 from tidemark.sources import sinks as S
@@ -131,19 +132,27 @@ def cache_invalidation(spark, sf):
 def lru_replay(spark, sf):
     """Hits of a cache of eight queries per user, replayed in order."""
 
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        held: dict[int, None] = {}
-        hits = 0
-        for key in group.sort_values(["us", "event_id"])["key"]:
-            hits += key in held
-            held.pop(key, None)
-            held[key] = None
-            if len(held) > 8:
-                held.pop(next(iter(held)))
-        return pd.DataFrame({"user_id": [group["user_id"].iloc[0]], "requests": [len(group)], "hits": [hits]})
-
     e = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.get_json_object("props", "$.k").cast("long").alias("key"))
-    return e.groupBy("user_id").applyInPandas(replay, "user_id long, requests long, hits long")
+    return replayed(e, "user_id", ["us", "event_id"], RecentKeys, "user_id long, requests long, hits long")
+
+
+class RecentKeys:
+    """The eight keys asked for last; counts the requests for one of them."""
+
+    def __init__(self, user, size: int = 8):
+        self.user, self.size, self.held, self.requests, self.hits = user, size, {}, 0, 0
+
+    def take(self, row) -> list[tuple]:
+        self.requests += 1
+        self.hits += row.key in self.held
+        self.held.pop(row.key, None)
+        self.held[row.key] = None
+        if len(self.held) > self.size:
+            self.held.pop(next(iter(self.held)))
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.user, self.requests, self.hits)]
 
 
 @query("SELECT (props->>'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1")

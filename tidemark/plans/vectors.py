@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
+from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
 from tidemark.session import table
 
@@ -88,9 +89,10 @@ def fp16_search(spark, sf):
 def _half(q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [np.array(x, dtype=np.float16) for x in b.column(1).to_pylist()]
-            score = [float(x.astype(np.float64) @ q / max(np.linalg.norm(x.astype(np.float64)) * np.linalg.norm(q), 1e-12)) for x in v]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in v]), pa.array(score)], names=["vec_id", "half", "score"])
+            half = np.asarray(b.column(1).flatten(), dtype=np.float16).reshape(b.num_rows, -1)
+            v = half.astype(np.float64)
+            score = v @ q / np.maximum(np.linalg.norm(v, axis=1) * np.linalg.norm(q), 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in half]), pa.array(score)], names=["vec_id", "half", "score"])
 
     return run
 
@@ -111,10 +113,15 @@ def lloyd(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
+def drawn(e: DataFrame, sample: int = PQ_SAMPLE) -> DataFrame:
+    """About `sample` rows, by a 64-bit hash of id and vector; rows that repeat are drawn once."""
+    bound = min(2**63 - 1, 2**64 * sample // max(e.count(), 1) - 2**63)
+    return e.filter(F.xxhash64("vec_id", "embedding") <= bound).dropDuplicates(["vec_id", "embedding"])
+
+
 def codebook(e: DataFrame, parts: int = PARTS, k: int = CENTROIDS) -> np.ndarray:
     """(parts, k, dim / parts): each part of the vectors is fitted in a task of its own, to a bounded sample by the ids' hash."""
-    total = max(e.count(), 1)
-    sample = e.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, PQ_SAMPLE / total) * 1_000_000))
+    sample = drawn(e)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,12 +164,11 @@ CELLS, PROBES = 32, 22
 def ann_search(spark, sf):
     """Inverted cells: vectors by their nearest centroid (fitted to a bounded sample), the nearest cells of each query (every id divisible by 20) probed, candidates scored exactly.
 
-    Queries join the vectors of their cells on the cell; AQE splits a crowded one.
+    Blocks of queries meet blocks of the vectors of one cell and keep their best, so no pair but these leaves its task.
     """
     e = _e(spark, sf).select("vec_id", "embedding")
-    total = max(e.count(), 1)
-    drawn = e.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(min(1.0, PQ_SAMPLE / total) * 1_000_000)).orderBy("vec_id").collect()
-    centroids = lloyd(_unit(np.array([r["embedding"] for r in drawn], dtype=np.float64)), min(CELLS, len(drawn)), ROUNDS)
+    few = drawn(e).orderBy("vec_id").collect()
+    centroids = lloyd(_unit(np.array([r["embedding"] for r in few], dtype=np.float64)), min(CELLS, len(few)), ROUNDS)
 
     def cells(n: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +181,8 @@ def ann_search(spark, sf):
 
     schema = "vec_id long, embedding array<float>, cell int"
     index = e.mapInPandas(cells(1), schema)
-    asked = e.filter("vec_id % 20 = 0").mapInPandas(cells(PROBES), schema).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "cell")
-    scored = index.join(asked, "cell").filter("vec_id <> query_id").select("query_id", "vec_id", V.cosine(F.col("embedding"), F.col("q")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").withColumn("score", F.round("score", 6))
+    asked = e.filter("vec_id % 20 = 0").mapInPandas(cells(PROBES), schema)
+    return top_per_query(index, asked, 10, within="cell").withColumn("score", F.round("score", 6))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
