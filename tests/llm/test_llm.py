@@ -67,6 +67,67 @@ def test_labellers_accuracies_are_recovered():
     assert abs(model.prior - 0.8) < 0.05 and np.abs(model.rates[:, 0, 0] - 0.6).max() < 0.1
 
 
+def test_expectation_maximisation_by_hand():
+    rng = np.random.default_rng(9)
+    n = len(quality.LABELLERS)
+    rows = [[int(rng.choice(3, p=(0.7, 0.1, 0.2) if junk else (0.02, 0.8, 0.18))) for _ in range(n)] for junk in rng.random(500) < 0.3]
+    model = quality.fit_labels(Counter(sum(c * 3**k for k, c in enumerate(r)) for r in rows), rounds=7)
+    rates, prior = [[[0.4, 0.6], [0.02, 0.98]] for _ in range(n)], 0.8
+
+    def good(row):
+        p = [1 - prior, prior]
+        for k, c in enumerate(row):
+            if c < 2:
+                p = [p[y] * rates[k][y][c] for y in (0, 1)]
+        return p[1] / sum(p)
+
+    for _ in range(7):
+        weight = [good(r) for r in rows]
+        for k in range(n):
+            for y in (0, 1):
+                got = [sum((w if y else 1 - w) for r, w in zip(rows, weight, strict=True) if r[k] == c) + quality.FIRM * quality.BELIEF[y][c] for c in (0, 1)]
+                rates[k][y] = [g / sum(got) for g in got]
+        prior = min(max(sum(weight) / len(rows), 0.01), 0.99)
+    assert model.prior == pytest.approx(prior) and np.allclose(model.rates, rates)
+    assert [model.posterior[sum(c * 3**k for k, c in enumerate(r))] for r in rows] == pytest.approx([good(r) for r in rows])
+
+
+def test_scorer_by_hand():
+    texts_, labels = ["Aa bb bb", "12 34 ab", "x!", "zz zz zz Ab"], [0.9, 0.1, 0.2, 0.7]
+    made, plain = [], []
+    for text, label in zip(texts_, labels, strict=True):
+        words = text.split()
+        pairs = Counter(int(f) for w in words for f in quality.word_features([w])[0])
+        echoes = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+        at = sorted(pairs)
+        share = {f: float(np.float32(pairs[f] / len(words))) for f in at}
+        made.append((np.array(at, dtype="<u2").tobytes(), np.array([share[f] for f in at], dtype="<f4").tobytes(), echoes, label))
+        plain.append({**share, "echoes": echoes, "bias": 1.0})
+    w, squares = defaultdict(float), defaultdict(lambda: 1e-8)
+    for _ in range(quality.ROUNDS):
+        g = defaultdict(float)
+        for x, label in zip(plain, labels, strict=True):
+            error = (1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items()))) - label) / len(plain)
+            for f, v in x.items():
+                g[f] += error * v
+        for f, v in g.items():
+            squares[f] += v * v
+            w[f] -= v / math.sqrt(squares[f])
+    scorer = quality.fit_scorer(made)
+    stats, _ = quality.statistics(pa.array(texts_))
+    got = scorer.probability(*quality._cased(pa.array(texts_)), stats["echoes"])
+    assert got == pytest.approx([1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items()))) for x in plain], abs=1e-6)
+
+
+def test_samples_stay_bounded(spark):
+    assert quality.sample_bound(10**12, 12_000) + 2**63 == pytest.approx(2**64 * 12_000 / 10**12)
+    assert quality.sample_bound(0, 12_000) == quality.sample_bound(100, 12_000) == 2**63 - 1
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text of a few words").alias("text"))
+    assert same.filter(F.xxhash64("doc_id", "text", F.lit(1)) <= quality.sample_bound(3000, 3000)).dropDuplicates().count() == 1
+    model, scorer = quality.fit(same, sample=50)
+    assert quality.classify(same, model, scorer).count() == 3000
+
+
 # 2
 
 
@@ -390,7 +451,7 @@ def test_token_counts_against_the_tokenizer(spark, docs, none):
     whole = Tokenizer(models.Unigram(token_counts.vocabulary_of(path), unk_id=0, byte_fallback=True))
     whole.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
     rows = [(i, t) for i, t in enumerate(["a  b   c", " x\x00y\n\n z", "😀😀a؀ <0x41> <s> 中文字🙂", "\t\ta \n b", "▁▁ ▁a", "tie tie"])]
-    for df in (docs.filter("doc_id is not null and doc_id <> 10"), spark.createDataFrame(rows, "doc_id long, text string")):
+    for df in (docs.filter("doc_id is not null"), spark.createDataFrame(rows, "doc_id long, text string")):
         source = defaultdict(list)
         for r in df.collect():
             source[r["doc_id"]].append(len(whole.encode(r["text"] or "", add_special_tokens=False).ids))
