@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.operators import blocks, layout, postings, ranking
@@ -175,3 +176,29 @@ def test_snapshot_of_documents(spark, tmp_path):
     (tmp_path / "in" / "c.txt").write_text("no")
     got = documents.snapshot(spark, str(tmp_path / "in")).collect()
     assert sorted((r["source"].rsplit("/", 1)[1], r["text"]) for r in got) == [("a.md", "# é"), ("b.md", "b")]
+
+
+def test_lexicon_against_a_walk(spark):
+    from tidemark.plans import text as P
+
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        kinds = rng.choices((P.POSITIVE_WORDS, P.NEGATIVE_WORDS, P.INTENSIFIERS, P.NEGATORS, ("word", "Other", "é")), (2, 2, 2, 2, 6), k=rng.randint(0, 15))
+        rows.append((i, " ".join(rng.choice(k) for k in kinds)))
+    got = {r["i"]: r["s"] for r in spark.createDataFrame(rows, "i int, t string").select("i", P.lexicon(F.col("t")).alias("s")).collect()}
+    for i, t in rows:
+        words = [w for w in re.split(r"[\W\d_]+", t.lower()) if w]
+        score, hits, active, by, at = 0.0, 0, False, 1.0, -1
+        for j, w in enumerate(words):
+            if w in P.NEGATORS:
+                active, at = True, j
+            elif w in P.INTENSIFIERS:
+                by = 1.5
+            else:
+                sign = 1.0 if w in P.POSITIVE_WORDS else -1.0 if w in P.NEGATIVE_WORDS else 0.0
+                hits += sign != 0
+                if active and sign:
+                    sign, active = -sign * 0.8, False
+                score, by = score + sign * by, 1.0
+                active = active and j - at - 1 <= 3
+        assert (got[i]["score"], got[i]["hits"], got[i]["n"]) == (pytest.approx(score), hits, len(words)), t

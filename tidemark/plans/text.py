@@ -30,8 +30,25 @@ COMMON_WORDS = {
 QUESTIONS = ("what", "how", "why", "when", "where", "who", "can", "could", "would")
 PLEASANT = ("good", "great", "excellent", "amazing", "wonderful", "fantastic", "love", "like", "best", "perfect", "awesome", "helpful", "thanks", "thank", "appreciate", "success", "successful")
 UNPLEASANT = ("bad", "terrible", "awful", "horrible", "hate", "worst", "poor", "fail", "failed", "error", "bug", "broken", "issue", "problem", "wrong", "incorrect", "disappointed", "frustrating")
-NEGATORS = ("not", "no", "never", "neither", "nobody", "nothing", "nowhere", "hardly", "barely", "scarcely")
-INTENSIFIERS = ("very", "really", "extremely", "absolutely", "completely", "totally", "so", "too", "quite", "highly")
+POSITIVE_WORDS = (
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "awesome", "love", "happy", "joy", "beautiful", "perfect", "best", "brilliant", "outstanding", "superb", "delightful", "pleasant", "positive", "success",
+    "successful", "win", "winning", "winner", "like", "enjoy", "enjoyed", "enjoying", "glad", "pleased", "exciting", "excited", "thrilled", "satisfied", "impressive", "remarkable", "incredible", "fabulous", "terrific", "marvelous",
+    "splendid", "nice", "fine", "cool", "fun", "helpful", "useful", "valuable", "recommend", "recommended", "praise", "praised", "thank", "thanks", "grateful", "appreciate", "appreciated", "blessed", "fortunate",
+)
+NEGATIVE_WORDS = (
+    "bad", "terrible", "awful", "horrible", "poor", "worst", "hate", "sad", "angry", "upset", "disappointed", "disappointing", "fail", "failed", "failure", "wrong", "mistake", "error", "problem", "issue", "bug", "broken", "crash",
+    "crashed", "slow", "annoying", "annoyed", "frustrating", "frustrated", "confusing", "confused", "difficult", "hard", "impossible", "useless", "worthless", "waste", "boring", "dull", "ugly", "nasty", "disgusting", "gross", "sick",
+    "pain", "painful", "hurt", "hurts", "damage", "damaged", "destroy", "destroyed", "ruin", "ruined", "regret", "sorry", "unfortunately", "never", "nothing", "nobody", "nowhere", "neither", "nor", "dislike", "unhappy", "miserable",
+    "depressed", "anxious", "worried",
+)
+INTENSIFIERS = (
+    "very", "really", "extremely", "incredibly", "absolutely", "totally", "completely", "utterly", "highly", "deeply", "strongly", "particularly", "especially", "exceptionally", "remarkably", "so", "such", "too", "most", "more",
+    "much", "quite", "rather", "fairly", "pretty",
+)
+NEGATORS = (
+    "not", "no", "never", "neither", "nobody", "nothing", "nowhere", "none", "nor", "cannot", "can't", "won't", "wouldn't", "shouldn't", "couldn't", "didn't", "doesn't", "don't", "isn't", "aren't", "wasn't", "weren't", "hasn't",
+    "haven't", "hadn't", "without", "barely", "hardly",
+)
 INTENTS = (
     ("url_fetch", "url_fetch", 0.80, ("fetch", "get", "retrieve", "download", "read", "http://", "https://", "url", "website", "page", "content from", "visit", "extract")),
     ("math", "calculator", 0.95, ("calculate", "compute", "math", "add", "subtract", "multiply", "divide", "plus", "minus", "times", "equals", "=", "+", "-", "*", "/", "sum", "product", "quotient", "percentage", "%", "count")),
@@ -289,28 +306,34 @@ def coarse_sentiment(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(asks, "question").when(good > bad, "positive").when(bad > good, "negative").otherwise("neutral").alias("sentiment"))
 
 
-@query()
-def lexicon_sentiment(spark, sf):
-    """A word's sign, turned and weakened by a negator before it, raised by an intensifier before it; over the hits, within -1 and 1."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
+def lexicon(text: Column) -> Column:
+    """(score, hits, n) of a text's words: a word's sign, turned and weakened by a negator up to five words before it, raised by an intensifier."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 0)
 
     def step(s: Column, w: Column) -> Column:
-        negates, raises = w.isin(*NEGATORS), w.isin(*INTENSIFIERS)
-        sign = F.when(w.isin(*PLEASANT), 1.0).when(w.isin(*UNPLEASANT), -1.0).otherwise(0.0)
+        negates = w.isin(*NEGATORS)
+        raises = ~negates & w.isin(*INTENSIFIERS)
+        sign = F.when(w.isin(*POSITIVE_WORDS), 1.0).when(w.isin(*NEGATIVE_WORDS), -1.0).otherwise(0.0)
         turned = F.when(s["no"] & (sign != 0), -sign * 0.8).otherwise(sign) * s["by"]
         return F.struct(
             F.when(negates | raises, s["score"]).otherwise(s["score"] + turned).alias("score"),
             F.when(negates | raises, s["hits"]).otherwise(s["hits"] + (sign != 0).cast("int")).alias("hits"),
-            F.when(negates, F.lit(True)).when(raises, s["no"]).otherwise(s["no"] & (sign == 0) & (s["since"] < 3)).alias("no"),
+            F.when(negates, F.lit(True)).when(raises, s["no"]).otherwise(s["no"] & (sign == 0) & (s["since"] <= 3)).alias("no"),
             F.when(negates, F.lit(0)).otherwise(s["since"] + 1).alias("since"),
             F.when(raises, 1.5).when(negates, s["by"]).otherwise(1.0).alias("by"),
+            (s["n"] + 1).alias("n"),
         )
 
-    start = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("hits"), F.lit(False).alias("no"), F.lit(0).alias("since"), F.lit(1.0).alias("by"))
-    found = F.aggregate(words, start, step)
-    out = table(spark, sf, "conversations").select("conv_id", "turn", found.alias("s"), F.size(words).alias("n"))
+    start = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("hits"), F.lit(False).alias("no"), F.lit(0).alias("since"), F.lit(1.0).alias("by"), F.lit(0).alias("n"))
+    return F.aggregate(words, start, step)
+
+
+@query()
+def lexicon_sentiment(spark, sf):
+    """Sentiment of each turn over its hits, within -1 and 1, and confidence by their density."""
+    out = table(spark, sf, "conversations").select("conv_id", "turn", lexicon(F.col("text")).alias("s"))
     score = F.least(F.greatest(F.col("s.score") / F.greatest("s.hits", F.lit(1)), F.lit(-1.0)), F.lit(1.0))
-    confidence = F.least(F.greatest(F.greatest("s.hits", F.lit(1)) / F.greatest("n", F.lit(1)) * 2.0, F.lit(0.3)), F.lit(0.95))
+    confidence = F.least(F.greatest(F.greatest("s.hits", F.lit(1)) / F.greatest("s.n", F.lit(1)) * 2.0, F.lit(0.3)), F.lit(0.95))
     label = F.when(score >= 0.6, "very_positive").when(score >= 0.2, "positive").when(score >= -0.2, "neutral").when(score >= -0.6, "negative").otherwise("very_negative")
     return out.select("conv_id", "turn", F.round(score, 6).alias("score"), F.round(confidence, 6).alias("confidence"), label.alias("sentiment"))
 
