@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import graph as G
-from tidemark.plans.text import CATEGORIES
+from tidemark.plans.text import GAZETTEER
 from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
 from tidemark.session import spread, table
@@ -15,8 +15,8 @@ from tidemark.session import spread, table
 query = Registry()
 
 #: The gazetteer: a fixed list, so a document has at most as many entities as it has entries.
-NAMES = tuple(sum(CATEGORIES.values(), ())) + ("the", "der", "que", "con", "est")
-KINDS = {w: k for k, words in CATEGORIES.items() for w in words}
+NAMES = tuple(sum(GAZETTEER.values(), ())) + ("the", "der", "que", "con", "est")
+KINDS = {w: k for k, words in GAZETTEER.items() for w in words}
 _LIST = ", ".join(f"'{n}'" for n in NAMES)
 _KIND = "CASE entity " + " ".join(f"WHEN '{w}' THEN '{k}'" for w, k in KINDS.items()) + " ELSE 'word' END"
 MENTIONS_SQL = f"(SELECT id, entity, {_KIND} AS kind, 0.7 + length(entity) / 100 AS confidence FROM (SELECT doc_id AS id, unnest(list_filter([{_LIST}], lambda w: contains(lower(text), w))) AS entity FROM documents))"

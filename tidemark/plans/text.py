@@ -60,7 +60,24 @@ INTENTS = (
     ("memory", "memory", 0.70, ("memory", "remember", "store", "save note", "note that", "remember that", "recall", "forget", "what did we store")),
 )
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Keywords of categories and patterns of intents.
 CATEGORIES = {
+    "technical": ("code", "programming", "api", "function", "class", "method", "algorithm", "database", "server", "client", "framework", "library", "module", "package", "debug", "error", "exception", "compile", "runtime", "syntax"),
+    "business": ("revenue", "profit", "sales", "marketing", "customer", "client", "contract", "budget", "forecast", "strategy", "growth", "market", "competition", "stakeholder", "roi", "kpi", "metrics", "performance"),
+    "scientific": ("research", "study", "experiment", "hypothesis", "data", "analysis", "methodology", "results", "conclusion", "peer-review", "journal", "citation", "abstract", "findings", "statistical"),
+    "legal": ("contract", "agreement", "clause", "liability", "compliance", "regulation", "law", "statute", "court", "plaintiff", "defendant", "jurisdiction", "intellectual property", "patent", "trademark", "copyright"),
+    "educational": ("learn", "teach", "course", "lesson", "tutorial", "guide", "example", "exercise", "practice", "student", "instructor", "curriculum", "assessment", "quiz", "exam", "certification"),
+    "support": ("help", "issue", "problem", "error", "fix", "solution", "troubleshoot", "ticket", "request", "urgent", "priority", "escalate", "resolve"),
+}
+TEXT_INTENTS = {
+    "question": ("what", "how", "why", "when", "where", "who", "which", "can", "could", "would", "should", "is", "are", "does", "do", "?"),
+    "command": ("create", "delete", "update", "add", "remove", "change", "modify", "set", "get", "list", "show", "display", "run", "execute", "start", "stop"),
+    "search": ("find", "search", "look", "locate", "discover", "retrieve", "fetch", "query", "filter", "browse"),
+    "comparison": ("compare", "versus", "vs", "difference", "between", "better", "worse", "pros", "cons", "advantages", "disadvantages"),
+    "explanation": ("explain", "describe", "elaborate", "clarify", "define", "meaning", "understand", "tell me about"),
+}
+#: Terms that entities are found by, with their kinds: a parameter, here of terms that the texts hold.
+GAZETTEER = {
     "licensing": ("license", "licensed", "apache", "version", "copyright"),
     "abuse": ("stupid", "idiot", "moron", "scum", "loser", "clown", "disgusting"),
     "contact": ("http", "www", "@", "+1"),
@@ -224,11 +241,11 @@ def scan_persons(spark, sf):
     return _docs(spark, sf).filter(F.col("text").rlike(NAMES)).select("doc_id", F.regexp_extract_all("text", F.lit(NAMES), F.lit(0)).alias("names"))
 
 
-@query(f"""SELECT doc_id, term, strpos(lower(text), term) - 1 AS start, 0.85::DOUBLE AS confidence FROM documents, (SELECT unnest([{_values(sum(CATEGORIES.values(), ()))}]) AS term)
+@query(f"""SELECT doc_id, term, strpos(lower(text), term) - 1 AS start, 0.85::DOUBLE AS confidence FROM documents, (SELECT unnest([{_values(sum(GAZETTEER.values(), ()))}]) AS term)
 WHERE contains(lower(text), term)""")
 def scan_gazetteer(spark, sf):
     """The first hit of each listed term."""
-    terms = F.array(*[F.lit(w) for w in sum(CATEGORIES.values(), ())])
+    terms = F.array(*[F.lit(w) for w in sum(GAZETTEER.values(), ())])
     hits = _docs(spark, sf).select("doc_id", F.lower("text").alias("low")).select("doc_id", "low", F.explode(F.filter(terms, lambda w: F.contains(F.col("low"), w))).alias("term"))
     return hits.select("doc_id", "term", (F.instr("low", F.col("term")) - 1).alias("start"), F.lit(0.85).alias("confidence"))
 
@@ -284,15 +301,29 @@ def _score_sql(name: str, words: tuple[str, ...]) -> str:
 
 @query(f"""WITH s AS (SELECT doc_id, {', '.join(_score_sql(k, v) for k, v in CATEGORIES.items())} FROM (SELECT doc_id, lower(text) AS low, greatest(len({WORDS_SQL}), 1) AS n FROM documents)),
 u AS (UNPIVOT s ON {', '.join(CATEGORIES)} INTO NAME category VALUE score)
-SELECT doc_id, category, round(score, 6) AS score FROM u WHERE score > 0.05""")
+SELECT doc_id, category, round(score, 6) AS score FROM u WHERE score > 0.05 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, category) <= 3""")
 def classify_category(spark, sf):
-    """Half the hits a word, half the hits a keyword; categories above 0.05."""
+    """Half the hits a word, half the hits a keyword; the three best categories above 0.05, of equals by name."""
     low, n = F.lower("text"), F.greatest(F.size(T.words(F.col("text"))), F.lit(1))
     scores = []
     for name, words in CATEGORIES.items():
         hits = T.count_of(low, words)
-        scores.append(F.struct(F.lit(name).alias("category"), (F.least(hits / n, F.lit(1.0)) * 0.5 + hits / F.lit(len(words)) * 0.5).alias("score")))
-    return _docs(spark, sf).select("doc_id", F.explode(F.array(*scores)).alias("s")).select("doc_id", "s.category", F.round("s.score", 6).alias("score")).filter("score > 0.05")
+        score = F.least(hits / n, F.lit(1.0)) * 0.5 + hits / F.lit(len(words)) * 0.5
+        scores.append(F.struct((-F.round(score, 6)).alias("less"), F.lit(name).alias("category"), score.alias("score")))
+    best = F.slice(F.array_sort(F.filter(F.array(*scores), lambda x: x["score"] > 0.05)), 1, 3)
+    return _docs(spark, sf).select("doc_id", F.explode(best).alias("s")).select("doc_id", "s.category", F.round("s.score", 6).alias("score"))
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {', '.join(f"{_hits('low', v)} / {len(v)} AS {k}" for k, v in TEXT_INTENTS.items())} FROM (SELECT conv_id, turn, lower(text) AS low FROM conversations)),
+u AS (SELECT conv_id, turn, greatest({', '.join(TEXT_INTENTS)}) AS m, CASE {' '.join(f"WHEN {k} = greatest({', '.join(TEXT_INTENTS)}) THEN '{k}'" for k in TEXT_INTENTS)} END AS intent FROM s)
+SELECT conv_id, turn, intent, round(m, 6) AS score FROM u WHERE m > 0.1""")
+def classify_intent(spark, sf):
+    """The intent with the largest share of its patterns, of equals the first as listed, above a tenth."""
+    low = F.lower("text")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", *[(T.count_of(low, v) / F.lit(len(v))).alias(k) for k, v in TEXT_INTENTS.items()])
+    most = F.greatest(*TEXT_INTENTS)
+    name = F.coalesce(*[F.when(F.col(k) == most, k) for k in TEXT_INTENTS])
+    return c.filter(most > 0.1).select("conv_id", "turn", name.alias("intent"), F.round(most, 6).alias("score"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN contains(text, '?') OR {' OR '.join(f"starts_with(lower(text), '{w}')" for w in QUESTIONS)} THEN 'question'
