@@ -269,16 +269,11 @@ def resolve_overlaps(spark, sf):
 
 def _placed(text: Column, pattern: str, kind: str, confidence: float) -> Column:
     """Spans of all matches, from the lengths of matches and of the text between them."""
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind"), x["m"].alias("text"))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(one))).alias("out"))
-
-    empty = F.array().cast("array<struct<start:int,end:int,confidence:double,kind:string,text:string>>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.slice(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g")), F.lit(1), F.size(found))
+    ends = T.running_sums(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["m"])))
+    one = lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind"), x["m"].alias("text"))
+    return F.zip_with(pairs, ends, one)
 
 
 @query(f"""SELECT conv_id, turn, strlen(text) <= 1000 AND NOT {_any('lower(text)', FORBIDDEN)} AND NOT (contains(text, '```') AND contains(text, 'system')) AS safe FROM conversations""")
