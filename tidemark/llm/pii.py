@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import running_sums
 from tidemark.llm.names import fresh
 from tidemark.session import table
 
@@ -111,20 +112,6 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> D
     return df.drop(*[c for _, *columns in made for c in columns])
 
 
-def running_sums(values: Column) -> Column:
-    """The sums of an array of whole numbers up to each of them, in runs of about the root of its size: appending copies no more than a run."""
-    run = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), run), lambda at: F.slice(values, at, run))
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-
-    def within(part: Column, at: Column) -> Column:
-        begin = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(part, begin, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"])
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
-    return F.flatten(F.aggregate(runs, begin, lambda s, part: F.struct((s["at"] + total(part)).alias("at"), F.concat(s["out"], F.array(within(part, s["at"]))).alias("out")), lambda s: s["out"]))
-
-
 def _spans(kind: Kind, zipped: Column) -> Column:
     rank = KINDS.index(kind)
     ends = F.when(F.size(zipped) > 0, running_sums(F.transform(zipped, lambda x: F.length(x["before"]) + F.length(x["m"])))).otherwise(F.array().cast("array<int>"))
