@@ -102,13 +102,32 @@ def names_per_chunk(spark, sf):
     return mentions(spark, sf).groupBy("id").agg(F.sort_array(F.collect_set("entity")).alias("names"), F.sum(F.length("entity")).alias("relevance"))
 
 
-@query(f"""WITH m AS {MENTIONS_SQL}, s AS (SELECT DISTINCT id, 0 AS pri FROM m WHERE contains(entity, 'apache') OR contains('apache', entity))
-SELECT id, pri FROM s ORDER BY pri, id LIMIT 50""")
+@query(f"""WITH m AS {MENTIONS_SQL}, s AS (SELECT DISTINCT id FROM m WHERE contains(entity, 'apache') OR contains('apache', entity)),
+n AS (SELECT doc_id AS id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents), h AS (SELECT next AS id FROM n JOIN s USING (id) WHERE next IS NOT NULL)
+SELECT id, min(pri)::INT AS pri FROM (SELECT id, 0 AS pri FROM s UNION ALL SELECT id, 1 FROM h) JOIN documents ON doc_id = id WHERE length(text) > 0 GROUP BY id ORDER BY min(pri), id LIMIT 50""")
 def graph_search(spark, sf):
-    """Chunks whose entities contain the query's or are contained in it."""
+    """Chunks whose entities contain the query's or are contained in it, then the chunks that follow these in their source; none without text."""
     e = F.col("entity")
-    hits = mentions(spark, sf).filter(F.contains(e, F.lit("apache")) | F.contains(F.lit("apache"), e)).select("id", F.lit(0).alias("pri")).distinct()
-    return hits.orderBy("pri", "id").limit(50)
+    seeds = mentions(spark, sf).filter(F.contains(e, F.lit("apache")) | F.contains(F.lit("apache"), e)).select("id").distinct()
+    d = table(spark, sf, "documents").select("doc_id", "source", (F.length("text") > 0).alias("real"))
+    following = d.select(F.col("doc_id").alias("id"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next"))
+    hop = following.join(seeds, "id", "left_semi").filter("next is not null").select(F.col("next").alias("id"), F.lit(1).alias("pri"))
+    both = seeds.withColumn("pri", F.lit(0)).union(hop).groupBy("id").agg(F.min("pri").alias("pri"))
+    return both.join(d.filter("real").select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy("pri", "id").limit(50)
+
+
+@query(f"SELECT entity, count(*) AS n FROM {MENTIONS_SQL} GROUP BY entity ORDER BY n DESC, entity LIMIT 20")
+def top_entities(spark, sf):
+    return mentions(spark, sf).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(20)
+
+
+@query(f"""WITH r AS (SELECT x.entity AS a, y.entity AS b, round(avg((x.confidence + y.confidence) / 2), 6) AS strength FROM {MENTIONS_SQL} x JOIN {MENTIONS_SQL} y ON x.id = y.id AND x.entity < y.entity GROUP BY 1, 2)
+SELECT name, related, strength FROM (SELECT a AS name, b AS related, strength FROM r UNION ALL SELECT b, a, strength FROM r) WHERE contains(name, 'licen') ORDER BY strength DESC, name, related LIMIT 20""")
+def related_entities(spark, sf):
+    """Entities that occur with one whose name holds a string, the link being read both ways."""
+    r = G.co_occurrence(mentions(spark, sf))
+    both = r.select(F.col("a").alias("name"), F.col("b").alias("related"), "strength").union(r.select("b", "a", "strength"))
+    return both.filter(F.contains("name", F.lit("licen"))).orderBy(F.desc("strength"), "name", "related").limit(20)
 
 
 @query(f"""SELECT entity, n AS episodes, round(rate, 6) AS rate, CASE WHEN rate > 0.8 THEN 'high' WHEN rate < 0.3 THEN 'low' ELSE 'normal' END AS class FROM
@@ -139,6 +158,14 @@ def reconcile_entities(spark, sf):
     return g.select("vec_id", "other", F.round("s", 6).alias("score"), F.when(F.col("s") >= 0.5, "merge").when(F.col("s") >= 0.3, "review").otherwise("new").alias("decision"))
 
 
+@query("""WITH c AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT c.vec_id,
+list_inner_product(c.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) / sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score
+FROM c JOIN embeddings e ON e.label = c.label AND e.vec_id % 20 <> 0), d AS (SELECT vec_id, CASE WHEN max(score) >= 0.5 THEN 'merge' WHEN max(score) >= 0.3 THEN 'review' ELSE 'new' END AS decision FROM s GROUP BY vec_id)
+SELECT decision, count(*) AS n FROM d GROUP BY decision""")
+def reconcile_stats(spark, sf):
+    return reconcile_entities(spark, sf).groupBy("decision").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT src, dst, type FROM {EDGES_SQL} WHERE src IN (SELECT 1000 + range FROM range(50)) AND dst IN (SELECT 100 + range FROM range(25))")
 def graph_sample(spark, sf):
     """Edges both of whose ends are in a sample of nodes."""

@@ -72,6 +72,19 @@ def corpus_search(spark, sf):
     return _rounded(R.top(_keyword(spark, sf, "src0"), 10), "score")
 
 
+CORPUS_SQL = f"""(SELECT doc_id, sum(1 / (60 + rank)) AS score FROM (SELECT doc_id, rank FROM {ranked_sql(bm25_sql(TERMS, "source = 'src0'"), 10)}
+UNION ALL SELECT doc_id, rank FROM {ranked_sql(f"(SELECT n.* FROM {near_sql(key='doc_id')} n JOIN documents d ON d.doc_id = n.doc_id AND d.source = 'src0')", 10)}) GROUP BY doc_id)"""
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM {CORPUS_SQL} ORDER BY score DESC, doc_id LIMIT 10")
+def corpus_hybrid(spark, sf):
+    """Both lists over one corpus alone."""
+    own = table(spark, sf, "documents").filter("source = 'src0'").select("doc_id")
+    near = _near(spark, sf, key="doc_id").join(own, "doc_id", "left_semi")
+    fused = R.fuse([R.ranked(_keyword(spark, sf, "src0"), 10), R.ranked(near, 10)]).select("doc_id", "score")
+    return _rounded(R.top(fused, 10), "score")
+
+
 @query(f"SELECT vec_id, round(score, 6) AS score FROM {near_sql()} ORDER BY score DESC, vec_id LIMIT 10")
 def vector_cosine(spark, sf):
     return _rounded(R.top(_near(spark, sf), 10, "vec_id"), "score")
@@ -230,13 +243,19 @@ def memory_search(spark, sf):
     return _rounded(scored.withColumn("n", F.row_number().over(order)).filter("n <= 3").drop("n"), "score")
 
 
-@query(rf"""SELECT conv_id, turn, regexp_extract(text, '.{{0,20}}(the|der|que).{{0,20}}', 0) AS snippet FROM conversations
-WHERE role = 'user' AND regexp_matches(lower(text), '(^|[ .,])(the|der|que)([ .,]|$)') ORDER BY conv_id DESC, turn LIMIT 20""")
+OBSERVED = "(^|[ .,])(the|der|que)([ .,]|$)"
+_HITS = f"""(SELECT conv_id, turn, len(regexp_extract_all(lower(text), '(the|der|que)')) AS n, regexp_extract(text, '.{{0,20}}(the|der|que).{{0,20}}', 0) AS snippet FROM conversations WHERE role = 'user' AND regexp_matches(lower(text), '{OBSERVED}'))"""
+
+
+@query(f"""SELECT 'rank' AS sorted, conv_id, turn, snippet FROM (SELECT * FROM {_HITS} ORDER BY n DESC, conv_id, turn LIMIT 20) UNION ALL SELECT 'newest', conv_id, turn, snippet FROM (SELECT * FROM {_HITS} ORDER BY conv_id DESC, turn LIMIT 20)
+UNION ALL SELECT 'oldest', conv_id, turn, snippet FROM (SELECT * FROM {_HITS} ORDER BY conv_id, turn LIMIT 20)""")
 def observation_search(spark, sf):
-    """Filtered keyword hits, newest first, with the surroundings of the first."""
-    c = table(spark, sf, "conversations")
-    hit = c.filter("role = 'user'").filter(F.lower("text").rlike("(^|[ .,])(the|der|que)([ .,]|$)"))
-    return hit.select("conv_id", "turn", F.regexp_extract("text", ".{0,20}(the|der|que).{0,20}", 0).alias("snippet")).orderBy(F.desc("conv_id"), "turn").limit(20)
+    """Filtered keyword hits by their number, newest first and oldest first, with the surroundings of the first."""
+    c = table(spark, sf, "conversations").filter("role = 'user'").filter(F.lower("text").rlike(OBSERVED))
+    hit = c.select("conv_id", "turn", F.regexp_count(F.lower("text"), F.lit("(the|der|que)")).alias("n"), F.regexp_extract("text", ".{0,20}(the|der|que).{0,20}", 0).alias("snippet"))
+    orders = {"rank": (F.desc("n"), "conv_id", "turn"), "newest": (F.desc("conv_id"), "turn"), "oldest": ("conv_id", "turn")}
+    parts = [hit.orderBy(*by).limit(20).select(F.lit(name).alias("sorted"), "conv_id", "turn", "snippet") for name, by in orders.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 FRAG_SQL = """(SELECT source, count(DISTINCT doc_id // 10) / nullif(count(doc_id), 0) AS section_ratio, count(DISTINCT lang) / nullif(count(doc_id), 0) AS doc_ratio,
