@@ -178,7 +178,11 @@ def ranges(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 
 def read_archives(cut: DataFrame, folder: str) -> DataFrame:
-    """The records of the ranges: page_id, uri, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit), intact."""
+    """The records of the ranges: page_id, uri, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit), intact.
+
+    A record belongs to the range that it starts in, however long it is; a null page_id and repeated records stay as they
+    were written; ranges without a record, and no ranges, give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = fs.FileSystem.from_uri(folder)
