@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import katz, mixing, near_dup, packing, pii, quality, tiff, token_counts, vafile, warc
+from tidemark.llm import conversations, katz, langid, mixing, near_dup, packing, pii, quality, spelling, tiff, token_counts, vafile, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_top_k": vafile.op8_exact_top_k,
     "op9_near_dup": near_dup.op9_near_dup,
     "op10_packing": packing.op10_packing,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_langid": langid.op13_langid,
 }
 
 ORACLES: dict[str, str] = {
