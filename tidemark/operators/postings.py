@@ -18,7 +18,7 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
@@ -50,7 +50,7 @@ def index_of(spark: SparkSession, path: str, key: str = "doc_id", text: str = "t
     """The folder of the index of a table, built unless it is there for the table's present state."""
     name = hashlib.sha256("|".join([state_of(spark, path), key, text, corpus]).encode()).hexdigest()[:24]
     folder = f"{shared_dir(spark)}/postings-{name}"
-    if not _exists(spark, f"{folder}/totals/_SUCCESS"):  # written last
+    if not exists(spark, f"{folder}/totals/_SUCCESS"):  # written last
         build(spread(spark.read.parquet(path).select(corpus, key, text)), folder, key, text, corpus)
     return folder
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.setjoin import similar_sets
 from tidemark.plans.text import LOWER_WORDS_SQL
 from tidemark.registry import Registry
 from tidemark.session import table
@@ -74,13 +75,10 @@ def exact_duplicates(spark, sf):
 (SELECT doc_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM documents) l JOIN (SELECT item_id, list_distinct({LOWER_WORDS_SQL}) AS w FROM benchmark) b
 ON len(list_intersect(l.w, b.w)) / len(list_distinct(list_concat(l.w, b.w))) > 0.2""")
 def benchmark_overlap(spark, sf):
-    """Documents and benchmark items that share words: an inverted join on words, counted, then over the union's size."""
-    words = lambda df, key: df.select(key, F.array_distinct(T.words(F.lower("text"))).alias("w"))
-    d = words(table(spark, sf, "documents"), "doc_id").select("doc_id", F.size("w").alias("n"), F.explode("w").alias("x"))
-    b = words(table(spark, sf, "benchmark"), "item_id").select("item_id", F.size("w").alias("m"), F.explode("w").alias("x"))
-    g = d.join(b, "x").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("k"))
-    similarity = F.col("k") / (F.col("n") + F.col("m") - F.col("k"))
-    return g.filter(similarity > 0.2).select("doc_id", "item_id", F.round(similarity, 6).alias("similarity"))
+    """Documents and benchmark items that have over a fifth of their words in common, by prefixes of their rarest words."""
+    words = lambda df, key: df.select(F.col(key).alias("key"), F.array_distinct(T.words(F.lower("text"))).alias("s"))
+    found = similar_sets(words(table(spark, sf, "documents"), "doc_id"), words(table(spark, sf, "benchmark"), "item_id"), 0.2)
+    return found.filter("similarity > 0.2").select(F.col("a").alias("doc_id"), F.col("b").alias("item_id"), F.round("similarity", 6).alias("similarity"))
 
 
 PAIRS_SQL = """(SELECT conv_id, turn, text AS instruction, response, (conv_id * 7 + turn) % 6 AS score FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE role = 'user' AND next = 'assistant')"""

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
-from tidemark.operators.blocks import top_per_query
+from tidemark.operators import cells
+from tidemark.operators.postings import exists, state_of
 from tidemark.registry import Registry
-from tidemark.session import table
+from tidemark.session import shared_dir, table
 
 query = Registry()
 
@@ -97,93 +98,43 @@ def _half(q: np.ndarray):
     return run
 
 
-#: Rows that a codebook is fitted to, about, whatever the size of the table.
-PQ_SAMPLE = 4096
-PARTS, CENTROIDS, ROUNDS = 8, 64, 12
-
-
-def lloyd(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """k-means from the first k rows; a centroid without rows stays where it is."""
-    c = x[:k].copy()
-    for _ in range(rounds):
-        near = np.argmin((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)[None, :], axis=1)
-        n = np.bincount(near, minlength=len(c))
-        sums = np.stack([np.bincount(near, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], axis=1)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
-    return c
-
-
-def drawn(e: DataFrame, sample: int = PQ_SAMPLE) -> DataFrame:
-    """About `sample` rows, by a 64-bit hash of id and vector; rows that repeat are drawn once."""
-    bound = min(2**63 - 1, 2**64 * sample // max(e.count(), 1) - 2**63)
-    return e.filter(F.xxhash64("vec_id", "embedding") <= bound).dropDuplicates(["vec_id", "embedding"])
-
-
-def codebook(e: DataFrame, parts: int = PARTS, k: int = CENTROIDS) -> np.ndarray:
-    """(parts, k, dim / parts): each part of the vectors is fitted in a task of its own, to a bounded sample by the ids' hash."""
-    sample = drawn(e)
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in range(parts):
-                yield pd.DataFrame({"part": p, "vec_id": b["vec_id"], "x": [np.array_split(np.asarray(v, dtype=np.float64), parts)[p] for v in b["embedding"]]})
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.sort_values("vec_id")["x"].to_numpy())
-        c = lloyd(x, min(k, len(x)), ROUNDS)
-        return pd.DataFrame({"part": group["part"].iloc[0], "c": [r.tolist() for r in c], "i": range(len(c))})
-
-    rows = sample.select("vec_id", "embedding").mapInPandas(split, "part int, vec_id long, x array<double>").groupBy("part").applyInPandas(fit, "part int, c array<double>, i int").orderBy("part", "i").collect()
-    n = len(rows) // parts
-    return np.array([r["c"] for r in rows]).reshape(parts, n, -1)
+def _index(spark: SparkSession, sf: str, metric: str = "cosine") -> cells.CellIndex:
+    return cells.index_of(spark, f"{sf}/embeddings.parquet", metric=metric)
 
 
 @query()
 def pq_search(spark, sf):
-    """Product quantisation: codes of eight parts, distances from a table per part, similarity 1 / (1 + d); the ten best."""
-    e = _e(spark, sf)
-    book = codebook(e)
-    q = np.array(e.filter("vec_id = 0").first()["embedding"], dtype=np.float64)
-    table_of = np.stack([((book[p] - np.array_split(q, PARTS)[p]) ** 2).sum(1) for p in range(PARTS)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            v = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            codes = np.stack([np.argmin(((x[:, None, :] - book[p][None]) ** 2).sum(2), axis=1) for p, x in enumerate(np.array_split(v, PARTS, axis=1))], axis=1)
-            d = np.sqrt(sum(table_of[p][codes[:, p]] for p in range(PARTS)))
-            yield pd.DataFrame({"vec_id": b["vec_id"], "codes": [c.astype(np.uint8).tobytes() for c in codes], "score": 1 / (1 + d)})
-
-    scored = e.select("vec_id", "embedding").mapInPandas(run, "vec_id long, codes binary, score double")
-    return scored.select("vec_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
+    """Product quantisation alone: distances between a query and what the codes say, similarity 1 / (1 + d); the ten best."""
+    index = _index(spark, sf, "euclidean")
+    asked = cells.clean(_e(spark, sf).filter("vec_id = 0"), "vec_id", "embedding").withColumn("id", F.lit(-1).cast("long"))  # by another id, as it counts itself
+    near = index.candidates(asked, 10, probes=len(index.fitted.centroids))
+    return near.select(F.col("id").alias("vec_id"), F.round(1 / (1 + F.sqrt(F.greatest(F.lit(0.0), -F.col("near")))), 6).alias("score"))
 
 
-CELLS, PROBES = 32, 22
+@query()
+def pq_decode(spark, sf):
+    """What the codes keep of each vector (of unit length): bytes of the code and the squared error."""
+    shown = _index(spark, sf).decoded().join(_e(spark, sf).select(F.col("vec_id").alias("id"), V.normalized(F.col("embedding")).alias("x")), "id")
+    error = F.aggregate(F.zip_with("x", "approximate", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return shown.select(F.col("id").alias("vec_id"), F.octet_length("code").alias("code_bytes"), F.round(error, 6).alias("squared_error"))
 
 
 @query()
 def ann_search(spark, sf):
-    """Inverted cells: vectors by their nearest centroid (fitted to a bounded sample), the nearest cells of each query (every id divisible by 20) probed, candidates scored exactly.
-
-    Blocks of queries meet blocks of the vectors of one cell and keep their best, so no pair but these leaves its task.
-    """
-    e = _e(spark, sf).select("vec_id", "embedding")
-    few = drawn(e).orderBy("vec_id").collect()
-    centroids = lloyd(_unit(np.array([r["embedding"] for r in few], dtype=np.float64)), min(CELLS, len(few)), ROUNDS)
+    """The ten nearest of every id divisible by 20 by the persisted index: codes of the nearest cells, then exact scores of the forty that these put first."""
+    return _index(spark, sf).search(_e(spark, sf).filter("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))
 
-    def cells(n: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                near = np.argsort(-_unit(np.stack(b["embedding"].to_numpy()).astype(np.float64)) @ centroids.T, axis=1)[:, :n]
-                for j in range(near.shape[1]):
-                    yield b.assign(cell=near[:, j])
 
-        return run
-
-    schema = "vec_id long, embedding array<float>, cell int"
-    index = e.mapInPandas(cells(1), schema)
-    asked = e.filter("vec_id % 20 = 0").mapInPandas(cells(PROBES), schema)
-    return top_per_query(index, asked, 10, within="cell").withColumn("score", F.round("score", 6))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+@query()
+def ann_maintained(spark, sf):
+    """An index kept up to date: built of two thirds of the vectors, the rest inserted, every seventh id deleted, then compacted and searched."""
+    path = f"{sf}/embeddings.parquet"
+    folder = f"{shared_dir(spark)}/kept-{hashlib.sha256(state_of(spark, path).encode()).hexdigest()[:24]}"
+    if not exists(spark, f"{folder}/compact/entries/seq=0/_SUCCESS"):
+        e = _e(spark, sf)
+        index = cells.CellIndex.build(e.filter("vec_id % 3 <> 0"), f"{folder}/grown")
+        index.insert(e.filter("vec_id % 3 = 0"))
+        index.delete(e.filter("vec_id % 7 = 0"))
+        index.compact(f"{folder}/compact")
+        index.drop()
+    return cells.CellIndex(spark, f"{folder}/compact").search(_e(spark, sf).filter("vec_id % 20 = 0")).withColumn("score", F.round("score", 6))
