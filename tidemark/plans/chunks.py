@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import chunking as C
+from tidemark.operators.assembly import assembled
 from tidemark.operators.layout import with_columns
 from tidemark.registry import Registry
 from tidemark.session import spread, table
@@ -222,13 +223,16 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("doc_id", page.alias("page"), "line", "i", "word", left.alias("x0"), (left + 50).alias("x1"), top.alias("y0"), (top + 15).alias("y1"))
 
 
-def grouped_lines(w: DataFrame) -> DataFrame:
-    """A new line where the page or the band changes, or the gap is over 40."""
+def numbered_words(w: DataFrame) -> DataFrame:
+    """Words with the number of their line: a new one where the page or the band changes, or the gap is over 40."""
     order = Window.partitionBy("doc_id").orderBy("page", "y0", "x0")
     before = lambda c: F.lag(c).over(order)
     new = before("page").isNull() | (before("page") != F.col("page")) | (F.col("y0") > before("y1")) | (F.col("x0") - before("x1") > 40)
-    numbered = w.withColumn("n", new.cast("int")).withColumn("line_id", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    g = numbered.groupBy("doc_id", "page", "line_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("ws"))
+    return w.withColumn("n", new.cast("int")).withColumn("line_id", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def grouped_lines(w: DataFrame) -> DataFrame:
+    g = numbered_words(w).groupBy("doc_id", "page", "line_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.array_sort(F.collect_list(F.struct("x0", "word"))).alias("ws"))
     return g.select("doc_id", "page", "line_id", "x0", "x1", "y0", F.array_join(F.transform("ws", lambda x: x["word"]), " ").alias("text"))
 
 
@@ -243,6 +247,46 @@ def page_columns(spark, sf):
     return with_columns(grouped_lines(words(spark, sf)).select("doc_id", "page", "line_id", "x0", "text"), "doc_id", "page").drop("x0")
 
 
+TAG_SQL = r"""CASE WHEN y0 >= 950 AND n_words <= 3 THEN 'footer' WHEN contains(t, '|') THEN 'table' WHEN regexp_matches(t, '^[-*] ') THEN 'list' WHEN regexp_matches(t, '^Figure ') THEN 'figure' WHEN regexp_matches(t, '^(Table|Abbildung) ') THEN 'caption'
+WHEN length(regexp_replace(t, '[^A-Z]', '', 'g')) * 2 > length(regexp_replace(t, '[^A-Za-z]', '', 'g')) THEN 'title' WHEN ends_with(t, ':') THEN 'section_header' ELSE 'text' END"""
+TAGGED_SQL = f"""(SELECT *, CASE WHEN NOT two THEN 'single' WHEN x0 < 500 THEN 'col1' ELSE 'col2' END AS col FROM (SELECT doc_id, page, line, word, x0, x1, y0, y1, {TAG_SQL} AS tag, max(x0) OVER p >= 500 AND NOT bool_or(x0 >= 350 AND x0 < 500) OVER p AS two
+FROM {WORDS_SQL} JOIN (SELECT doc_id, line, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n_words FROM {WORDS_SQL} GROUP BY doc_id, line) USING (doc_id, line) WINDOW p AS (PARTITION BY doc_id, page)))"""
+RUNS_SQL = f"""(SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page, col, y0, x0 ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, row_number() OVER o AS nth, (lag(tag) OVER o IS NULL OR lag(tag) OVER o <> tag OR (lag(page) OVER o = page AND lag(col) OVER o LIKE 'col%' AND col LIKE 'col%' AND lag(col) OVER o <> col))::INT AS new
+FROM {TAGGED_SQL} WINDOW o AS (PARTITION BY doc_id ORDER BY page, col, y0, x0)))"""
+
+
+def tagged(w: DataFrame) -> DataFrame:
+    """Words with their line's tag: by its marks, its capitals, and its place on the page."""
+    lines = w.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("t"), F.count("*").alias("n_words"))
+    t = F.col("t")
+    capital = F.length(F.regexp_replace(t, "[^A-Z]", "")) * 2 > F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
+    tag = F.when((F.col("y0") >= 950) & (F.col("n_words") <= 3), "footer").when(F.contains(t, F.lit("|")), "table").when(t.rlike("^[-*] "), "list").when(t.rlike("^Figure "), "figure")
+    return w.join(lines, ["doc_id", "line"]).withColumn("tag", tag.when(t.rlike("^(Table|Abbildung) "), "caption").when(capital, "title").when(F.endswith(t, F.lit(":")), "section_header").otherwise("text"))
+
+
+@query(f"""WITH r AS MATERIALIZED (SELECT * FROM {RUNS_SQL} WHERE tag NOT IN ('other', 'footer')),
+b AS (SELECT doc_id, run, tag, string_agg(word, ' ' ORDER BY nth) AS words, arg_min(page, nth) AS page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CASE WHEN min(col) = max(col) THEN min(col) ELSE 'multi' END AS "column" FROM r GROUP BY doc_id, run, tag),
+t AS (SELECT doc_id, run, count(*)::INT AS table_rows, max(cells)::INT AS table_cols, string_agg(line, chr(10) ORDER BY page, y0) AS markdown FROM (SELECT doc_id, run, page, y0, count(*) AS cells, '| ' || string_agg(word, ' | ' ORDER BY x0, word) || ' |' AS line FROM r WHERE tag = 'table' GROUP BY doc_id, run, page, y0) GROUP BY doc_id, run)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS block, CASE tag WHEN 'title' THEN 'header' WHEN 'section_header' THEN 'header' WHEN 'figure' THEN 'image' ELSE tag END AS type, CASE tag WHEN 'title' THEN 1 WHEN 'section_header' THEN 2 END AS level,
+CASE WHEN tag = 'figure' THEN '' ELSE words END AS text, CASE WHEN tag = 'figure' THEN words END AS alt, page, x0, y0, x1, y1, "column", table_rows, table_cols, markdown FROM b LEFT JOIN t USING (doc_id, run)""")
+def assembled_blocks(spark, sf):
+    """Blocks of words by tag and column, where a page has two columns if its words leave a gutter free."""
+    w = tagged(words(spark, sf))
+    page = Window.partitionBy("doc_id", "page")
+    two = (F.max("x0").over(page) >= 500) & ~F.bool_or((F.col("x0") >= 350) & (F.col("x0") < 500)).over(page)
+    placed = w.withColumn("column", F.when(~two, "single").when(F.col("x0") < 500, "col1").otherwise("col2"))
+    return assembled(placed, "doc_id", "page", "column", "y0", "x0")
+
+
+@query()
+def page_blocks(spark, sf):
+    """Blocks of words by tag and by the columns that their pages' left edges make."""
+    w = numbered_words(words(spark, sf))
+    columns = page_columns(spark, sf).select("doc_id", "page", "line_id", "column")
+    placed = tagged(w.join(columns, ["doc_id", "page", "line_id"]))
+    return assembled(placed, "doc_id", "page", "column", "y0", "x0")
+
+
 @query(f"SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS lines, round(100 * avg((x1 - x0) / 1000), 6) AS coverage FROM {LINES_SQL} GROUP BY doc_id")
 def layout_summary(spark, sf):
     """Pages, lines and covered width of each document."""
