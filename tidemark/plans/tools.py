@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import ranking as R
+from tidemark.operators import spelling
 from tidemark.plans.search import TERMS, _keyword, bm25_sql, ranked_sql
 from tidemark.plans.text import LOWER_WORDS_SQL
 from tidemark.registry import Registry
@@ -35,6 +36,13 @@ def spell_check(spark, sf):
     return words.select("word", F.coalesce(known, F.get(near, F.lit(0))).alias("suggestion"))
 
 
+@query()
+def correct_spelling(spark, sf):
+    """Every word of the documents that few others use, with the commonest of the words the fewest edits away."""
+    index = spelling.index_of(spark, f"{sf}/documents.parquet")
+    return spelling.corrections(spread(table(spark, sf, "documents").select("doc_id", "text")), index, "doc_id", MISSPELLINGS)
+
+
 ENGLISH_SPANISH = {"the": "el", "and": "y", "of": "de", "to": "a", "with": "con", "is": "es", "was": "fue", "for": "para"}
 
 
