@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
+from tidemark.operators import fielded
 from tidemark.operators import postings as P
 from tidemark.operators import ranking as R
 from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
-from tidemark.session import spread, table
+from tidemark.session import shared_dir, spread, table
 
 query = Registry()
 TERMS = ["thing", "anea", "stupid"]
@@ -360,3 +363,62 @@ def hashed_token_ids(spark, sf):
     """Word ids for a model without its vocabulary: 101, hashed ids from 1000 on, 102."""
     ids = F.transform(F.slice(T.tokens(F.col("text")), 1, 254), lambda t: (F.pmod(F.xxhash64(t), F.lit(29522)) + 1000).cast("int"))
     return _docs(spark, sf).select("doc_id", F.concat(F.array(F.lit(101)), ids, F.array(F.lit(102))).alias("ids"))
+
+
+#: A document's first line is its title, the rest its body.
+PHRASE, BOOST = ["of", "the"], 2.0
+FIELDED_SQL = rf"""(SELECT doc_id, 'title' AS field, {TOKENS_SQL.replace("lower(text)", "lower(string_split(coalesce(text, ''), chr(10))[1])")} AS toks FROM documents
+UNION ALL SELECT doc_id, 'body', {TOKENS_SQL.replace("lower(text)", "lower(array_to_string(list_slice(string_split(coalesce(text, ''), chr(10)), 2, 1000000000), chr(10)))")} FROM documents)"""
+
+
+def fields(d: DataFrame) -> DataFrame:
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return spread(d.select("doc_id", "text")).select("doc_id", F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("body"))
+
+
+def _fielded(spark: SparkSession, sf: str) -> fielded.FieldedIndex:
+    return fielded.index_of(spark, f"{sf}/documents.parquet", "doc_id", fields, ["title", "body"])
+
+
+def fielded_sql(rows: str) -> str:
+    terms = ", ".join(f"'{t}'" for t in TERMS)
+    return f"""(WITH t AS (SELECT *, len(toks) AS dl FROM {rows}), s AS (SELECT field, count(*) AS n, avg(dl) AS avgdl FROM t GROUP BY field),
+h AS (SELECT doc_id, field, dl, term, len(list_filter(toks, lambda x: x = term)) AS tf FROM t, (SELECT unnest([{terms}]) AS term)),
+d AS (SELECT term, field, count(*) AS df FROM h WHERE tf > 0 GROUP BY term, field)
+SELECT doc_id, sum(CASE field WHEN 'title' THEN {BOOST} ELSE 1 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+FROM h JOIN d USING (term, field) JOIN s USING (field) WHERE tf > 0 GROUP BY doc_id)"""
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM {fielded_sql(FIELDED_SQL)} ORDER BY score DESC, doc_id LIMIT 10")
+def fielded_search(spark, sf):
+    """BM25 over title and body, where the title counts twice."""
+    found = _fielded(spark, sf).search(TERMS, {"title": BOOST}).withColumnRenamed("id", "doc_id")
+    return _rounded(R.top(found, 10), "score")
+
+
+@query(f"""SELECT doc_id, field, list_filter(range(len(toks) - 1), lambda i: toks[i + 1] = '{PHRASE[0]}' AND toks[i + 2] = '{PHRASE[1]}')::INT[] AS starts
+FROM {FIELDED_SQL} WHERE len(list_filter(range(len(toks) - 1), lambda i: toks[i + 1] = '{PHRASE[0]}' AND toks[i + 2] = '{PHRASE[1]}')) > 0""")
+def phrase_search(spark, sf):
+    """Where two words stand side by side, by field."""
+    return _fielded(spark, sf).phrase(PHRASE).withColumnRenamed("id", "doc_id")
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM {fielded_sql(f'(SELECT * FROM {FIELDED_SQL} WHERE doc_id % 7 <> 0)')} ORDER BY score DESC, doc_id LIMIT 10")
+def maintained_search(spark, sf):
+    """The same of an index kept up to date: built of two thirds of the rows, the rest inserted, every seventh deleted."""
+    path = f"{sf}/documents.parquet"
+    folder = f"{shared_dir(spark)}/maintained-{hashlib.sha256(P.state_of(spark, path).encode()).hexdigest()[:24]}"
+    index = fielded.FieldedIndex(spark, folder)
+    if not P.exists(spark, f"{folder}/totals/seq=2-out/_SUCCESS"):
+        d = fields(table(spark, sf, "documents"))
+        index = fielded.FieldedIndex.build(d.filter("doc_id % 3 <> 0"), folder, "doc_id", ["title", "body"])
+        index.insert(d.filter("doc_id % 3 = 0"), "doc_id")
+        index.delete(d.filter("doc_id % 7 = 0"), "doc_id")
+    return _rounded(R.top(index.search(TERMS, {"title": BOOST}).withColumnRenamed("id", "doc_id"), 10), "score")
+
+
+@query()
+def highlighted_search(spark, sf):
+    """The ten best with what surrounds their first hit; only these rows' texts are read again."""
+    best = F.broadcast(fielded_search(spark, sf))
+    return table(spark, sf, "documents").join(best, "doc_id").select("doc_id", "score", fielded.highlighted(F.col("text"), TERMS).alias("snippet"))
