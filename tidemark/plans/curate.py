@@ -28,8 +28,8 @@ def splitmix(seed: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def reservoir(rows: DataFrame, position: str, seed: int = SEED, capacity: int = CAPACITY) -> DataFrame:
-    """Algorithm R in one aggregation: the owner of a slot is the last position that drew it."""
+def drawn_slots(rows: DataFrame, position: str, seed: int = SEED, capacity: int = CAPACITY) -> DataFrame:
+    """(slot, position) of the positions that draw a slot."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,7 +40,12 @@ def reservoir(rows: DataFrame, position: str, seed: int = SEED, capacity: int =
             keep = pa.array(slot < capacity)
             yield pa.RecordBatch.from_arrays([pa.array(slot).filter(keep), b.column(0).filter(keep)], names=["slot", "position"])
 
-    return rows.select(F.col(position).cast("long")).mapInArrow(slots, "slot long, position long").groupBy("slot").agg(F.max("position").alias("position"))
+    return rows.select(F.col(position).cast("long")).mapInArrow(slots, "slot long, position long")
+
+
+def reservoir(rows: DataFrame, position: str, seed: int = SEED, capacity: int = CAPACITY) -> DataFrame:
+    """Algorithm R in one aggregation: the owner of a slot is the last position that drew it."""
+    return drawn_slots(rows, position, seed, capacity).groupBy("slot").agg(F.max("position").alias("position"))
 
 
 @query()

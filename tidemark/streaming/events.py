@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.postings import exists
 from tidemark.session import shared_dir
+from tidemark.streaming.stateful import PROVIDER, ROCKS
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -> DataFrame:
@@ -20,21 +22,26 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Runs a streaming query over all that is there and returns what it wrote.
 
-    A batch has a folder of its own, which a batch that is tried again replaces; in complete mode all share one.
+    A batch has a folder of its own, which a batch that is tried again replaces; in complete mode all share one. With a
+    folder that an earlier run of the same query was given, it goes on from that run's checkpoint and returns both's.
     """
     spark = stream.sparkSession
-    folder, written = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", set()
+    folder = folder or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
-        written.add(f"{folder}/out/{0 if mode == 'complete' else number}")
         batch.write.mode("overwrite").parquet(f"{folder}/out/{0 if mode == 'complete' else number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(*sorted(written)) if written else spark.createDataFrame([], stream.schema)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # state of any size, and timers
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/*") if exists(spark, f"{folder}/out") else spark.createDataFrame([], stream.schema)
 
 
 def tumbling(stream: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
