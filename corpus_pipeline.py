@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dup, packing, pii, quality
@@ -20,22 +20,36 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def _unused(docs: DataFrame, turn: Column) -> Column:
+    """An id that no row of docs has, for each turn: beyond the largest, below the least, or in a span without ids."""
+    low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+    if high < 1 << 62:
+        return F.lit(high + 1) + turn
+    if low > -(1 << 62):
+        return F.lit(low - 1) - turn
+    # Ids reach both ends: a span of 2^50 that none lies in (turns of up to 2^17 tasks fit into one).
+    used = docs.select(F.shiftright(F.col("doc_id").cast("long"), 50).alias("s")).distinct()
+    free = docs.sparkSession.range(-(1 << 13), 1 << 13).join(used, F.col("id") == F.col("s"), "left_anti").agg(F.min("id")).first()[0]
+    if free is None:
+        raise ValueError("ids leave no span free")
+    return F.lit(free << 50) + turn
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies; rows without an id stay, and so do null and empty texts.
 
-    Rows that repeat an id are documents of their own: the first by text keeps the id here, the others get new ones.
+    Rows that repeat an id are documents of their own: the first by the text's checksum keeps the id here, the others get new ones.
     Columns stay whatever their names; no rows give no rows.
     """
-    key, turn, count = fresh([*docs.columns, "component_id", "n_shingles", "kept"], "key", "turn", "count")
+    key, turn, count, first = fresh([*docs.columns, "component_id", "n_shingles", "kept"], "key", "turn", "count", "first")
     named, own = docs.filter("doc_id is not null"), F.col("doc_id").cast("long")
     twice = settled(named.groupBy("doc_id").agg(F.count("*").alias(count)).filter(F.col(count) > 1).select("doc_id"))
     alone = named.withColumn(key, own)
     if twice.head(1):
-        most = named.agg(F.max(own)).first()[0]
-        fresh_ids = F.lit(most + 1) + F.monotonically_increasing_id() if most < 1 << 62 else F.xxhash64("doc_id", turn)
-        ids = Window.partitionBy("doc_id").orderBy("text")
-        again = named.join(twice, "doc_id", "left_semi").withColumn(turn, F.row_number().over(ids))
-        again = settled(again.withColumn(key, F.when(F.col(turn) == 1, own).otherwise(fresh_ids)).select(*docs.columns, key))
+        again = settled(named.join(twice, "doc_id", "left_semi").withColumn(turn, F.monotonically_increasing_id()))
+        # Copies of an id are told apart by their turns, so no task gathers an id's rows.
+        least = again.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), turn)).alias(first)).select(F.col(f"{first}.{turn}"), F.lit(True).alias(first))
+        again = settled(again.join(least, turn, "left").withColumn(key, F.when(F.col(first), own).otherwise(_unused(named, F.col(turn)))).select(*docs.columns, key))
         alone = alone.join(twice, "doc_id", "left_anti").select(*docs.columns, key).union(again)
     groups = near_dup.near_duplicates(alone.select(F.col(key).alias("doc_id"), "text"), WORDS)
     stay = groups.filter("kept").select(F.col("doc_id").alias(key))

@@ -794,3 +794,21 @@ def test_arrow_pieces_survive_slices():
     for part in (a, a.slice(1), a.slice(2, 1)):
         offsets, index, words = split_words(part)
         assert [[words[int(k)].as_py() for k in index[s:e]] for s, e in zip(offsets[:-1], offsets[1:], strict=True)] == [(t or "").split() for t in part.to_pylist()]
+
+
+def test_new_ids_of_repeated_rows(spark):
+    for low, high in ((0, 9), (0, 2**63 - 1), (-(2**63), 2**63 - 1)):
+        rows = [(low, "a b c d e f"), (high, "g h i j k l"), (5, "m n o p q r"), (5, "s t u v w x"), (5, "y z a1 b1 c1 d1"), (5, None)]
+        ids = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+        assert sorted((r["doc_id"], r["text"] or "") for r in ids.collect()) == sorted((d, t or "") for d, t in rows)
+
+
+def test_quality_sample_is_bounded_in_features(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}{i}" for i in range(300))) for k in range(40)], "doc_id long, text string")
+    assert quality.fit(docs, entries=10_000)[1].weights.shape == quality.fit(docs)[1].weights.shape
+    assert np.abs(quality.fit(docs, entries=0)[1].weights[:-1]).sum() == 0
+
+
+def test_whole_words_make_features():
+    a, b = quality.word_features(["x" * 50 + "1A", "x" * 50])
+    assert a[0] != b[0] and quality.word_features(["a-b-c-d-e-f-g1"])[0][0] != quality.word_features(["a-b-c-d-e-f-gX"])[0][0]

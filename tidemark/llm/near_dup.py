@@ -204,7 +204,7 @@ def neighbours(entries: DataFrame, again: bool = False) -> DataFrame:
 
 def chosen(near: DataFrame, *keys: Column) -> DataFrame:
     """Of the pairs with equal keys (a, b, la, lb) the one that agrees most."""
-    best = F.max_by(F.struct("a", "b", "la", "lb"), F.struct("agree", -F.col("b"), -F.col("a"))).alias("p")
+    best = F.max_by(F.struct("a", "b", "la", "lb"), F.struct("agree", F.bitwise_not("b"), F.bitwise_not("a"))).alias("p")
     return near.filter(F.col("kind") == PAIR).groupBy(*keys).agg(best).select("p.*")
 
 
@@ -401,7 +401,7 @@ def meeting(entries: DataFrame, texts_of: Callable[[DataFrame], DataFrame], word
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     heads = entries.select("node", "signature", "label", "n_shingles").mapInArrow(_heads, "order int, head long, node long, label long, n_shingles long")
     by_label = heads.groupBy("order", "head", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    whole = by_label.groupBy("order", "head").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by(F.struct("label", "n", "s"), F.struct("n", -F.col("label"))).alias("most"))
+    whole = by_label.groupBy("order", "head").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max_by(F.struct("label", "n", "s"), F.struct("n", F.bitwise_not("label"))).alias("most"))
     parts = lambda n, s: F.ceil(F.greatest(n / CELL, s / CELL_SHINGLES)).cast("int")
     mixed = whole.filter(F.col("n") > F.col("most.n")).select("order", "head", F.col("most.label").alias("most"), parts(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("outside"), parts(F.col("most.n"), F.col("most.s")).alias("inside"))
     members = heads.select("order", "head", "node", "label").join(mixed, ["order", "head"])

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.names import fresh
 from tidemark.llm.words import slices, split_words
-from tidemark.session import table
+from tidemark.session import settled, table
 
 JUNK, CLEAN, NEITHER = 0, 1, 2
 #: (name, statistic, junk from, clean below): lower limits and upper ones are turned where the first is less than the second.
@@ -40,6 +40,8 @@ LABELLERS = (
 ENOUGH = 12
 #: Documents that the scorer is trained on, about, whatever the size of the corpus.
 SAMPLE = 12_000
+#: Features of all rows of the sample together, at most.
+ENTRIES = 16_000_000
 BUCKETS = 1 << 16
 ROUNDS = 60
 #: What is believed of a labeller's calls on junk and on clean documents before any is seen, and for how many documents this counts.
@@ -154,7 +156,7 @@ def _shape(word: str) -> str:
         k = "x" if c.islower() else "X" if c.isupper() else "0" if c.isdigit() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
 
 
 _features: dict[str, int] = {}
@@ -168,7 +170,7 @@ def word_features(words: list[str]) -> np.ndarray:
         _features.clear()
     for w in words:
         if w not in _features:
-            _features[w] = (xxhash.xxh3_64_intdigest("s" + _shape(w[:40])) % BUCKETS) << 16 | xxhash.xxh3_64_intdigest("e" + w[-2:]) % BUCKETS
+            _features[w] = (xxhash.xxh3_64_intdigest("s" + _shape(w)) % BUCKETS) << 16 | xxhash.xxh3_64_intdigest("e" + w[-2:]) % BUCKETS
     both = np.fromiter(map(_features.__getitem__, words), dtype=np.int64, count=len(words))
     return np.stack([both >> 16, both & 0xFFFF], axis=1)
 
@@ -216,11 +218,12 @@ def sample_bound(total: int, sample: int) -> int:
     return min(2**63 - 1, 2**64 * sample // max(total, 1) - 2**63)
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
+def fit(docs: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> tuple[LabelModel, Scorer]:
     """The label model from all rows of `docs` (doc_id, text), and the scorer from about `sample` of them.
 
     The scorer's rows are drawn by a 64-bit hash of id and text, each distinct (id, text) once, so that the sample is
-    bounded whatever repeats and however many rows there are. Null ids and texts are drawn like others, a null or empty
+    bounded whatever repeats and however many rows there are; of these rows, those of the least hashes are taken as long
+    as they have at most `entries` features in all, six bytes each, so that long texts don't fill the driver. Null ids and texts are drawn like others, a null or empty
     text having no words; texts of any length count whole; other columns are ignored. Of no rows comes a scorer that
     keeps everything.
     """
@@ -245,10 +248,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:
                 found, n = np.unique(features[index[s:e]], return_counts=True)
                 at.append(found.astype("<u2").tobytes())
                 shares.append((n / max(e - s, 1)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.binary()), pa.array(shares, type=pa.binary()), pa.array(stats["echoes"]), pa.array(label)], names=["at", "shares", "echoes", "label"])
-
-    drawn = docs.select("doc_id", "text").filter(F.xxhash64("doc_id", "text", F.lit(1)) <= sample_bound(total, sample)).dropDuplicates().select("text")
-    rows = drawn.mapInArrow(vectors, "at binary, shares binary, echoes double, label double").collect()
+            yield pa.RecordBatch.from_arrays([pa.array(at, type=pa.binary()), pa.array(shares, type=pa.binary()), pa.array(stats["echoes"]), pa.array(label), batch.column("place")], names=["at", "shares", "echoes", "label", "place"])
+
+    place = F.xxhash64("doc_id", "text", F.lit(1))
+    drawn = docs.select("doc_id", "text").filter(place <= sample_bound(total, sample)).dropDuplicates().select("text", place.alias("place"))
+    made = settled(drawn.mapInArrow(vectors, "at binary, shares binary, echoes double, label double, place long"))
+    sizes = sorted(tuple(r) for r in made.select("place", F.octet_length("at")).collect())
+    fits = np.cumsum([size // 2 for _, size in sizes]) <= entries
+    last = sizes[int(fits.sum()) - 1][0] if fits.any() else -(2**63)
+    rows = made.filter(F.col("place") <= last).drop("place").collect()
     return model, fit_scorer([tuple(r) for r in rows])
 
 

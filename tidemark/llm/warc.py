@@ -229,10 +229,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     shared = F.length("payload") >= LEAST_SHARED
     first = rows.filter(shared).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("response"))
-    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "digest").cast("string"))
-    joined = rows.withColumn("of", F.when(shared, F.col("digest")).otherwise(alone)).join(first, "of", "left")
-    revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"))
+    # A digest that very many pages have gathers their ids alone; payloads go by page.
+    named = rows.filter(shared).select(F.col("page_id").alias("own"), F.col("digest").alias("of")).distinct().join(first, "of")
+    again = named.filter(F.col("response").isNotNull() & ~F.col("own").eqNullSafe(F.col("response")))
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("digest") == F.col("of")), "left")
+    return joined.select("page_id", "url", "payload", "digest", F.col("response").alias("refers_to"), F.col("response").isNotNull().alias("revisit"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
