@@ -39,3 +39,35 @@ def co_occurrence(mentions: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform("e", lambda x, i: F.transform(F.slice(F.col("e"), i + 2, F.size("e")), lambda y: F.struct(x["entity"].alias("a"), y["entity"].alias("b"), ((x["confidence"] + y["confidence"]) / 2).alias("s")))))
     rows = sets.select(F.explode(pairs).alias("p")).select("p.*").filter("a <> b")
     return rows.groupBy("a", "b").agg(F.count("*").alias("chunks"), F.round(F.avg("s"), 6).alias("strength"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of every node of links (a, b); a component has the name of its least node.
+
+    Each round a node takes the least label among its own and its neighbours', and then that label's own label, so
+    labels travel twice as far each time. Sums are combined before the shuffle, so a node of very many links is no
+    task's alone; each round is written. Links to oneself, repeated and one-sided ones do no harm; null ends are left out.
+    """
+    real = links.filter("a is not null and b is not null").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    both = settled(real.union(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("least"))
+        lower = labels.join(near, "node").select("node", "label", F.least("label", "least").alias("now"))
+        own = labels.select(F.col("node").alias("now"), F.col("label").alias("further"))
+        moved = settled(lower.join(own, "now").select("node", F.least("now", "further").alias("label"), (F.least("now", "further") < F.col("label")).alias("moved")))
+        labels = moved.select("node", "label")
+        if not moved.filter("moved").head(1):
+            return labels.select("node", F.col("label").alias("component"))
+
+
+def canonical(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, canonical) of nodes (node): the least of those that links (a, b) merge it with, or itself."""
+    return nodes.select("node").distinct().join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("canonical"))
+
+
+def merged_edges(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, type, n, confidence) of edges between canonical nodes: what merging makes equal is one edge with its number and best confidence; none to oneself."""
+    left, right = names.select(F.col("node").alias("src"), F.col("canonical").alias("s")), names.select(F.col("node").alias("dst"), F.col("canonical").alias("d"))
+    moved = edges.join(left, "src").join(right, "dst").filter("s <> d")
+    return moved.groupBy(F.col("s").alias("src"), F.col("d").alias("dst"), "type").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))

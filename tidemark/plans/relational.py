@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ring
 from tidemark.operators.replay import replayed
 from tidemark.registry import Registry
 from tidemark.session import table
@@ -265,6 +266,19 @@ def consistent_ring(spark, sf):
     return d.select("doc_id", F.coalesce(F.try_element_at(after, F.lit(1)), F.element_at("ring", 1))["shard"].alias("shard"))
 
 
+SHARDS = {"a": 1.0, "b": 1.0, "c": 2.0, "d": 1.0}
+RING_SQL = f"""(SELECT h, min(shard) AS shard FROM (SELECT shard, ('0x' || substr(md5(shard || '#' || i), 1, 8))::BIGINT AS h FROM (SELECT unnest(['a', 'b', 'c', 'd']) AS shard, unnest([150, 150, 300, 150]) AS n), range(300) t(i) WHERE i < n) GROUP BY h)"""
+
+
+@query(f"""WITH r AS MATERIALIZED {RING_SQL}, o AS (SELECT x.h, x.shard, y.shard AS other, min((y.h - x.h + 4294967296) % 4294967296) AS away FROM r x JOIN r y ON y.shard <> x.shard GROUP BY 1, 2, 3),
+p AS (SELECT h, shard, list(other ORDER BY away)[1:2] AS replicas FROM o GROUP BY h, shard),
+d AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS k FROM documents), m AS (SELECT doc_id, coalesce((SELECT min(h) FROM r WHERE h >= k), (SELECT min(h) FROM r)) AS h FROM d)
+SELECT doc_id, shard, replicas FROM m JOIN p USING (h)""")
+def ring_replicas(spark, sf):
+    """Each document's shard on a weighted ring, and the two others that hold its copies."""
+    return ring.placed(table(spark, sf, "documents").select("doc_id"), "doc_id", ring.ring(spark, SHARDS)).select("doc_id", "shard", "replicas")
+
+
 class Bucket:
     """Tokens that refill with time; a request takes one or is told how long to wait."""
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.plans.curate import PAIRS_SQL, examples
+from tidemark.operators import filters
 from tidemark.operators.replay import replayed
+from tidemark.plans.curate import PAIRS_SQL, examples
 from tidemark.registry import Registry
 from tidemark.session import table
 from tidemark.sources import sinks as S
@@ -95,6 +96,36 @@ def bloom_membership(spark, sf):
     return hits.filter(F.col("n") == HASHES).select("c_custkey")
 
 
+CELLS, CELL_HASHES = filters.sizes(2_000, 0.01)
+
+
+def _cells_sql(key: str) -> str:
+    part = lambda start: f"('0x' || substr(md5({key}::VARCHAR), {start}, 12))::BIGINT"
+    return f"list_distinct(list_transform(range({CELL_HASHES}), lambda i: ({part(1)} + i * ({part(13)} + 1)) % {CELLS}))"
+
+
+def parts_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter of the parts of all lines but those of suppliers divisible by five, made of two halves that are united and then taken from."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
+    parts = lambda where: filters.counted(lines.filter(where).select("l_partkey").distinct(), "l_partkey", CELLS, CELL_HASHES)
+    both = filters.united(parts("l_partkey % 2 = 0"), parts("l_partkey % 2 = 1"))
+    gone = lines.filter("l_suppkey % 5 = 0").select("l_partkey").distinct().join(lines.filter("l_suppkey % 5 <> 0").select("l_partkey").distinct(), "l_partkey", "left_anti")
+    return filters.taken(both, filters.counted(gone, "l_partkey", CELLS, CELL_HASHES))
+
+
+@query(f"SELECT cell, count(*)::INT AS n FROM (SELECT unnest({_cells_sql('l_partkey')}) AS cell FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 5 <> 0)) GROUP BY cell")
+def counting_filter(spark, sf):
+    """Cells after union and removal are those of the keys that remain."""
+    return parts_filter(spark, sf)
+
+
+@query(f"""WITH f AS (SELECT DISTINCT unnest({_cells_sql('l_partkey')}) AS cell FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 5 <> 0))
+SELECT p_partkey, len(c) = (SELECT count(*) FROM f WHERE list_contains(c, cell)) AS maybe FROM (SELECT p_partkey, {_cells_sql('p_partkey')} AS c FROM part)""")
+def filter_membership(spark, sf):
+    """Which parts may be in the filter."""
+    return filters.probed(table(spark, sf, "part"), "p_partkey", parts_filter(spark, sf), CELLS, CELL_HASHES)
+
+
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1")
 def counting_membership(spark, sf):
     """Exact counts, where the sketch only bounds them."""
