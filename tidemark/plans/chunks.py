@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from tidemark.operators import chunking as C
 from tidemark.operators.assembly import assembled
 from tidemark.operators.layout import with_columns
 from tidemark.registry import Registry
-from tidemark.session import spread, table
+from tidemark.session import shared_dir, spread, table
 from tidemark.sources import documents as S
+from tidemark.sources import office, officewriter
 
 query = Registry()
 
@@ -319,3 +321,27 @@ def paged_text(spark, sf):
     """Pages between separators, numbered from 1, empty ones left out."""
     parts = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("n", "text"))
     return parts.filter(F.length(F.regexp_replace("text", "^[ \n]+|[ \n]+$", "")) > 0).select("doc_id", (F.col("n") + 1).alias("page"), "text")
+
+
+KINDS = (*officewriter.FORMATS, "broken")
+#: A line keeps its letters, digits, marks and single blanks, so that each format holds it as it is.
+ODD = r"[^\p{L}\p{N}\p{P}\p{S} ]+"
+LINES_OF = rf"list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(regexp_replace(regexp_replace(t, '{ODD}', ' ', 'g'), ' +', ' ', 'g'))), lambda t: t <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % {len(KINDS)} AS k, 'Document ' || doc_id AS title, {LINES_OF} AS l FROM documents), j AS (SELECT *, array_to_string(l, chr(10)) AS body FROM d)
+SELECT doc_id, block_idx, block_type, level, text, false AS failed FROM (
+SELECT doc_id, 0 AS block_idx, 'heading' AS block_type, 1 AS level, title AS text FROM j WHERE k <= 2 UNION ALL SELECT doc_id, i, 'text', NULL, l[i] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM j WHERE k <= 1)
+UNION ALL SELECT doc_id, 1, 'text', NULL, body FROM j WHERE k = 2 AND len(l) > 0 UNION ALL SELECT doc_id, 0, 'table', NULL, '[Sheet: Head]' || chr(10) || title FROM j WHERE k = 3
+UNION ALL SELECT doc_id, 1, 'table', NULL, '[Sheet: Body]' || chr(10) || array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || chr(9) || i), chr(10)) FROM j WHERE k = 3 AND len(l) > 0
+UNION ALL SELECT doc_id, 0, 'text', NULL, array_to_string(list_prepend(title, l), ' ') FROM j WHERE k = 4 UNION ALL SELECT doc_id, 0, 'code', NULL, array_to_string(list_prepend('# ' || title, l), chr(10)) FROM j WHERE k = 5
+UNION ALL SELECT doc_id, 0, 'text', NULL, array_to_string(list_prepend(title, l), chr(10)) FROM j WHERE k = 6) UNION ALL SELECT doc_id, 0, NULL, NULL, NULL, true FROM j WHERE k = 7""")
+def office_documents(spark, sf):
+    """Blocks of the documents, each written as a file of one of eight kinds (one of them damaged) and read back by the source."""
+    folder = f"{shared_dir(spark)}/office-{uuid.uuid4().hex}"
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, ODD, " "), " +", " "))
+    lines = F.filter(F.transform(F.split("text", "\n"), clean), lambda t: t != "")
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    officewriter.write_files(spread(_docs(spark, sf)).select(F.col("doc_id").cast("string").alias("name"), kind.alias("kind"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), lines.alias("lines")), folder)
+    blocks = office.read_documents(spark, folder, 1 << 20)
+    return blocks.select(F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long").alias("doc_id"), "block_idx", "block_type", "level", "text", F.col("error").isNotNull().alias("failed"))

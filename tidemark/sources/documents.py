@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -184,21 +186,54 @@ def office_blocks(content: bytes) -> Iterator[tuple]:
                     yield ("heading" if m else "text"), (int(m[1]) if m and m[1] else 1 if m and m[2] else 2 if m else None), None, None, None, body
         elif any(n.startswith("ppt/slides/slide") for n in names):
             for n in sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0])):
-                for p in ElementTree.fromstring(z.read(n)).iter():
-                    if p.tag.endswith("}p") and (body := _texts(p, "t").strip()):
-                        yield "text", None, None, None, None, body
+                yield from _slide(ElementTree.fromstring(z.read(n)))
         elif "xl/workbook.xml" in names:
-            shared = [_texts(s, "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-            for n in sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)):
-                rows = []
-                for row in (r for r in ElementTree.fromstring(z.read(n)).iter() if r.tag.endswith("}row")):
-                    cells = [shared[int(_texts(c, "v"))] if c.get("t") == "s" else _texts(c, "v") or _texts(c, "t") for c in row]
-                    if any(c.strip() for c in cells):
-                        rows.append("\t".join(cells))
-                if rows:
-                    yield "table", None, None, len(rows), rows[0].count("\t") + 1, "\n".join(rows)
+            yield from _sheets(z, names)
         elif "content.xml" in names:
-            yield "text", None, None, None, None, " ".join("".join(ElementTree.fromstring(z.read("content.xml")).itertext()).split())
+            yield "text", None, None, None, None, " ".join(" ".join(ElementTree.fromstring(z.read("content.xml")).itertext()).split())
         else:
-            for n in (n for n in names if n.endswith((".xhtml", ".html"))):
+            for n in _chapters(z, names):
                 yield from html_blocks(z.read(n).decode("utf-8", "replace"))
+
+
+def _all(node: ElementTree.Element, tag: str) -> list[ElementTree.Element]:
+    return [n for n in node.iter() if n.tag.rpartition("}")[2] == tag]
+
+
+def _slide(slide: ElementTree.Element) -> Iterator[tuple]:
+    """A block for each shape with text: titles are headings, paragraphs of a shape its lines."""
+    for shape in _all(slide, "sp"):
+        lines = ["".join("\n" if n.tag.endswith("}br") else n.text or "" for n in p.iter() if n.tag.endswith(("}t", "}br"))) for p in _all(shape, "p")]
+        if body := "\n".join(lines).strip():
+            title = any(n.get("type") in ("title", "ctrTitle", "subTitle") for n in _all(shape, "ph"))
+            yield ("heading", 1, None, None, None, body) if title else ("text", None, None, None, None, body)
+
+
+def _sheets(z: zipfile.ZipFile, names: list[str]) -> Iterator[tuple]:
+    """A table for each sheet with cells, in the workbook's order; where there are several, each under a line with its name."""
+    shared = [_texts(s, "t") for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+    files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+    titles = [s.get("name", "") for s in _all(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet")]
+    for k, n in enumerate(files):
+        rows = []
+        for row in _all(ElementTree.fromstring(z.read(n)), "row"):
+            cells = [shared[int(_texts(c, "v"))] if c.get("t") == "s" else _texts(c, "v") or _texts(c, "t") for c in row]
+            if any(c.strip() for c in cells):
+                rows.append("\t".join(cells))
+        if rows:
+            name = [f"[Sheet: {titles[k] if k < len(titles) else n}]"] if len(files) > 1 else []
+            yield "table", None, None, len(rows), rows[0].count("\t") + 1, "\n".join([*name, *rows])
+
+
+def _chapters(z: zipfile.ZipFile, names: list[str]) -> list[str]:
+    """A book's pages in the order of its spine; in that of the archive where it has none."""
+    pages = [n for n in names if n.endswith((".xhtml", ".html", ".htm"))]
+    if "META-INF/container.xml" not in names:
+        return pages
+    root = next((n.get("full-path") for n in _all(ElementTree.fromstring(z.read("META-INF/container.xml")), "rootfile")), None)
+    if root not in names:
+        return pages
+    package, base = ElementTree.fromstring(z.read(root)), root.rpartition("/")[0]
+    places = {i.get("id"): posixpath.normpath(posixpath.join(base, unquote(i.get("href", "")))) for i in _all(package, "item")}
+    spine = [places[i.get("idref")] for i in _all(package, "itemref") if places.get(i.get("idref")) in names]
+    return spine or pages
