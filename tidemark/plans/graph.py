@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import graph as G
-from tidemark.plans.text import GAZETTEER
 from tidemark.operators.blocks import top_per_query
+from tidemark.operators.ordered import following
+from tidemark.plans.text import GAZETTEER
 from tidemark.registry import Registry
 from tidemark.session import settled, spread, table
 
@@ -110,8 +111,8 @@ def graph_search(spark, sf):
     e = F.col("entity")
     seeds = mentions(spark, sf).filter(F.contains(e, F.lit("apache")) | F.contains(F.lit("apache"), e)).select("id").distinct()
     d = table(spark, sf, "documents").select("doc_id", "source", (F.length("text") > 0).alias("real"))
-    following = d.select(F.col("doc_id").alias("id"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next"))
-    hop = following.join(seeds, "id", "left_semi").filter("next is not null").select(F.col("next").alias("id"), F.lit(1).alias("pri"))
+    edges_ = following(d.select("source", F.col("doc_id").alias("id")), "source", "id")
+    hop = edges_.join(seeds, "id", "left_semi").filter("next is not null").select(F.col("next").alias("id"), F.lit(1).alias("pri"))
     both = seeds.withColumn("pri", F.lit(0)).union(hop).groupBy("id").agg(F.min("pri").alias("pri"))
     return both.join(d.filter("real").select(F.col("doc_id").alias("id")), "id", "left_semi").orderBy("pri", "id").limit(50)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.replay import replayed
+from tidemark.operators.ordered import at_ranks, running
 from tidemark.registry import Registry
 from tidemark.session import table
 
@@ -111,11 +112,15 @@ def operation_summary(spark, sf):
 @query(f"""SELECT user_id, count(*) AS n, round(count(*) / 86400, 9) AS rps, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(100 * avg((event_type = 'error')::INT), 6) AS error_percent, round(100 * avg((event_type = 'view')::INT), 6) AS ok_percent
 FROM {E_SQL} WHERE us > epoch_us(TIMESTAMP '2024-01-15 12:00:00') - 86400000000 AND us <= epoch_us(TIMESTAMP '2024-01-15 12:00:00') GROUP BY user_id""")
 def request_snapshot(spark, sf):
-    """Requests of the day that ends at a given moment: a second's, latencies and shares. A user's requests of one window are few."""
+    """Requests of the day that ends at a given moment: a second's, latencies (between the two nearest) and shares."""
     at = F.unix_micros(F.lit("2024-01-15 12:00:00").cast("timestamp"))
     e = _events(spark, sf).filter((F.col("us") > at - 86_400_000_000) & (F.col("us") <= at))
     percent = lambda kind: F.round(100 * F.avg((F.col("event_type") == kind).cast("int")), 6)
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.count("*") / 86400, 9).alias("rps"), *[F.round(F.percentile("value", p), 6).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)], percent("error").alias("error_percent"), percent("view").alias("ok_percent"))
+    counts = e.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.count("*") / 86400, 9).alias("rps"), percent("error").alias("error_percent"), percent("view").alias("ok_percent"))
+    between = {f"{side}{p}": rule((F.col("n") - 1) * p / 100) for p in (50, 95, 99) for side, rule in (("lo", F.floor), ("hi", F.ceil))}
+    part = lambda p: (F.col("values") - 1) * p / 100 - F.floor((F.col("values") - 1) * p / 100)
+    shares = at_ranks(e, ["user_id"], "value", between).withColumnRenamed("n", "values").select(F.col("user_id").alias("user"), *[F.round(F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * part(p), 6).alias(f"p{p}") for p in (50, 95, 99)])
+    return counts.join(shares, F.col("user_id").eqNullSafe(F.col("user")), "left").drop("user")
 
 
 BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
@@ -211,8 +216,10 @@ def sliding_rates(spark, sf):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + 1e-9, 6) AS running FROM events")
 def running_mean(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf, "events").select("event_id", F.round(F.avg("value").over(w) + 1e-9, 6).alias("running"))
+    """By hours: an hour begins with what the hours before it add up to."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    summed = running(table(spark, sf, "events").select("event_id", "event_type", "ts", "value"), "event_type", hour, ["ts", "event_id"], "value")
+    return summed.select("event_id", F.round(F.col("run_sum") / F.col("run_count") + 1e-9, 6).alias("running"))
 
 
 @query("SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50")
@@ -368,3 +375,36 @@ def replay_alerts(group: pd.DataFrame) -> pd.DataFrame:
     alerts = Alerts(group["user_id"].iloc[0])
     rows = [r for row in group.sort_values(["us", "event_id"]).itertuples(index=False) for r in alerts.take(row)]
     return pd.DataFrame(rows, columns=["user_id", "us", "kind", "severity"])
+
+
+def _at(rule: str) -> str:
+    return f"list_sort(list(value))[({rule})::BIGINT + 1]"
+
+
+@query(f"""SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, sum(value)::BIGINT // count(*) AS int_mean, {', '.join(f"{_at(f'floor((count(*) - 1) * {p} / 100)')} AS p{p}" for p in (50, 95, 99))} FROM events GROUP BY event_type""")
+def operation_percentiles(spark, sf):
+    """Latencies of each operation: those at the places floor(p (n - 1))."""
+    e = table(spark, sf, "events")
+    counts = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.expr("cast(round(sum(value)) as bigint) div count(*)").alias("int_mean"))
+    return at_ranks(e, ["event_type"], "value", {f"p{p}": F.floor((F.col("n") - 1) * p / 100) for p in (50, 95, 99)}).join(counts, "event_type")
+
+
+@query(f"""SELECT user_id, event_type, count(*) AS n, round(avg(ok::INT), 6) AS success_rate, round(avg(value), 6) AS mean, {', '.join(f"{_at(f'least(count(*) * {p} // 100, count(*) - 1)')} AS p{p}" for p in (50, 95, 99))}
+FROM {E_SQL} WHERE us > epoch_us(TIMESTAMP '2024-01-15 12:00:00') - 604800000000 AND us <= epoch_us(TIMESTAMP '2024-01-15 12:00:00') GROUP BY user_id, event_type""")
+def tool_trend(spark, sf):
+    """Each user's calls of each tool in the week that ends at a given moment: successes and latencies."""
+    at = F.unix_micros(F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    e = _events(spark, sf).filter((F.col("us") > at - 604_800_000_000) & (F.col("us") <= at))
+    means = e.groupBy("user_id", "event_type").agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("success_rate"), F.round(F.avg("value"), 6).alias("mean"))
+    return at_ranks(e, ["user_id", "event_type"], "value", {f"p{p}": F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1) for p in (50, 95, 99)}).join(means, ["user_id", "event_type"])
+
+
+@query(f"""WITH w AS (SELECT event_type, epoch_us(ts) // 21600000000 AS w, {_at('floor((count(*) - 1) * 99 / 100)')} > 30 AS bad FROM events GROUP BY 1, 2),
+g AS (SELECT *, w - row_number() OVER (PARTITION BY event_type ORDER BY w) AS island FROM w WHERE bad)
+SELECT event_type, min(w) AS first_window, count(*) AS windows FROM g GROUP BY event_type, island HAVING count(*) >= 2""")
+def sustained_p99(spark, sf):
+    """Windows of six hours in a row, two at least, in which a tool's 99th percentile is above a threshold."""
+    e = _events(spark, sf).withColumn("w", F.floor(F.col("us") / 21_600_000_000))
+    windows = at_ranks(e, ["event_type", "w"], "value", {"p99": F.floor((F.col("n") - 1) * 99 / 100)}).filter("p99 > 30")
+    g = windows.withColumn("island", F.col("w") - F.row_number().over(Window.partitionBy("event_type").orderBy("w")))
+    return g.groupBy("event_type", "island").agg(F.min("w").alias("first_window"), F.count("*").alias("windows")).filter("windows >= 2").drop("island")

@@ -256,14 +256,9 @@ def storage_tiers(spark, sf):
 
 @query()
 def consistent_ring(spark, sf):
-    """Each document's shard: the next of 150 places a shard on a ring of hashes, found by its position among a fixed array of places."""
-    shards, places = 4, 150
-    ring = spark.range(shards * places).select(F.pmod(F.xxhash64("id"), F.lit(1 << 32)).alias("h"), (F.col("id") % shards).cast("int").alias("shard"))
-    points = ring.agg(F.sort_array(F.collect_list(F.struct("h", "shard"))).alias("ring"))
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    d = table(spark, sf, "documents").select("doc_id", key.alias("k")).crossJoin(F.broadcast(points))
-    after = F.filter("ring", lambda p: p["h"] >= F.col("k"))
-    return d.select("doc_id", F.coalesce(F.try_element_at(after, F.lit(1)), F.element_at("ring", 1))["shard"].alias("shard"))
+    """Each document's shard: the next of 150 places a shard on a ring of hashes."""
+    own = ring.ring(spark, {str(i): 1.0 for i in range(4)}, replicas=0)
+    return ring.placed(table(spark, sf, "documents").select("doc_id"), "doc_id", own).select("doc_id", F.col("shard").cast("int").alias("shard"))
 
 
 SHARDS = {"a": 1.0, "b": 1.0, "c": 2.0, "d": 1.0}

@@ -16,7 +16,7 @@ from tidemark.operators import postings as P
 from tidemark.operators import ranking as R
 from tidemark.operators.blocks import top_per_query
 from tidemark.registry import Registry
-from tidemark.session import shared_dir, spread, table
+from tidemark.session import settled, shared_dir, spread, table
 
 query = Registry()
 TERMS = ["thing", "anea", "stupid"]
@@ -309,6 +309,20 @@ def semantic_cache(spark, sf):
     return near.groupBy(F.col("vec_id").alias("query_id")).agg(F.max_by("cached_id", F.struct("s", -F.col("cached_id"))).alias("hit"))
 
 
+@query(f"""WITH c AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 <> 0 ORDER BY vec_id DESC LIMIT 1000),
+s AS (SELECT q.vec_id AS query_id, arg_max(e.vec_id, struct_pack(s := {COS}, i := -e.vec_id)) AS near, max({COS}) AS s, min(CASE WHEN e.embedding = q.embedding THEN e.vec_id END) AS same FROM embeddings q, c e WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id)
+SELECT query_id, coalesce(same, CASE WHEN s >= 0.92 THEN near END) AS hit, CASE WHEN same IS NOT NULL THEN 'exact' WHEN s >= 0.92 THEN 'semantic' ELSE 'miss' END AS tier FROM s""")
+def cache_tiers(spark, sf):
+    """Queries against a cache of the thousand newest entries (its capacity): an equal one first, else the most similar above 0.92, else a miss."""
+    e = table(spark, sf, "embeddings")
+    cached = settled(e.filter("vec_id % 20 <> 0").orderBy(F.desc("vec_id")).limit(1000).select("vec_id", "embedding"))
+    asked = e.filter("vec_id % 20 = 0").select("vec_id", "embedding")
+    same = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(cached, "embedding").groupBy("query_id").agg(F.min("vec_id").alias("same"))
+    near = top_per_query(cached, asked, 1).filter("score >= 0.92").select("query_id", F.col("vec_id").alias("near"))
+    out = asked.select(F.col("vec_id").alias("query_id")).join(same, "query_id", "left").join(near, "query_id", "left")
+    return out.select("query_id", F.coalesce("same", "near").alias("hit"), F.when(F.col("same").isNotNull(), "exact").when(F.col("near").isNotNull(), "semantic").otherwise("miss").alias("tier"))
+
+
 @query()
 def mmr_rerank(spark, sf):
     """Maximal marginal relevance over the fifty nearest of each query (every id divisible by 20): relevance less 0.3 of the likeness to what is chosen."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -196,12 +198,18 @@ def browse_examples(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role").orderBy(F.desc("conv_id"), F.desc("turn")).offset(5).limit(20)
 
 
-@query("""SELECT list_sort(list_transform(string_split('5,1,10, 2', ','), lambda x: trim(x)::DOUBLE)) AS buckets""")
+LIST_SQL = "p_size || ',' || p_partkey % 7 || ', ' || p_retailprice || CASE WHEN p_partkey % 5 = 0 THEN ',x' ELSE '' END"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN len(list_filter(b, lambda x: x IS NULL OR x <= 0)) = 0 THEN list_sort(b) ELSE [0.1, 1.0] END AS buckets FROM (SELECT p_partkey, list_transform(string_split({LIST_SQL}, ','), lambda x: try_cast(trim(x) AS DOUBLE)) AS b FROM part)""")
 def parse_buckets(spark, sf):
-    """A comma list of positive numbers, sorted; the default if any is bad."""
-    parts = F.transform(F.split(F.lit("5,1,10, 2"), ","), lambda x: F.trim(x).try_cast("double"))
-    good = F.forall(parts, lambda x: x.isNotNull() & (x > 0))
-    return spark.range(1).select(F.when(good, F.array_sort(parts)).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("buckets"))
+    """Comma lists, one of each part: positive numbers, sorted; the default if any is bad."""
+    text = lambda c: F.col(c).cast("string")
+    listed = F.concat(text("p_size"), F.lit(","), (F.col("p_partkey") % 7).cast("string"), F.lit(", "), text("p_retailprice"), F.when(F.col("p_partkey") % 5 == 0, ",x").otherwise(""))
+    parts = F.transform(F.split(listed, ","), lambda x: F.trim(x).try_cast("double"))
+    rows = table(spark, sf, "part").select("p_partkey", parts.alias("b"))
+    good = F.forall("b", lambda x: x.isNotNull() & (x > 0))
+    return rows.select("p_partkey", F.when(good, F.array_sort("b")).otherwise(F.array(F.lit(0.1), F.lit(1.0))).alias("buckets"))
 
 
 @query("""SELECT lang AS mode, count(*) AS files, sum(length(text))::BIGINT AS chars_in, sum(length(replace(text, ' ', '')))::BIGINT AS chars_out FROM documents GROUP BY lang""")
@@ -267,13 +275,36 @@ def adhoc_select(spark, sf):
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.substring(c, 1, 100) for c in rows.columns]), F.lit(" |")).alias("line"))
 
 
-@query("SELECT name, kind FROM (VALUES ('nation', 'TEMPORARY'), ('region', 'TEMPORARY'), ('supplier', 'TEMPORARY')) t(name, kind)")
+LISTED = ("nation", "region", "supplier", "labels")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, 'TEMPORARY' AS kind, count(*) AS n FROM {t}" for t in LISTED))
 def list_tables(spark, sf):
-    """Tables that a session knows, here three that it has just been given."""
-    for name in ("nation", "region", "supplier"):
+    """Tables that a session knows, here those that it has just been given, with their rows."""
+    for name in LISTED:
         table(spark, sf, name).createOrReplaceTempView(name)
-    known = [(t.name, t.tableType) for t in spark.catalog.listTables() if t.name in ("nation", "region", "supplier")]
-    return spark.createDataFrame(known, "name string, kind string")
+    known = [t for t in spark.catalog.listTables() if t.name in LISTED]
+    parts = [spark.table(t.name).agg(F.count("*").alias("n")).select(F.lit(t.name).alias("name"), F.lit(t.tableType).alias("kind"), "n") for t in known]
+    return reduce(DataFrame.union, parts)
+
+
+@query(r"""SELECT mode, count(*) AS files, sum(length(t))::BIGINT AS chars_in, sum(length(out))::BIGINT AS chars_out, sum(tags)::BIGINT AS tags FROM (SELECT 'html' AS mode, html AS t, regexp_replace(html, '<[^>]*>', '', 'g') AS out, len(regexp_extract_all(html, '<[^>]*>')) AS tags FROM pages
+UNION ALL SELECT CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'unicode' ELSE 'passthrough' END, text, regexp_replace(text, '[ \t]+', ' ', 'g'), 0 FROM documents) GROUP BY mode""")
+def preprocess_modes(spark, sf):
+    """Files, characters in and out and tags taken out by how a text is prepared."""
+    tag = "<[^>]*>"
+    html = table(spark, sf, "pages").select(F.lit("html").alias("mode"), F.col("html").alias("t"), F.regexp_replace("html", tag, "").alias("out"), F.size(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tags"))
+    plain = table(spark, sf, "documents").select(F.when(F.col("text").rlike(r"[^\x00-\x7F]"), "unicode").otherwise("passthrough").alias("mode"), F.col("text").alias("t"), F.regexp_replace("text", "[ \t]+", " ").alias("out"), F.lit(0).alias("tags"))
+    return html.union(plain).groupBy("mode").agg(F.count("*").alias("files"), F.sum(F.length("t")).alias("chars_in"), F.sum(F.length("out")).alias("chars_out"), F.sum("tags").cast("long").alias("tags"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'user' ELSE role END AS role, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS output FROM conversations ORDER BY conv_id, turn LIMIT 50 OFFSET 20""")
+def browse_defaults(spark, sf):
+    """A page of JSON lines, with defaults for the keys that a line lacks."""
+    c = table(spark, sf, "conversations")
+    line = F.to_json(F.struct("conv_id", "turn", F.when(F.col("turn") % 3 != 0, F.col("role")).alias("role"), F.when(F.col("turn") % 2 != 0, F.col("text")).alias("output")))
+    read = c.select(F.from_json(line, "conv_id long, turn long, role string, output string").alias("x")).select("x.*")
+    return read.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("output", F.lit("")).alias("output")).orderBy("conv_id", "turn").offset(20).limit(50)
 
 
 def register(spark: SparkSession) -> None:

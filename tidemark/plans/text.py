@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -283,11 +288,15 @@ def memory_safety(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", safe.alias("safe"))
 
 
-@query(f"""SELECT q, starts_with(upper(trim(q)), 'SELECT') AND NOT {_any('upper(q)', WRITING)} AS safe FROM (SELECT unnest(['select 1', 'DROP TABLE x', ' SELECT a FROM b', 'select updated from t', 'with x as (select 1) select * from x']) AS q)""")
+STATEMENTS = ("select o_comment from orders where o_orderkey = ", "DELETE FROM orders WHERE o_orderkey = ", " SELECT * FROM orders -- drop it? ", "with x as (select 1) select * from x -- ", "update orders set o_orderkey = ", "Select count(*) from created where id = ")
+
+
+@query(f"""SELECT o_orderkey, q, starts_with(upper(trim(q)), 'SELECT') AND NOT {_any('upper(q)', WRITING)} AS safe FROM (SELECT o_orderkey, [{", ".join(f"'{s}'" for s in STATEMENTS)}][o_orderkey % {len(STATEMENTS)} + 1] || o_orderkey AS q FROM orders)""")
 def read_only_guard(spark, sf):
-    rows = spark.createDataFrame([("select 1",), ("DROP TABLE x",), (" SELECT a FROM b",), ("select updated from t",), ("with x as (select 1) select * from x",)], "q string")
-    up = F.upper("q")
-    return rows.select("q", (F.startswith(F.trim(up), F.lit("SELECT")) & ~T.contains_any(up, WRITING)).alias("safe"))
+    """Statements about each order: those that begin with SELECT and hold no word that writes."""
+    q = F.concat(F.element_at(F.array(*[F.lit(s) for s in STATEMENTS]), (F.col("o_orderkey") % len(STATEMENTS) + 1).cast("int")), F.col("o_orderkey").cast("string"))
+    rows, up = table(spark, sf, "orders").select("o_orderkey", q.alias("q")), F.upper("q")
+    return rows.select("o_orderkey", "q", (F.startswith(F.trim(up), F.lit("SELECT")) & ~T.contains_any(up, WRITING)).alias("safe"))
 
 
 def _score_sql(name: str, words: tuple[str, ...]) -> str:
@@ -496,14 +505,20 @@ def repeated_lines(spark, sf):
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS k FROM l)
 SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM c WHERE NOT (n >= 12 AND strlen(line) <= 80 AND k >= 4) GROUP BY doc_id""")
 def remove_repeated_lines(spark, sf):
-    """Within the row: lines are counted by a map, and nothing is shuffled."""
-    lines = F.split("text", "\n")
-    counts = F.map_from_entries(F.transform(F.array_distinct(lines), lambda x: F.struct(x, F.size(F.filter(F.split("text", "\n"), lambda y: x == y)))))
-    few = _docs(spark, sf).select("doc_id", "text", lines.alias("l"))
-    noisy = few.filter(F.size("l") >= 12).withColumn("c", counts)
-    kept = noisy.select("doc_id", F.filter("l", lambda x: ~((F.octet_length(x) <= 80) & (F.element_at(F.col("c"), x) >= 4))).alias("l"))
-    every = kept.unionByName(few.filter(F.size("l") < 12).select("doc_id", "l"))
-    return every.filter(F.size("l") > 0).select("doc_id", F.md5(F.array_join("l", "\n")).alias("digest"))
+    """Within the row, in two passes over its lines, and nothing is shuffled."""
+    return _docs(spark, sf).select("doc_id", "text").mapInPandas(_without_repeats, "doc_id long, digest string")
+
+
+def _without_repeats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for key, text in zip(b["doc_id"], b["text"], strict=True):
+            lines = text.split("\n") if text is not None else []
+            often = Counter(lines) if len(lines) >= 12 else {}
+            kept = [x for x in lines if not (often.get(x, 0) >= 4 and len(x.encode()) <= 80)]
+            if kept:
+                rows.append((key, hashlib.md5("\n".join(kept).encode()).hexdigest()))
+        yield pd.DataFrame(rows, columns=["doc_id", "digest"])
 
 
 @query("""SELECT r.doc_id, CASE WHEN r.quality <= 0 THEN 1 WHEN r.quality >= 5 THEN 5 ELSE r.quality END AS rating FROM labels r""")
