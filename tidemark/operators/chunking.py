@@ -93,7 +93,7 @@ def fixed(df: DataFrame, key: str = "doc_id", text: str = "text", target: int =
             for k, t in zip(b[key], b[text], strict=True):
                 before = ""
                 for i, piece in enumerate(split_to(t or "", target)):
-                    tail = " ".join(before.split()[-(overlap * 3 // 4) :]) if before else ""
+                    tail = " ".join(before.split()[-(overlap * 3 // 4) :]) if before and overlap > 1 else ""
                     rows.append((k, i, f"{tail} {piece}" if tail else piece))
                     before = piece
             yield pd.DataFrame(rows, columns=[key, "chunk_index", "text"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -108,22 +108,60 @@ def breadcrumbs(blocks: DataFrame, key: str) -> DataFrame:
     return out.withColumn("crumb", crumb).drop(*[f"h{n}" for n in levels])
 
 
-def structured(blocks: DataFrame, key: str, target: int = 256, most: int = 384, least: int = 64) -> DataFrame:
+META = {"page": "int", "column": "string", "extractor": "string"}
+
+
+def structured(blocks: DataFrame, key: str, target: int = 256, most: int = 384, least: int = 64, meta: bool = False) -> DataFrame:
     """Chunks that keep to a document's structure: tables, code, formulas and images by themselves and whole, other blocks
     gathered between headings, page breaks and those, and cut where they are long; each led by its breadcrumb.
+
+    Where blocks have a column (`col1`, `col2`, ...), text of one page is gathered column by column: a block of another
+    column than the first one gathered, on the same page as the first, begins a new chunk. With `meta`, chunks have the
+    page, type and extractor (`builtin` if unknown) of the block that they begin with and the columns of all their text.
     """
     w = Window.partitionBy(key).orderBy("block_idx")
+    blocks = blocks.withColumns({c: F.lit(None).cast(t) for c, t in META.items() if c not in blocks.columns})
     atomic = F.col("block_type").isin(*ATOMIC)
     begins = atomic | F.col("block_type").isin("heading", "page_break") | F.coalesce(F.lag(atomic).over(w), F.lit(True))
     placed = breadcrumbs(blocks, key).withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    body = F.when(F.col("block_type").isin("heading", "page_break"), "").otherwise(F.trim("text"))
+    bare = F.col("block_type").isin("heading", "page_break")
+    block = F.struct("block_idx", F.when(bare, "").otherwise(F.trim("text")).alias("t"), bare.alias("bare"), "block_type", *META)
     first = lambda c: F.min_by(c, "block_idx").alias(c)
-    runs = placed.groupBy(key, "run").agg(first("block_type"), first("section"), first("crumb"), F.array_sort(F.collect_list(F.struct("block_idx", body.alias("t")))).alias("b"))
+    runs = placed.groupBy(key, "run").agg(first("section"), first("crumb"), F.array_sort(F.collect_list(block)).alias("b")).withColumn("subs", _columns_apart("b"))
+    apart = F.transform(F.sequence(F.lit(0), F.array_max("subs")), lambda n: F.filter("b", lambda x, i: F.get("subs", i) == n))
+    parts = runs.select(key, "run", "section", "crumb", F.posexplode(apart).alias("sub", "b"))
     text = F.array_join(F.filter(F.concat(F.array("crumb"), F.transform("b", lambda x: x["t"])), lambda x: F.length(x) > 0), "\n\n")
-    whole = runs.select(key, "run", "block_type", "crumb", F.sha2(F.concat_ws("#", key, "section"), 256).alias("section_id"), text.alias("text")).filter("length(text) > 0")
+    head = F.get("b", F.lit(0))
+    own = [head["page"].alias("page"), F.coalesce(head["extractor"], F.lit("builtin")).alias("extractor"), F.array_sort(F.array_distinct(F.filter(F.transform("b", lambda x: F.when(~x["bare"], x["column"])), lambda c: c.isNotNull()))).alias("columns")]
+    whole = parts.select(key, "run", "sub", head["block_type"].alias("block_type"), "crumb", F.sha2(F.concat_ws("#", key, "section"), 256).alias("section_id"), text.alias("text"), *own).filter("length(text) > 0")
     alone = F.array(F.struct("text", T.token_estimate(F.col("text")).alias("tokens"), F.lit("atomic").alias("cause")))
-    parts = F.when(F.col("block_type").isin(*ATOMIC), alone).otherwise(C.greedy(C.segments(F.col("text")), target, most, least))
-    return whole.select(key, "run", "block_type", "crumb", "section_id", F.posexplode(parts).alias("part", "c")).select(key, "run", "part", "block_type", "crumb", "section_id", "c.text", "c.tokens")
+    cut = F.when(F.col("block_type").isin(*ATOMIC), alone).otherwise(C.greedy(C.segments(F.col("text")), target, most, least))
+    more = ["page", "extractor", "columns"] if meta else []
+    out = whole.select(key, "run", "sub", "block_type", "crumb", "section_id", *more, F.posexplode(cut).alias("part", "c"))
+    return out.select(key, "run", *(["sub"] if meta else []), "part", "block_type", "crumb", "section_id", *more, "c.text", "c.tokens")
+
+
+def _columns_apart(blocks: str) -> Column:
+    """The number of its column's stretch for each block of an accumulation: 0 until a column crosses another on the first one's page."""
+    start = F.struct(F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("column"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        own = F.when(x["column"].rlike("^col[0-9]+$"), x["column"])
+        crossing = F.coalesce((s["page"] == x["page"]) & (s["column"] != own), F.lit(False)) & ~x["bare"]
+        n = s["n"] + crossing.cast("int")
+        page = F.when(crossing, x["page"]).when(x["bare"], s["page"]).otherwise(F.coalesce(s["page"], x["page"]))
+        column = F.when(crossing, own).when(x["bare"], s["column"]).otherwise(F.coalesce(s["column"], own))
+        return F.struct(page.alias("page"), column.alias("column"), n.alias("n"), F.concat(s["out"], F.array(n)).alias("out"))
+
+    return F.aggregate(blocks, start, step, lambda s: s["out"])
+
+
+@query()
+def column_chunks(spark, sf):
+    """Chunks of laid-out pages, column by column, with their page, columns and extractor."""
+    kind = F.when(F.col("type") == "header", "heading").otherwise(F.col("type"))
+    blocks = assembled_blocks(spark, sf).select("doc_id", F.col("block").alias("block_idx"), kind.alias("block_type"), "level", "text", "page", "column", F.lit("layout").alias("extractor"))
+    return structured(blocks, "doc_id", meta=True)
 
 
 @query()
@@ -164,6 +202,43 @@ def chunk_preview(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+#: What a preview may be asked for, one setting for each language's documents. Fixed values.
+SETTINGS = {"en": ("fixed", 200, 20), "de": ("adaptive", 256, 0), "fr": ("sentence", 128, 1), "es": ("fixed", 64, 0)}
+
+
+def preview(texts: DataFrame, key: str) -> DataFrame:
+    """(key, chunker, chunk_index, tokens, text) of texts with settings of their own (key, text, chunker, target, overlap): `fixed`, `adaptive` or `sentence`.
+
+    A chunker of another name gives no chunks; null and empty texts have none.
+    """
+    rows = texts.withColumn("text", F.coalesce("text", F.lit("")))
+    fixed = [C.fixed(rows.filter((F.col("chunker") == "fixed") & (F.col("target") == t["target"]) & (F.col("overlap") == t["overlap"])), key, "text", t["target"], t["overlap"]).withColumn("chunker", F.lit("fixed")) for t in _distinct(rows, "fixed")]
+    folded = []
+    for name in ("adaptive", "sentence"):
+        for t in _distinct(rows, name):
+            own = rows.filter((F.col("chunker") == name) & (F.col("target") == t["target"]) & (F.col("overlap") == t["overlap"]))
+            parts = C.segments(F.col("text")) if name == "adaptive" else T.sentences(F.col("text"))
+            chunks_ = C.greedy(parts, t["target"], t["target"] * 3 // 2, t["target"] // 4 if name == "adaptive" else 0, "\n" if name == "adaptive" else " ", t["overlap"])
+            folded.append(C.exploded(own, key, chunks_).select(key, "chunk_index", "text").withColumn("chunker", F.lit(name)))
+    every = [f.select(key, "chunker", "chunk_index", "text") for f in [*fixed, *folded]]
+    if not every:
+        return rows.select(key, "chunker", F.lit(0).alias("chunk_index"), F.lit(0).cast("long").alias("tokens"), "text").limit(0)
+    return reduce(DataFrame.union, every).select(key, "chunker", "chunk_index", T.token_estimate(F.col("text")).alias("tokens"), "text")
+
+
+def _distinct(rows: DataFrame, chunker: str) -> list:
+    """The settings asked for of one chunker: a plan each, so few."""
+    return rows.filter(F.col("chunker") == chunker).select("target", "overlap").distinct().collect()
+
+
+@query()
+def preview_settings(spark, sf):
+    """Each document cut as its language's settings say."""
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    pick = lambda i, t: F.create_map(*[x for k, v in SETTINGS.items() for x in (F.lit(k), F.lit(v[i]))])[F.col("lang")].cast(t)
+    return preview(d.select("doc_id", "text", pick(0, "string").alias("chunker"), pick(1, "int").alias("target"), pick(2, "int").alias("overlap")), "doc_id")
+
+
 @query()
 def block_distribution(spark, sf):
     return html_blocks(spark, sf).groupBy("block_type").agg(F.count("*").alias("blocks"), F.count_distinct("page_id").alias("pages"))
