@@ -12,8 +12,10 @@ from tidemark.functions import text as T
 from tidemark.operators import chunking as C
 from tidemark.operators.assembly import assembled
 from tidemark.operators.layout import with_columns
+from tidemark.operators.ordered import running
+from tidemark.plans.curate import reservoir
 from tidemark.registry import Registry
-from tidemark.session import shared_dir, spread, table
+from tidemark.session import settled, shared_dir, spread, table
 from tidemark.sources import documents as S
 from tidemark.sources import office, officewriter
 
@@ -172,11 +174,17 @@ def structured_chunks(spark, sf):
 
 @query()
 def prepared_chunks(spark, sf):
-    """What is embedded and indexed of a page: chunks with the source before them, normalised, and their place in the reservoir's order."""
+    """What is embedded and indexed of a page: chunks with the source before them, normalised; their place in the order in which they are offered to the reservoir, and the slot of those that it holds in the end."""
     c = structured_chunks(spark, sf).join(table(spark, sf, "pages").select("page_id", "url"), "page_id")
     text = F.concat(F.lit("[Source: "), "url", F.lit("] "), "text")
     clean = T.canonical_punctuation(T.normalize_space(text))
-    return c.select("page_id", "run", "part", "section_id", clean.alias("embed_text"), F.lower(clean).alias("index_text"), F.sha2(clean, 256).alias("content_hash"))
+    within = F.row_number().over(Window.partitionBy("page_id").orderBy("run", "part"))
+    made = settled(c.select("page_id", "run", "part", "section_id", clean.alias("embed_text"), F.lower(clean).alias("index_text"), F.sha2(clean, 256).alias("content_hash"), within.alias("at")))
+    counts = made.groupBy("page_id").agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
+    starts = running(counts, "all", F.floor(F.col("page_id") / 4096), ["page_id"], "n").select("page_id", (F.col("run_sum") - F.col("n")).cast("long").alias("start"))
+    placed = made.join(starts, "page_id").withColumn("position", F.col("start") + F.col("at") - 1).drop("start", "at")
+    held = reservoir(placed.select("position"), "position").select(F.col("slot").alias("sample_slot"), "position")  # a hundred rows
+    return placed.join(F.broadcast(held), "position", "left")
 
 
 #: Target, least and most tokens and overlap by context size, and by model. Fixed values.

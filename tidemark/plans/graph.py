@@ -9,7 +9,9 @@ from tidemark.functions import text as T
 from tidemark.operators import graph as G
 from tidemark.operators.blocks import top_per_query
 from tidemark.operators.ordered import following
-from tidemark.plans.text import GAZETTEER
+from tidemark.plans.chunks import adaptive_chunks
+from tidemark.plans.text import GAZETTEER, SCANNERS, entity_spans
+from tidemark.plans.text import NAMES as NAMES_PATTERN
 from tidemark.registry import Registry
 from tidemark.session import settled, spread, table
 
@@ -203,3 +205,29 @@ def resolved_edges(spark, sf):
     e = table(spark, sf, "embeddings").filter("vec_id % 10 < 9")
     edges_ = e.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 1).alias("dst"), F.lit("NEXT").alias("type"), (0.5 + (F.col("vec_id") % 5) / 10).alias("confidence"))
     return G.merged_edges(edges_, resolution(spark, sf)).withColumn("confidence", F.round("confidence", 6))
+
+
+LEAST_CONFIDENCE = 0.5
+
+
+def indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, doc_id, entity, kind, confidence): documents as a graph takes them: cut into chunks, each chunk's entities by all scanners and names, their texts trimmed and lower-cased.
+
+    A chunk holds some hundred words, so its entities are few and their pairs can be made within its row.
+    """
+    chunks_ = adaptive_chunks(spark, sf).select("doc_id", F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "text")
+    found = chunks_.select("doc_id", "id", F.explode(entity_spans(F.col("text"), (*SCANNERS, (NAMES_PATTERN, "person", 0.6)))).alias("e"))
+    named = found.filter(F.col("e.confidence") >= LEAST_CONFIDENCE).select("doc_id", "id", F.lower(F.trim("e.text")).alias("entity"), F.col("e.kind").alias("kind"), F.col("e.confidence").alias("confidence"))
+    return named.groupBy("doc_id", "id", "entity").agg(F.min_by("kind", F.struct((-F.col("confidence")).alias("c"), "kind")).alias("kind"), F.max("confidence").alias("confidence"))
+
+
+@query()
+def indexed_nodes(spark, sf):
+    """Entities of the indexed documents with the chunks and documents that mention them."""
+    return indexed(spark, sf).groupBy("entity", "kind").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.max("confidence").alias("confidence"))
+
+
+@query()
+def indexed_edges(spark, sf):
+    """Entities that stand in one chunk, with the number of these and how strong the link is."""
+    return G.co_occurrence(indexed(spark, sf))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,12 +157,10 @@ def normalize_for_index(spark, sf):
     return made.select("doc_id", T.normalize_space(T.canonical_punctuation(F.col("text"))).alias("text"))
 
 
-def _nfkc(batches):
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
+def _nfkc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pc.utf8_normalize(b.column(1), form="NFKC")], names=["doc_id", "text"])
+        texts = [None if t is None else unicodedata.normalize("NFKC", t) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
 
 STRIP_SQL = "html"
@@ -255,11 +255,12 @@ def scan_gazetteer(spark, sf):
     return hits.select("doc_id", "term", (F.instr("low", F.col("term")) - 1).alias("start"), F.lit(0.85).alias("confidence"))
 
 
-@query()
-def resolve_overlaps(spark, sf):
+SCANNERS = ((EMAIL, "email", 0.95), (URL, "url", 0.95), (PHONE, "phone", 0.8), (MONEY, "money", 0.9), (PERCENT, "percent", 0.95))
+
+
+def entity_spans(text: Column, scanners=SCANNERS) -> Column:
     """Entities of all scanners by start; of two that overlap the more confident stays, of equals the earlier."""
-    t = F.col("text")
-    spans = [_placed(t, p, k, c) for p, k, c in ((EMAIL, "email", 0.95), (URL, "url", 0.95), (PHONE, "phone", 0.8), (MONEY, "money", 0.9), (PERCENT, "percent", 0.95))]
+    spans = [_placed(text, p, k, c) for p, k, c in scanners]
 
     def step(state: Column, x: Column) -> Column:
         last = F.try_element_at(state, F.lit(-1))
@@ -267,9 +268,14 @@ def resolve_overlaps(spark, sf):
         better = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(x))
         return F.when(~clash, F.concat(state, F.array(x))).when(x["confidence"] > last["confidence"], better).otherwise(state)
 
-    merged = F.sort_array(F.concat(*spans))
     empty = F.array().cast("array<struct<start:int,end:int,confidence:double,kind:string,text:string>>")
-    return _docs(spark, sf).select("doc_id", F.explode(F.aggregate(merged, empty, step)).alias("e")).select("doc_id", "e.*")
+    return F.aggregate(F.sort_array(F.concat(*spans)), empty, step)
+
+
+@query()
+def resolve_overlaps(spark, sf):
+    """Entities of all scanners by start; of two that overlap the more confident stays, of equals the earlier."""
+    return _docs(spark, sf).select("doc_id", F.explode(entity_spans(F.col("text"))).alias("e")).select("doc_id", "e.*")
 
 
 def _placed(text: Column, pattern: str, kind: str, confidence: float) -> Column:
