@@ -352,8 +352,8 @@ def tagged(w: DataFrame) -> DataFrame:
 @query(f"""WITH r AS MATERIALIZED (SELECT * FROM {RUNS_SQL} WHERE tag NOT IN ('other', 'footer')),
 b AS (SELECT doc_id, run, tag, string_agg(word, ' ' ORDER BY nth) AS words, arg_min(page, nth) AS page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CASE WHEN min(col) = max(col) THEN min(col) ELSE 'multi' END AS "column" FROM r GROUP BY doc_id, run, tag),
 t AS (SELECT doc_id, run, count(*)::INT AS table_rows, max(cells)::INT AS table_cols, string_agg(line, chr(10) ORDER BY page, y0) AS markdown FROM (SELECT doc_id, run, page, y0, count(*) AS cells, '| ' || string_agg(word, ' | ' ORDER BY x0, word) || ' |' AS line FROM r WHERE tag = 'table' GROUP BY doc_id, run, page, y0) GROUP BY doc_id, run)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS block, CASE tag WHEN 'title' THEN 'header' WHEN 'section_header' THEN 'header' WHEN 'figure' THEN 'image' ELSE tag END AS type, CASE tag WHEN 'title' THEN 1 WHEN 'section_header' THEN 2 END AS level,
-CASE WHEN tag = 'figure' THEN '' ELSE words END AS text, CASE WHEN tag = 'figure' THEN words END AS alt, page, x0, y0, x1, y1, "column", table_rows, table_cols, markdown FROM b LEFT JOIN t USING (doc_id, run)""")
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS block, CASE tag WHEN 'title' THEN 'header' WHEN 'section_header' THEN 'header' WHEN 'figure' THEN 'image' ELSE tag END AS type, CASE tag WHEN 'title' THEN 1 WHEN 'section_header' THEN 2 END AS level,
+CASE WHEN tag = 'figure' THEN '' ELSE words END AS text, CASE WHEN tag = 'figure' THEN words END AS alt, page::INT AS page, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, "column", table_rows, table_cols, markdown FROM b LEFT JOIN t USING (doc_id, run)""")
 def assembled_blocks(spark, sf):
     """Blocks of words by tag and column, where a page has two columns if its words leave a gutter free."""
     w = tagged(words(spark, sf))
@@ -413,7 +413,7 @@ LINES_OF = rf"list_filter(list_transform(string_split(text, chr(10)), lambda t:
 
 
 @query(f"""WITH d AS (SELECT doc_id, doc_id % {len(KINDS)} AS k, 'Document ' || doc_id AS title, {LINES_OF} AS l FROM documents), j AS (SELECT *, array_to_string(l, chr(10)) AS body FROM d)
-SELECT doc_id, block_idx, block_type, level, text, false AS failed FROM (
+SELECT doc_id, block_idx::INT AS block_idx, block_type, level::INT AS level, text, false AS failed FROM (
 SELECT doc_id, 0 AS block_idx, 'heading' AS block_type, 1 AS level, title AS text FROM j WHERE k <= 2 UNION ALL SELECT doc_id, i, 'text', NULL, l[i] FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM j WHERE k <= 1)
 UNION ALL SELECT doc_id, 1, 'text', NULL, body FROM j WHERE k = 2 AND len(l) > 0 UNION ALL SELECT doc_id, 0, 'table', NULL, '[Sheet: Head]' || chr(10) || title FROM j WHERE k = 3
 UNION ALL SELECT doc_id, 1, 'table', NULL, '[Sheet: Body]' || chr(10) || array_to_string(list_transform(range(1, len(l) + 1), lambda i: l[i] || chr(9) || i), chr(10)) FROM j WHERE k = 3 AND len(l) > 0
