@@ -54,7 +54,7 @@ def test_random_words(spark):
 
 
 def test_columns_of_pages(spark, sf):
-    w = chunks.numbered_words(chunks.words(spark, sf))
+    w = chunks.numbered_words(chunks.words(spark, sf, "t", "n_words"))
     columns = {(r["doc_id"], r["page"], r["line_id"]): r["column"] for r in chunks.page_columns(spark, sf).collect()}
     docs = {}
     for r in chunks.tagged(w).collect():

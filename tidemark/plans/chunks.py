@@ -294,18 +294,19 @@ LINES_SQL = f"""(SELECT doc_id, page, line_id, min(x0) AS x0, max(x1) AS x1, min
 FROM {WORDS_SQL} WINDOW o AS (PARTITION BY doc_id ORDER BY page, y0, x0))) GROUP BY doc_id, page, line_id)"""
 
 
-def words(spark: SparkSession, sf: str) -> DataFrame:
+def words(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     """Words with boxes on pages of forty lines, as a layout extractor would give them: two columns where the id is even.
 
-    A line goes on in the next after twelve words.
+    A line goes on in the next after twelve words. `more` may name `t` and `n_words`, a line's text and number of words.
     """
     parts = lambda ws: F.when(F.size(ws) == 0, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 12).cast("int")), lambda k: F.slice(ws, k * 12 + 1, 12)))
     wrapped = F.flatten(F.transform(F.split("text", "\n"), lambda t: parts(T.words(t))))
     lines = _docs(spark, sf).select("doc_id", F.posexplode(wrapped).alias("line", "ws"))
-    w = lines.select("doc_id", "line", F.posexplode("ws").alias("i", "word"))
+    told = lines.withColumns({"t": F.array_join("ws", " "), "n_words": F.size("ws")})
+    w = told.select("doc_id", "line", *more, F.posexplode("ws").alias("i", "word"))
     left = F.when((F.col("doc_id") % 2 == 0) & (F.col("i") >= 6), F.lit(500)).otherwise(F.lit(0)) + F.col("i") % 6 * 60 + F.when(F.col("doc_id") % 2 == 0, 0).otherwise(F.when(F.col("i") >= 6, 360).otherwise(0))
     page, top = (F.col("line") / 40).cast("int") + 1, F.col("line") % 40 * 25
-    return w.select("doc_id", page.alias("page"), "line", "i", "word", left.alias("x0"), (left + 50).alias("x1"), top.alias("y0"), (top + 15).alias("y1"))
+    return w.select("doc_id", page.alias("page"), "line", "i", "word", left.alias("x0"), (left + 50).alias("x1"), top.alias("y0"), (top + 15).alias("y1"), *more)
 
 
 def numbered_words(w: DataFrame) -> DataFrame:
@@ -341,12 +342,11 @@ FROM {TAGGED_SQL} WINDOW o AS (PARTITION BY doc_id ORDER BY page, col, y0, x0)))
 
 
 def tagged(w: DataFrame) -> DataFrame:
-    """Words with their line's tag: by its marks, its capitals, and its place on the page."""
-    lines = w.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("t"), F.count("*").alias("n_words"))
+    """Words (with t and n_words) with their line's tag: by its marks, its capitals, and its place on the page."""
     t = F.col("t")
     capital = F.length(F.regexp_replace(t, "[^A-Z]", "")) * 2 > F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
     tag = F.when((F.col("y0") >= 950) & (F.col("n_words") <= 3), "footer").when(F.contains(t, F.lit("|")), "table").when(t.rlike("^[-*] "), "list").when(t.rlike("^Figure "), "figure")
-    return w.join(lines, ["doc_id", "line"]).withColumn("tag", tag.when(t.rlike("^(Table|Abbildung) "), "caption").when(capital, "title").when(F.endswith(t, F.lit(":")), "section_header").otherwise("text"))
+    return w.withColumn("tag", tag.when(t.rlike("^(Table|Abbildung) "), "caption").when(capital, "title").when(F.endswith(t, F.lit(":")), "section_header").otherwise("text"))
 
 
 @query(f"""WITH r AS MATERIALIZED (SELECT * FROM {RUNS_SQL} WHERE tag NOT IN ('other', 'footer')),
@@ -356,7 +356,7 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT A
 CASE WHEN tag = 'figure' THEN '' ELSE words END AS text, CASE WHEN tag = 'figure' THEN words END AS alt, page::INT AS page, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, "column", table_rows, table_cols, markdown FROM b LEFT JOIN t USING (doc_id, run)""")
 def assembled_blocks(spark, sf):
     """Blocks of words by tag and column, where a page has two columns if its words leave a gutter free."""
-    w = tagged(words(spark, sf))
+    w = tagged(words(spark, sf, "t", "n_words"))
     page = Window.partitionBy("doc_id", "page")
     two = (F.max("x0").over(page) >= 500) & ~F.bool_or((F.col("x0") >= 350) & (F.col("x0") < 500)).over(page)
     placed = w.withColumn("column", F.when(~two, "single").when(F.col("x0") < 500, "col1").otherwise("col2"))
@@ -366,7 +366,7 @@ def assembled_blocks(spark, sf):
 @query()
 def page_blocks(spark, sf):
     """Blocks of words by tag and by the columns that their pages' left edges make."""
-    w = numbered_words(words(spark, sf))
+    w = numbered_words(words(spark, sf, "t", "n_words"))
     columns = page_columns(spark, sf).select("doc_id", "page", "line_id", "column")
     placed = tagged(w.join(columns, ["doc_id", "page", "line_id"]))
     return assembled(placed, "doc_id", "page", "column", "y0", "x0")
