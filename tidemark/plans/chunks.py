@@ -300,7 +300,7 @@ def words(spark: SparkSession, sf: str, *more: str) -> DataFrame:
     A line goes on in the next after twelve words. `more` may name `t` and `n_words`, a line's text and number of words.
     """
     parts = lambda ws: F.when(F.size(ws) == 0, F.array(ws)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / 12).cast("int")), lambda k: F.slice(ws, k * 12 + 1, 12)))
-    wrapped = F.flatten(F.transform(F.split("text", "\n"), lambda t: parts(T.words(t))))
+    wrapped = F.flatten(F.transform(F.transform(F.split("text", "\n"), T.words), parts))  # a line's words are found once, not for each part
     lines = _docs(spark, sf).select("doc_id", F.posexplode(wrapped).alias("line", "ws"))
     told = lines.withColumns({"t": F.array_join("ws", " "), "n_words": F.size("ws")})
     w = told.select("doc_id", "line", *more, F.posexplode("ws").alias("i", "word"))
