@@ -6,8 +6,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import filters, graph, ring
+from tidemark.plans import tables
 
 
 def plain(links):
@@ -94,3 +96,13 @@ def test_ring(spark):
     less = ring.placed(spark.range(20_000).withColumnRenamed("id", "key"), "key", ring.ring(spark, {k: w for k, w in shards.items() if k != "d"})).collect()
     before = {r["key"]: r["shard"] for r in got}
     assert all(before[r["key"]] in (r["shard"], "d") for r in less)  # only what the lost shard had moves
+
+
+def test_filter_of_many_more_keys_than_cells(spark, tmp_path):
+    """Cells that count over 255 keys are still those of the keys that remain."""
+    keys = spark.range(1_200_000).selectExpr("id AS l_partkey", "id % 7 AS l_suppkey")
+    keys.write.parquet(str(tmp_path / "lineitem.parquet"))
+    cells = keys.filter("l_suppkey % 5 <> 0").select(F.explode(filters.cells_of(F.col("l_partkey"), tables.CELLS, tables.CELL_HASHES)).alias("cell"))
+    want = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    got = {r["cell"]: r["n"] for r in tables.counting_filter(spark, str(tmp_path)).collect()}
+    assert got == want and max(got.values()) > 255

@@ -109,10 +109,10 @@ def _cells_sql(key: str) -> str:
 def parts_filter(spark: SparkSession, sf: str) -> DataFrame:
     """A filter of the parts of all lines but those of suppliers divisible by five, made of two halves that are united and then taken from."""
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
-    parts = lambda where: filters.counted(lines.filter(where).select("l_partkey").distinct(), "l_partkey", CELLS, CELL_HASHES)
-    both = filters.united(parts("l_partkey % 2 = 0"), parts("l_partkey % 2 = 1"))
+    parts = lambda where: filters.counted(lines.filter(where).select("l_partkey").distinct(), "l_partkey", CELLS, CELL_HASHES, filters.EXACT)
+    both = filters.united(parts("l_partkey % 2 = 0"), parts("l_partkey % 2 = 1"), most=filters.EXACT)
     gone = lines.filter("l_suppkey % 5 = 0").select("l_partkey").distinct().join(lines.filter("l_suppkey % 5 <> 0").select("l_partkey").distinct(), "l_partkey", "left_anti")
-    return filters.taken(both, filters.counted(gone, "l_partkey", CELLS, CELL_HASHES))
+    return filters.taken(both, filters.counted(gone, "l_partkey", CELLS, CELL_HASHES, filters.EXACT), filters.EXACT)
 
 
 @query(f"SELECT cell, count(*)::INT AS n FROM (SELECT unnest({_cells_sql('l_partkey')}) AS cell FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey % 5 <> 0)) GROUP BY cell")
