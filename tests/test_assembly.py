@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tidemark.operators import layout
 from tidemark.operators.assembly import LEVELS, NOISE, TYPES, assembled
 from tidemark.plans import chunks
 
@@ -65,3 +68,17 @@ def test_columns_of_pages(spark, sf):
         got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
     assert got == {d: b for d, b in want.items() if b} and {b[11] for blocks in want.values() for b in blocks} >= {None, 1}
     assert len({b[10] for blocks in got.values() for b in blocks}) > 2
+
+
+def test_layout_stays_within_a_document(spark, sf):
+    """No words are shuffled: the plans exchange whole documents at most."""
+    for query in (chunks.assembled_blocks, chunks.page_blocks, chunks.page_columns):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 1 and "Window" not in plan and plan.count("Generate") == 1
+
+
+def test_columns_of_lines_by_their_sorted_edges():
+    rng = random.Random(3)
+    for _ in range(200):
+        x = np.array([rng.choice((0, 50, 300, 500, np.nan)) + rng.choice((0, 0, 1)) for _ in range(rng.randint(0, 30))], dtype=np.float64)
+        assert layout.page_column(x) == layout.columns_of(x)
