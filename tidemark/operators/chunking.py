@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,21 +85,31 @@ def estimate(text: str) -> int:
     return (len(text.encode()) // 4 + len(text.split()) * 4 // 3) // 2
 
 
+#: Characters of chunks that a task holds before it hands them on.
+HELD = 1 << 20
+
+
 def fixed(df: DataFrame, key: str = "doc_id", text: str = "text", target: int = 256, overlap: int = 32) -> DataFrame:
     """Pieces of at most `target` tokens, each after the first led by the last `overlap` words' worth of the one before."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = pa.schema([(key, pa.int64()), ("chunk_index", pa.int32()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for b in batches:
-            rows = []
-            for k, t in zip(b[key], b[text], strict=True):
+            for k, t in zip(b.column(0), b.column(1), strict=True):  # one text at a time
                 before = ""
-                for i, piece in enumerate(split_to(t or "", target)):
+                for i, piece in enumerate(split_to(t.as_py() or "", target)):
                     tail = " ".join(before.split()[-(overlap * 3 // 4) :]) if before and overlap > 1 else ""
-                    rows.append((k, i, f"{tail} {piece}" if tail else piece))
-                    before = piece
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "text"])
-
-    return df.select(key, text).mapInPandas(run, f"{key} long, chunk_index int, text string")
+                    rows.append((k.as_py(), i, f"{tail} {piece}" if tail else piece))
+                    before, size = piece, size + len(piece)
+                if size > HELD:
+                    yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=out)
+                    rows, size = [], 0
+        if rows:
+            yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=out)
+
+    return df.select(key, text).mapInArrow(run, f"{key} long, chunk_index int, text string")
 
 
 def semantic(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 64, most: int = 256, threshold: float = 0.15, dim: int = 64) -> DataFrame:
