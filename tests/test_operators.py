@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions import vectors as V
-from tidemark.operators import chunking, graph, ranking
+from tidemark.operators import blocks, chunking, graph, ranking
 from tidemark.plans import curate, metrics, relational, search
+from tidemark.plans import text as text_plans
 from tidemark.sources import documents
 from tidemark.streaming import events
 
@@ -205,3 +206,23 @@ def test_unit_vectors_as_in_sql(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r["vec_id"]: repr(r["unit"]) for r in search.l2_normalize(spark, str(tmp_path)).collect()}
     assert got == {0: "[0.6, -0.8]", 1: "[1.0, -0.0]", 2: "[nan, nan]", 3: "[]", 4: "None"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_matches_are_found_once(spark, sf):
+    """An inferred filter or a name written out twice would match the patterns again, and below the exchange."""
+    assert _plan(text_plans.resolve_overlaps(spark, sf)).count("regexp_extract_all") == len(text_plans.SCANNERS)
+    assert _plan(text_plans.classify_category(spark, sf)).count("lower(") == 1
+
+
+def test_blocks_of_vectors_meet_one_pair_at_a_time(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    assert "CoGroup" in _plan(blocks.top_per_query(e, e.filter("vec_id % 20 = 0"), 5))
+
+
+def test_fixed_chunks_hand_on_what_they_hold(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    assert "MapInArrow" in _plan(chunking.fixed(d))

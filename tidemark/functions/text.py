@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,6 +92,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), both), F.lit(0.0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running_sums(values: Column) -> Column:
     """The sums of an array of whole numbers up to each of them, in runs of about the root of its size: appending copies no more than a run."""
     run = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))

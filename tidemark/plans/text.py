@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.registry import Registry
-from tidemark.session import spread, table
+from tidemark.session import spread, table, told
 
 query = Registry()
 
@@ -258,6 +258,9 @@ def scan_gazetteer(spark, sf):
 SCANNERS = ((EMAIL, "email", 0.95), (URL, "url", 0.95), (PHONE, "phone", 0.8), (MONEY, "money", 0.9), (PERCENT, "percent", 0.95))
 
 
+SPANS = "array<struct<start:int,end:int,confidence:double,kind:string,text:string>>"
+
+
 def entity_spans(text: Column, scanners=SCANNERS) -> Column:
     """Entities of all scanners by start; of two that overlap the more confident stays, of equals the earlier."""
     spans = [_placed(text, p, k, c) for p, k, c in scanners]
@@ -268,23 +271,24 @@ def entity_spans(text: Column, scanners=SCANNERS) -> Column:
         better = F.concat(F.slice(state, 1, F.size(state) - 1), F.array(x))
         return F.when(~clash, F.concat(state, F.array(x))).when(x["confidence"] > last["confidence"], better).otherwise(state)
 
-    empty = F.array().cast("array<struct<start:int,end:int,confidence:double,kind:string,text:string>>")
-    return F.aggregate(F.sort_array(F.concat(*spans)), empty, step)
+    return F.aggregate(F.sort_array(F.concat(*spans)), F.array().cast(SPANS), step)
 
 
 @query()
 def resolve_overlaps(spark, sf):
     """Entities of all scanners by start; of two that overlap the more confident stays, of equals the earlier."""
-    return _docs(spark, sf).select("doc_id", F.explode(entity_spans(F.col("text"))).alias("e")).select("doc_id", "e.*")
+    return told(_docs(spark, sf).select("doc_id", entity_spans(F.col("text")).alias("spans")), ["doc_id"], "spans", "n", "e").select("doc_id", "e.*")
 
 
 def _placed(text: Column, pattern: str, kind: str, confidence: float) -> Column:
     """Spans of all matches, from the lengths of matches and of the text between them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.slice(F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("g")), F.lit(1), F.size(found))
-    ends = T.running_sums(F.transform(pairs, lambda x: F.length(x["g"]) + F.length(x["m"])))
     one = lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind"), x["m"].alias("text"))
-    return F.zip_with(pairs, ends, one)
+
+    def spans(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return T.once(pairs, lambda p: F.zip_with(p, T.once(F.transform(p, lambda x: F.length(x["g"]) + F.length(x["m"])), T.running_sums), one))
+
+    return T.once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, spans(found)).otherwise(F.array().cast(SPANS)))
 
 
 @query(f"""SELECT conv_id, turn, strlen(text) <= 1000 AND NOT {_any('lower(text)', FORBIDDEN)} AND NOT (contains(text, '```') AND contains(text, 'system')) AS safe FROM conversations""")
@@ -314,14 +318,13 @@ u AS (UNPIVOT s ON {', '.join(CATEGORIES)} INTO NAME category VALUE score)
 SELECT doc_id, category, round(score, 6) AS score FROM u WHERE score > 0.05 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, category) <= 3""")
 def classify_category(spark, sf):
     """Half the hits a word, half the hits a keyword; the three best categories above 0.05, of equals by name."""
-    low, n = F.lower("text"), F.greatest(F.size(T.words(F.col("text"))), F.lit(1))
-    scores = []
-    for name, words in CATEGORIES.items():
-        hits = T.count_of(low, words)
-        score = F.least(hits / n, F.lit(1.0)) * 0.5 + hits / F.lit(len(words)) * 0.5
-        scores.append(F.struct((-F.round(score, 6)).alias("less"), F.lit(name).alias("category"), score.alias("score")))
-    best = F.slice(F.array_sort(F.filter(F.array(*scores), lambda x: x["score"] > 0.05)), 1, 3)
-    return _docs(spark, sf).select("doc_id", F.explode(best).alias("s")).select("doc_id", "s.category", F.round("s.score", 6).alias("score"))
+    d = _docs(spark, sf).select("doc_id", F.lower("text").alias("low"), F.greatest(F.size(T.words(F.col("text"))), F.lit(1)).alias("n"))
+    hits = d.select("doc_id", "n", F.array(*[F.struct(F.lit(name).alias("category"), F.lit(len(words)).alias("of"), T.count_of(F.col("low"), words).alias("hits")) for name, words in CATEGORIES.items()]).alias("hits"))
+    score = lambda x: F.least(x["hits"] / F.col("n"), F.lit(1.0)) * 0.5 + x["hits"] / x["of"] * 0.5
+    scored = hits.select("doc_id", F.transform("hits", lambda x: F.struct(x["category"].alias("category"), score(x).alias("score"))).alias("scores"))
+    ordered = F.transform(F.filter("scores", lambda x: x["score"] > 0.05), lambda x: F.struct((-F.round(x["score"], 6)).alias("less"), x["category"].alias("category"), x["score"].alias("score")))
+    best = scored.select("doc_id", F.slice(F.array_sort(ordered), 1, 3).alias("best"))
+    return told(best, ["doc_id"], "best", "n", "s").select("doc_id", "s.category", F.round("s.score", 6).alias("score"))
 
 
 @query(f"""WITH s AS (SELECT conv_id, turn, {', '.join(f"{_hits('low', v)} / {len(v)} AS {k}" for k, v in TEXT_INTENTS.items())} FROM (SELECT conv_id, turn, lower(text) AS low FROM conversations)),
