@@ -5,7 +5,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import fielded
+from tidemark.operators import fielded, postings
+from tidemark.operators.fielded import FieldedIndex
 from tidemark.plans import search
 from tidemark.session import shared_dir
 
@@ -87,3 +88,16 @@ def test_highlighted_query(spark, sf):
     for r in rows:
         bare = re.sub("</?em>", "", r["snippet"])
         assert bare in texts[r["doc_id"]] and re.search(r"<em>(thing|anea|stupid)</em>", r["snippet"], re.IGNORECASE)
+
+
+def test_postings_are_written_where_their_rows_are(spark, tmp_path):
+    """A file a part of the rows, none a bucket of terms; terms and places counted within a row."""
+    rows = [(i, "s", " ".join(f"w{(i * k) % 97}" for k in range(60))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    postings.build(d, str(tmp_path / "flat"), "doc_id", "text", "source")
+    FieldedIndex.build(d, str(tmp_path / "fielded"), "doc_id", ["text"])
+    flat, own = spark.read.parquet(str(tmp_path / "flat/postings")), spark.read.parquet(str(tmp_path / "fielded/postings"))
+    assert len(flat.inputFiles()) <= 3 and len(own.inputFiles()) <= 4
+    want = {(i, w): [k for k, x in enumerate(t.split()) if x == w] for i, _, t in rows for w in t.split()}
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in flat.collect()} == {k: len(v) for k, v in want.items()}
+    assert {(r["id"], r["term"]): r["positions"] for r in own.collect()} == want

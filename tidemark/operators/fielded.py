@@ -1,12 +1,12 @@
 """A text index with fields and positions that takes changes in segments: rankings by field, phrases, highlights.
 
-    folder/meta                      fields and the number of buckets
-    folder/postings/seq=K/bucket=B   term, field, id, tf, positions, dl; sorted by term
-    folder/rows/seq=K                id, field, dl
-    folder/gone/seq=K                ids whose rows of an earlier seq don't count any more
-    folder/totals/seq=K              what the segment adds to (or takes from) the number and the length of rows
+    folder/meta              fields
+    folder/postings/seq=K    h (the term's hash), term, field, id, tf, positions, dl; each file sorted by h
+    folder/rows/seq=K        id, field, dl
+    folder/gone/seq=K        ids whose rows of an earlier seq don't count any more
+    folder/totals/seq=K      what the segment adds to (or takes from) the number and the length of rows
 
-A change writes a segment and reads none of the others' postings; a search reads its terms' buckets and the totals, of
+A change writes a segment and reads none of the others' postings; a search reads its terms' pages and the totals, of
 which each change adds one row a field. There is one writer at a time.
 """
 
@@ -20,13 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators.postings import exists, state_of
+from tidemark.operators.postings import FILE_ROWS, exists, hashes, state_of
 from tidemark.operators.ranking import B, K1
-from tidemark.session import settled, shared_dir
-
-#: Rows of a bucket's postings that one file should serve, about, and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 500_000, 64
-
+from tidemark.session import settled, shared_dir, told
 
 class FieldedIndex:
     """The index in a folder; ids are longs. See the module."""
@@ -38,19 +34,14 @@ class FieldedIndex:
     def build(cls, rows: DataFrame, folder: str, key: str, fields: list[str]) -> FieldedIndex:
         """Of rows (key, fields). Rows without a key take no part; of rows that repeat one any counts. A null field has no words."""
         spark = rows.sparkSession
-        buckets = max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS)
-        spark.createDataFrame([(fields, buckets)], "fields array<string>, buckets long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+        spark.createDataFrame([(fields,)], "fields array<string>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
         index = cls(spark, folder)
         index._append(rows, key, 0)
         return index
 
     @cached_property
-    def meta(self) -> tuple[list[str], int]:
-        row = self.spark.read.parquet(f"{self.folder}/meta").first()
-        return row["fields"], row["buckets"]
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.meta[1])).cast("int")
+    def meta(self) -> list[str]:
+        return self.spark.read.parquet(f"{self.folder}/meta").first()["fields"]
 
     def _next(self) -> int:
         seqs = [0]
@@ -62,13 +53,12 @@ class FieldedIndex:
         return max(seqs) + 1
 
     def _append(self, rows: DataFrame, key: str, seq: int) -> None:
-        fields = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in self.meta[0]])
-        own = rows.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).cast("long").alias("id"), F.explode(fields).alias("x")).select("id", "x.field", "x.t", F.size("x.t").alias("dl"))
-        held = settled(own.select("id", "field", "t", "dl"))
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        counted = held.select("id", "field", "dl", F.posexplode("t").alias("at", "term")).groupBy("id", "field", "dl", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-        postings = counted.select(self._bucket(F.col("term")).alias("bucket"), "term", "field", "id", F.size("positions").alias("tf"), "positions", "dl")
-        postings.repartitionByRange(n, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/seq={seq}")
+        fields = F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in self.meta])
+        own = rows.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).cast("long").alias("id"), F.inline(fields))
+        held = settled(own.select("id", "field", "t", F.size("t").alias("dl")))
+        found = told(held.select("id", "field", "dl", positions(F.col("t")).alias("c")), ["id", "field", "dl"], "c", "at", "c")
+        postings = found.select(F.xxhash64("c.term").alias("h"), "c.term", "field", "id", F.size("c.positions").alias("tf"), "c.positions", "dl")
+        postings.sortWithinPartitions("h").write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{self.folder}/postings/seq={seq}")
         lengths = held.select("id", "field", "dl")
         lengths.write.mode("overwrite").parquet(f"{self.folder}/rows/seq={seq}")
         self._count(lengths, 1, f"{seq}-in")
@@ -101,10 +91,9 @@ class FieldedIndex:
         return rows.join(gone, "id", "left").filter(F.col("until").isNull() | (F.col("seq") >= F.col("until"))).drop("until")
 
     def postings(self, terms: list[str]) -> DataFrame:
-        """What the index holds of the terms, of their buckets alone."""
-        schema = "term string, field string, id long, tf int, positions array<int>, dl int, seq int, bucket int"
-        buckets = [r["b"] for r in self.spark.createDataFrame([(t,) for t in set(terms)], "t string").select(self._bucket(F.col("t")).alias("b")).collect()]
-        return self._live(self.spark.read.schema(schema).parquet(f"{self.folder}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(*terms)))
+        """What the index holds of the terms, of their pages alone."""
+        schema = "h long, term string, field string, id long, tf int, positions array<int>, dl int, seq int"
+        return self._live(self.spark.read.schema(schema).parquet(f"{self.folder}/postings").filter(F.col("h").isin(hashes(self.spark, terms)) & F.col("term").isin(*terms)).drop("h"))
 
     def totals(self) -> DataFrame:
         """field, n, length: of what counts."""
@@ -132,6 +121,18 @@ class FieldedIndex:
         return out.select("id", "field", F.sort_array("p0").alias("starts"))
 
 
+def positions(tokens: Column) -> Column:
+    """(term, positions) of an array's distinct terms, from the array sorted with its places."""
+
+    def runs(s: Column) -> Column:
+        there = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(there, lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
+        own = lambda i, end: F.transform(F.sequence(i, end - 1), lambda j: F.get(s, j)["at"])
+        return T.once(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i)["t"].alias("term"), own(i, F.coalesce(F.get(at, k + 1), F.size(s))).alias("positions"))))
+
+    return T.once(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("at")))), runs)
+
+
 def _moved(positions: Column, by: int) -> Column:
     return F.transform(positions, lambda p: p - by)
 
@@ -146,7 +147,7 @@ def highlighted(text: Column, terms: list[str], around: int = 30, before: str =
 
 def index_of(spark: SparkSession, path: str, key: str, rows, fields: list[str], name: str = "fielded") -> FieldedIndex:
     """The index of what `rows` makes of a table, built unless it is there for the table's present state."""
-    tag = hashlib.sha256("|".join([state_of(spark, path), key, *fields]).encode()).hexdigest()[:24]
+    tag = hashlib.sha256("|".join(["by hash", state_of(spark, path), key, *fields]).encode()).hexdigest()[:24]
     folder = f"{shared_dir(spark)}/{name}-{tag}"
     if not exists(spark, f"{folder}/totals/seq=0-in/_SUCCESS"):  # written last
         return FieldedIndex.build(rows(spark.read.parquet(path)), folder, key, fields)
