@@ -1,6 +1,7 @@
 """The approximate index: recall, bounded reading, changes without a rebuild, codes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,53 @@ def test_rows_that_take_no_part(spark):
     assert pairs(index.search(e, k=2)) == {(a, b) for a in (7, 8, 9) for b in (7, 8, 9) if a != b}
     none = cells.CellIndex.build(e.limit(0), f"{shared_dir(spark)}/test-none")
     assert none.search(e).count() == 0 and none.entries().count() == 0
+
+
+def test_a_query_is_written_once_however_many_cells_it_reads(spark, sf, monkeypatch):
+    index = cells.index_of(spark, f"{sf}/embeddings.parquet")
+    q = cells.clean(table(spark, sf, "embeddings").filter("vec_id % 20 = 0"), "vec_id", "embedding")
+    kept, seen = cells.settled, []
+    monkeypatch.setattr(cells, "settled", lambda df: seen.append(kept(df)) or seen[-1])
+    assert index.candidates(q, 5, probes=len(index.fitted.centroids)).count() == 5 * q.count()
+    assert seen and max(df.count() for df in seen) <= q.count()
+
+
+def test_vectors_are_read_in_steps(spark):
+    batch = pa.record_batch({"id": pa.array(range(10)), "v": pa.array([[i, 2 * i] for i in range(10)], pa.list_(pa.float32()))})
+    steps = list(cells._steps(iter([batch.slice(0, 0), batch]), 4))
+    assert [b.num_rows for b in steps] == [4, 4, 2]
+    assert np.concatenate([cells._matrix(b.column(1), "dot") for b in steps]).tolist() == [[i, 2 * i] for i in range(10)]
+
+
+@pytest.mark.parametrize("probes", [2, None])
+def test_blocks_change_nothing(spark, sf, monkeypatch, probes):
+    index = cells.index_of(spark, f"{sf}/embeddings.parquet")
+    q = cells.clean(table(spark, sf, "embeddings").filter("vec_id % 20 = 0"), "vec_id", "embedding")
+    found = lambda: {(r["query_id"], r["id"]): r["near"] for r in index.candidates(q, 7, probes).collect()}
+    whole, f = found(), index.fitted
+    for name, size in {"VECTOR_BLOCK": 40, "QUERY_BLOCK": 6, "VECTOR_STEP": 5, "QUERY_STEP": 4}.items():
+        monkeypatch.setattr(cells, name, size)
+    assert found() == pytest.approx(whole)
+    entries, want = index.entries().collect(), {}
+    x = f.decode(np.array([list(r["code"]) for r in entries]), np.array([r["cell"] for r in entries]))
+    for r in q.collect():
+        v = np.array(r["v"], dtype=np.float64)
+        near = x @ (v / np.linalg.norm(v))
+        read = set(np.argsort(-(f.centroids @ (v / np.linalg.norm(v))), kind="stable")[: probes or f.probes])
+        places = sorted((i for i, e in enumerate(entries) if e["cell"] in read and e["id"] != r["id"]), key=lambda i: (-near[i], entries[i]["id"]))
+        want |= {(r["id"], entries[i]["id"]): near[i] for i in places[:7]}
+    assert whole == pytest.approx(want)
+
+
+def test_the_nearest_so_far_with_ties():
+    rng = np.random.default_rng(3)
+    best, every = cells._Best(6, 9), [[] for _ in range(9)]
+    for step in range(12):
+        rows, ids = np.sort(rng.choice(9, 5, replace=False)), rng.choice(1000, 20 if step else 3, replace=False) + 1000 * step
+        near = rng.integers(0, 8, (5, len(ids))).astype(float)
+        near[near == 7] = -np.inf
+        best.add(rows, near, ids)
+        for row, of in zip(rows, near, strict=True):
+            every[row] += [(-n, int(i)) for n, i in zip(of, ids, strict=True) if n > -np.inf]
+    got = [[(-n, int(i)) for r, n, i in zip(best.row, best.near, best.id, strict=True) if r == row] for row in range(9)]
+    assert got == [sorted(e)[:6] for e in every]

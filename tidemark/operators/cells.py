@@ -3,6 +3,7 @@
 Vectors lie in leaf cells, about the square root of their number; the leaves of one top cell (fourth root) are fitted
 in a task of its own. Each part of a vector, less its cell's centroid, is written as one of 256 codes. A search reads
 the codes of the cells that lie nearest to each query, and then the exact vectors of the few that the codes put first.
+A task of a search holds a block of one top cell's codes and a block of the queries that read any of its cells.
 How many cells must be read depends on the vectors: building measures it on its sample and keeps the number.
 
     folder/meta, centroids, books      fitted once, to bounded samples
@@ -33,8 +34,9 @@ from tidemark.session import removed, settled, shared_dir
 #: Rows that the top cells and the codes are fitted to, about; and rows of each leaf cell's fit.
 SAMPLE, LEAF_SAMPLE = 4096, 16
 CODES, PART_DIM, ROUNDS = 256, 2, 12
-#: Vectors and queries that meet in one step of a task.
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 512
+#: Vectors and queries that a task holds at a time, about; and those of them that it turns into numbers or scores in one step.
+VECTOR_BLOCK, QUERY_BLOCK = 32768, 4096
+VECTOR_STEP, QUERY_STEP = 2048, 256
 #: Share of the sample's nearest neighbours that the cells read must hold.
 REACH = 0.97
 EXACT = {"cosine": V.cosine, "dot": V.dot, "euclidean": V.euclidean_similarity}
@@ -71,8 +73,25 @@ def closeness(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _matrix(column: pa.Array | pd.Series, metric: str) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" and len(x) else x
+    """Vectors of one length; those of Arrow without a Python object for each number."""
+    if not len(column):
+        return np.zeros((0, 0))
+    if isinstance(column, pa.Array):
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    else:
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
+
+
+def _steps(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `size` rows, none empty."""
+    for b in batches:
+        for s in range(0, b.num_rows, size):
+            yield b.slice(s, size)
 
 
 @dataclass(frozen=True)
@@ -206,10 +225,8 @@ class CellIndex:
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = _matrix(b.column(1).to_pylist(), f.metric)
+            for b in _steps(batches, VECTOR_STEP):
+                x = _matrix(b.column(1), f.metric)
                 cell = nearest(x, f.centroids)
                 columns = [pa.array(f.tops[cell].astype(np.int32)), pa.array(cell.astype(np.int32)), b.column(0), pa.array([c.tobytes() for c in f.encode(x, cell)], type=pa.binary()), b.column(1)]
                 yield pa.RecordBatch.from_arrays(columns, names=["top", "cell", "id", "code", "v"])
@@ -267,11 +284,9 @@ class CellIndex:
         shared = self.spark.sparkContext.broadcast(self.fitted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, -1)
-                    vectors = shared.value.decode(codes, np.asarray(b.column(2)))
-                    yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(list(vectors), type=pa.list_(pa.float64()))], names=["id", "code", "approximate"])
+            for b in _steps(batches, VECTOR_STEP):
+                vectors = shared.value.decode(_codes(b.column(1)), np.asarray(b.column(2)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(list(vectors), type=pa.list_(pa.float64()))], names=["id", "code", "approximate"])
 
         return self.entries().select("id", "code", "cell").mapInArrow(run, "id long, code binary, approximate array<double>")
 
@@ -282,35 +297,47 @@ class CellIndex:
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             f = shared.value
-            for b in batches:
-                if b.num_rows:
-                    q = _matrix(b.column(1).to_pylist(), metric)
-                    cells = np.argsort(-closeness(q, f.centroids, metric), axis=1, kind="stable")[:, :count]
-                    at = np.repeat(np.arange(len(q)), cells.shape[1])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32)), pa.array(f.tops[cells.ravel()].astype(np.int32)), b.column(1).take(pa.array(at))], names=["id", "cell", "top", "v"])
-
-        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            f = shared.value
-            for b in batches:
-                for row in b.to_pylist():
-                    q, qid = _matrix(row["qs"], metric), np.array(row["qids"])
-                    ids = np.array(row["ids"])
-                    x = f.decode(np.frombuffer(b"".join(row["codes"]), dtype=np.uint8).reshape(len(ids), -1), np.full(len(ids), row["cell"]))
-                    near = closeness(q, x, metric)
-                    near[qid[:, None] == ids] = -np.inf
-                    k = min(most, len(ids))
-                    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                    value = np.take_along_axis(near, best, axis=1)
-                    real = np.isfinite(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, k).reshape(-1, k)[real]), pa.array(ids[best][real]), pa.array(value[real])], names=["query_id", "id", "near"])
-
-        wanted = settled(queries.mapInArrow(asked, "id long, cell int, top int, v array<float>"))
-        tops = [r["top"] for r in wanted.select("top").distinct().collect()]  # a fourth root of the vectors at most
-        codes = self.entries().filter(F.col("top").isin(tops)).select("cell", "id", "code")
-        left, right = _dealt(codes, VECTOR_BLOCK, "b"), _dealt(wanted.select("cell", "id", "v"), QUERY_BLOCK, "b")
-        left = left.groupBy("cell", "b").agg(F.collect_list(F.struct("id", "code")).alias("r")).select("cell", F.col("r.id").alias("ids"), F.col("r.code").alias("codes"))
-        right = right.groupBy("cell", "b").agg(F.collect_list(F.struct("id", "v")).alias("r")).select("cell", F.col("r.id").alias("qids"), F.col("r.v").alias("qs"))
-        found = left.join(right, "cell").mapInArrow(met, "query_id long, id long, near double")
+            of = (f.tops[:, None] == np.unique(f.tops)).astype(np.float64)
+            for b in _steps(batches, QUERY_STEP):
+                reach = np.zeros((b.num_rows, len(f.centroids)), dtype=bool)
+                cells = np.argsort(-closeness(_matrix(b.column(1), metric), f.centroids, metric), axis=1, kind="stable")[:, :count]
+                np.put_along_axis(reach, cells, True, axis=1)
+                at, top = np.nonzero(reach @ of)
+                tops = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(b.num_rows + 1)).astype(np.int32)), pa.array(np.unique(f.tops)[top].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in np.packbits(reach, axis=1)], type=pa.binary()), tops], names=["id", "v", "reach", "tops"])
+
+        def met(entries: pa.Table, asks: pa.Table) -> pa.Table:
+            none = np.empty(0, dtype=np.int64)
+            if not (entries.num_rows and asks.num_rows):
+                return pa.table({"query_id": none, "id": none, "near": none.astype(np.float64)})
+            f, entries, asks = shared.value, entries.sort_by([("cell", "ascending"), ("id", "ascending")]).combine_chunks(), asks.combine_chunks()
+            q, qid = _matrix(asks["v"].chunk(0), metric), asks["id"].to_numpy()
+            reach = _codes(asks["reach"].chunk(0))
+            cell, ids, codes = entries["cell"].to_numpy(), entries["id"].to_numpy(), entries["code"].chunk(0)
+            best = [_Best(most, min(QUERY_STEP, len(q) - s)) for s in range(0, len(q), QUERY_STEP)]
+            for c in np.unique(cell):
+                own = (reach[:, c >> 3] >> (7 - (c & 7)) & 1).astype(bool)
+                first, last = np.searchsorted(cell, [c, c + 1])
+                for at in range(first, last, VECTOR_STEP):
+                    until = min(at + VECTOR_STEP, last)
+                    x = f.decode(_codes(codes.slice(at, until - at)), cell[at:until])
+                    for s, kept in enumerate(best):
+                        i = s * QUERY_STEP + np.flatnonzero(own[s * QUERY_STEP : (s + 1) * QUERY_STEP])
+                        if len(i):
+                            near = closeness(q[i], x, metric)
+                            near[qid[i][:, None] == ids[at:until]] = -np.inf
+                            kept.add(i - s * QUERY_STEP, near, ids[at:until])
+            found = [np.concatenate(z) for z in zip(*((kept.row + s * QUERY_STEP, kept.id, kept.near) for s, kept in enumerate(best)), strict=True)]
+            return pa.table({"query_id": qid[found[0]], "id": found[1], "near": found[2]})
+
+        wanted = settled(queries.mapInArrow(asked, "id long, v array<float>, reach binary, tops array<int>")).withColumn("top", F.explode("tops"))
+        per_top = wanted.groupBy("top").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("qn")).collect()  # a fourth root of the vectors at most
+        codes = self.entries().filter(F.col("top").isin([r["top"] for r in per_top])).select("top", "cell", "id", "code")
+        blocks = codes.groupBy("top").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("vn"))
+        sizes = F.broadcast(settled(blocks.join(self.spark.createDataFrame(per_top, "top int, qn int"), "top")))
+        left = _dealt(codes.join(sizes, "top"), "vb", "vn", "qb", "qn").select("top", "vb", "qb", "cell", "id", "code")
+        right = _dealt(wanted.join(sizes, "top"), "qb", "qn", "vb", "vn").select("top", "vb", "qb", "id", "v", "reach")
+        found = left.groupBy("top", "vb", "qb").cogroup(right.groupBy("top", "vb", "qb")).applyInArrow(met, "query_id long, id long, near double")
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
         return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).drop("r")
 
@@ -324,10 +351,32 @@ class CellIndex:
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows with a number of a block of their cell; blocks have about `size` rows, however full a cell is."""
-    blocks = rows.groupBy("cell").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    return rows.join(blocks, "cell").withColumn(name, F.expr("pmod(xxhash64(id), blocks)"))
+class _Best:
+    """The `most` nearest of each row so far, ties to the smaller id."""
+
+    def __init__(self, most: int, rows: int):
+        self.most, self.floor = most, np.full(rows, -np.inf)
+        self.row, self.id, self.near = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+
+    def add(self, rows: np.ndarray, near: np.ndarray, ids: np.ndarray) -> None:
+        """Some rows, each once, and what they meet; what is infinitely far doesn't count."""
+        floor = self.floor[rows]
+        if len(ids) > self.most and np.isinf(floor).any():
+            floor = np.maximum(floor, np.partition(near, len(ids) - self.most, axis=1)[:, len(ids) - self.most])
+        i, j = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
+        if not len(i):
+            return
+        row, id_, value = np.append(self.row, rows[i]), np.append(self.id, ids[j]), np.append(self.near, near[i, j])
+        order = np.lexsort((id_, -value, row))
+        row, id_, value = row[order], id_[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        self.floor[row[place == self.most - 1]] = value[place == self.most - 1]
+        self.row, self.id, self.near = (x[place < self.most] for x in (row, id_, value))
+
+
+def _dealt(rows: DataFrame, own: str, n: str, other: str, others: str) -> DataFrame:
+    """Each row in its block, by its id, of n blocks, and that once for each of the others' blocks."""
+    return rows.withColumn(own, F.pmod(F.xxhash64("id"), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
 
 
 def index_of(spark: SparkSession, path: str, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine") -> CellIndex:
